@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegraph.llm import mixing, quality
+from cinegraph.llm import mixing, quality, secret_scan
 from cinegraph.llm.common import table, words_of
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words_of(F.col("text"))).alias("size"))
     return mixing.mix(docs, F.col("size")).select("_row.doc_id", "size", "source_size", "target", "taken")
@@ -60,5 +64,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   and n_dup_lines::double / n_lines <= 0.6 as kept from f
 """
 
-QUERIES = {"op5_mixing": op5_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_mixing": op5_mixing, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op5_mixing": _OP5, "op10_quality_rules": _OP10}

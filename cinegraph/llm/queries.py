@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegraph.llm import mixing, quality, secret_scan
+from cinegraph.llm import license_scan, mixing, quality, secret_scan
 from cinegraph.llm.common import table, words_of
 
 
@@ -18,6 +18,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, F.col("size")).select("_row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select("_row.doc_id", *(f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
@@ -64,5 +68,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   and n_dup_lines::double / n_lines <= 0.6 as kept from f
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_mixing": op5_mixing, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op5_mixing": _OP5, "op10_quality_rules": _OP10}

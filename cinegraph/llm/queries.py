@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegraph.llm import license_scan, mixing, ngram_join, quality, secret_scan
+from cinegraph.llm import license_scan, mixing, ngram_join, packing, quality, secret_scan, wavelet
 from cinegraph.llm.common import table, words_of
 
 
@@ -17,6 +17,15 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packed.select("doc.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.size(words_of(F.col("text"))).alias("size"))
     return mixing.mix(docs, F.col("size")).select("_row.doc_id", "size", "source_size", "target", "taken")
@@ -72,5 +81,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   and n_dup_lines::double / n_lines <= 0.6 as kept from f
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL = {"op5_mixing": _OP5, "op10_quality_rules": _OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegraph.llm import license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, wavelet
+from cinegraph.llm import ann, license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, warc, wavelet
 from cinegraph.llm.common import table, words_of
 
 
@@ -39,6 +39,15 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge(docs).select("_row.doc_id", *(f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
@@ -85,5 +94,21 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   and n_dup_lines::double / n_lines <= 0.6 as kept from f
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op10_quality_rules": op10_quality_rules}
-ORACLE_SQL = {"op5_mixing": _OP5, "op10_quality_rules": _OP10}
+_OP9 = r"""
+with p as (select page_id, coalesce(html, '') as html, url, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages),
+q as (select *, regexp_extract(bare, '^([^?]*)', 1) as place, regexp_extract(bare, '\?(.*)$', 1) as query from p),
+k as (select *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) as kept from q),
+c as (select page_id, html, regexp_replace(regexp_replace(lower(regexp_extract(place, '^([^/]*)', 1)), '^(www|m)\.', ''), ':(80|443)$', '')
+  || regexp_replace(regexp_extract(place, '^[^/]*(/.*)$', 1), '/+$', '') || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as canonical_url from k),
+v as (select 2 * page_id + 1 as record_id, page_id, canonical_url, case when page_id % 9 = 0 then 60 * page_id - 1 else 60 * page_id + 1 + 997 * (page_id % 97) end as ts,
+  case when page_id % 5 = 0 then md5(page_id::varchar) else md5(html) end as etag from c),
+r as (select 2 * page_id as response_id, page_id as r_page, canonical_url, 60 * page_id as r_ts, md5(html) as r_etag from c),
+m as (select v.record_id, v.page_id, v.canonical_url, v.etag, r.response_id, r.r_page, r.r_etag from v asof left join r on v.canonical_url = r.canonical_url and v.ts > r.r_ts),
+s as (select *, case when response_id is null then 'orphan' when etag = r_etag then 'resolved' else 'changed' end as status from m)
+select record_id, canonical_url, response_id, status,
+  case when status = 'resolved' then 'content-type=text/html;date=r' || page_id || ';etag=W/' || etag else 'content-type=none;date=r' || page_id || ';etag=W/' || etag end as headers,
+  case when status = 'resolved' then r_etag end as payload_md5 from s
+"""
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules}
+ORACLE_SQL = {"op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10}

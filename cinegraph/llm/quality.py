@@ -118,5 +118,8 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, with their own columns."""
-    return judge(docs, text, rules).where("kept").select("_row.*")
+    """The rows of docs that pass, with their own columns.
+
+    inline() of one row or none, not a filter: the optimiser would copy a filter's expression below each projection.
+    """
+    return judge(docs, text, rules).select(F.inline(F.when(F.col("kept"), F.array("_row"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cinegraph.llm import ann, license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, warc, wavelet
 from cinegraph.llm.common import table, words_of
 
@@ -110,5 +111,5 @@ select record_id, canonical_url, response_id, status,
   case when status = 'resolved' then r_etag end as payload_md5 from s
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules, "pipeline": corpus_pipeline.run}
 ORACLE_SQL = {"op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10}

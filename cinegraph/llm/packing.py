@@ -96,29 +96,34 @@ def best_fit(left: np.ndarray, length: int) -> list[tuple[int, tuple[int, ...]]]
     return [g for gs in groups.values() for g in gs]
 
 
+def repeated(rows: np.ndarray, histogram: np.ndarray, length: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(count, lengths) of sequences: the fitted repeats of each pattern, rounded, as far as pieces last, and the rest."""
+    left, out = histogram.copy(), []
+    x = fitted(rows, left.astype(float)) if len(rows) else np.zeros(0)
+    for i in np.argsort(-x, kind="stable"):
+        want = int(np.rint(x[i]))
+        if not want:
+            break
+        each = [int(s) for s in rows[i] if s]
+        n = min(want, *(left[s] // each.count(s) for s in each))
+        if n > 0:
+            out.append((int(n), tuple(each)))
+            for s in each:
+                left[s] -= n
+    return out + best_fit(left, length)
+
+
 def plan(histogram: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
     """Where the pieces of each length go, from the number of pieces of each.
 
+    Fits patterns of up to three lengths, and of up to two, and takes what needs fewer sequences.
     Arrays (size, first, sequence, offset), sorted by size and first: the pieces of a size with ranks from first on go to
     sequences from sequence on, at offset; and the number of sequences. As long as the lengths allow, not the input's size.
     """
-    left = histogram.astype(np.int64).copy()
-    sequences: list[tuple[int, tuple[int, ...]]] = []
-    sizes = np.flatnonzero(left)
-    if len(sizes):
-        rows = patterns(sizes, length)
-        x = fitted(rows, left.astype(float)) if len(rows) else np.zeros(0)
-        for i in np.argsort(-x, kind="stable"):
-            want = int(np.rint(x[i]))
-            if not want:
-                break
-            each = [int(s) for s in rows[i] if s]
-            n = min(want, *(left[s] // each.count(s) for s in each))
-            if n > 0:
-                sequences.append((int(n), tuple(each)))
-                for s in each:
-                    left[s] -= n
-        sequences += best_fit(left, length)
+    histogram = histogram.astype(np.int64)
+    sizes = np.flatnonzero(histogram)
+    rows = patterns(sizes, length) if len(sizes) else np.zeros((0, 3), int)
+    sequences = min((repeated(r, histogram, length) for r in (rows, rows[rows[:, 2] == 0])), key=lambda s: sum(n for n, _ in s))
     used, slots, at = defaultdict(int), [], 0
     for n, lengths in sequences:
         offset = 0

@@ -33,7 +33,7 @@ BANDS = (16, 24, 32, 48, 64)
 
 #: Written words: a neighbour is of another class (lower, upper, digit, mark) at most this often, and two symbols are
 #: equal at least this often.
-TEXT_CHANGE, TEXT_PAIRS = 0.12, 0.06
+TEXT_CHANGE, TEXT_PAIRS = 0.3, 0.06
 
 #: A p-value is counted by its whole tenths of a decimal digit, up to this many.
 STEPS = 400

@@ -42,13 +42,13 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         zeros, ones, blocks = [], [], []
         for level in range(levels - 1, -1, -1):
-            bit = (now >> now.dtype.type(level)) & now.dtype.type(1) != 0
+            bit = now & now.dtype.type(1 << level) != 0
             packed = np.packbits(bit)
             blocks.append([zlib.compress(packed[i : i + BLOCK // 8].tobytes(), 1) for i in range(0, len(packed), BLOCK // 8)])
-            per = np.add.reduceat(bit, np.arange(0, n, BLOCK), dtype=np.int64) if n else np.zeros(0, np.int64)
+            per = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if n else np.zeros(0, np.int64)
             ones.append(np.concatenate(([0], np.cumsum(per))))
             zeros.append(n - int(ones[-1][-1]))
-            now = np.concatenate((now[~bit], now[bit]))
+            now = np.concatenate((np.compress(~bit, now), np.compress(bit, now)))
         return cls(n, levels, zeros, ones, blocks)
 
     def to_bytes(self) -> bytes:
@@ -145,8 +145,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(np.frombuffer(b"".join(map(zlib.decompress, self.blocks[level])), np.uint8), count=self.n).view(bool)
             out = np.empty(self.n, kind)
-            out[~bit] = now[: self.zeros[level]]
-            out[bit] = now[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
+            out[np.flatnonzero(~bit)] = now[: self.zeros[level]]
+            out[np.flatnonzero(bit)] = now[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             now = out
         return now
 

@@ -9,6 +9,9 @@ Each size band takes the allocation and the m of least expected cost. Empty subs
 under "exact" if fewer than m - H of its segments are empty, under "deletion" if each has two shingles at least. A
 link is lost only if both sets are unsafe; unsafe sets therefore also emit their prefix of n - ceil(0.8 n) + 1 smallest
 hashes, of which linked sets share one.
+
+Two sets that differ in d places have at most d segments with different subsets. Four bits of every subset's hash make
+a short digest that refutes nearly all chance candidates before a text is moved; what it lets pass is verified exactly.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ import math
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinegraph.llm.common import forget, written
@@ -34,6 +38,10 @@ TOP, BOTTOM = 4, 5
 GROWTH = 1.5
 #: Cost of a chance candidate against that of a signature.
 CHANCE = 2.0
+#: A hub is near a node that has one such part of a link's least signatures in common with it.
+NEAR = 8
+#: Buckets of ids by which texts are sieved before they are shuffled: few enough to broadcast, whatever the input.
+SIEVE = 1 << 18
 #: Words whose hashes a worker keeps.
 KEPT = 500_000
 
@@ -58,17 +66,31 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; bytes.lower() and split() know ASCII only, as wanted."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = len(words)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
-    if n < WORDS:
-        return mixed(np.array([(w * FACTORS[:n]).sum() + np.uint64(n)], np.uint64)) if n else w
-    s = w[: n - 4] * FACTORS[0]
+def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The sorted distinct hashes of each text's shingles; bytes.lower() and split() know ASCII only, as wanted."""
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    ends = np.cumsum([len(w) for w in words]).tolist()
+    w = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(words)), np.uint64, ends[-1] if ends else 0)
+    s = w[: max(0, len(w) - 4)] * FACTORS[0]
     for k in range(1, WORDS):
-        s += w[k : n - 4 + k] * FACTORS[k]
-    return np.unique(mixed(s))
+        s += w[k : len(s) + k] * FACTORS[k]
+    s = mixed(s)
+    start = 0
+    for end in ends:
+        n = end - start
+        if n >= WORDS:
+            x = np.sort(s[start : end - 4])
+            new = np.empty(len(x), bool)
+            new[0] = True
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            yield x if new.all() else x[new]
+        else:
+            yield mixed(np.array([(w[start:end] * FACTORS[:n]).sum() + np.uint64(n)], np.uint64)) if n else w[:0]
+        start = end
+
+
+def shingles(text: str | None) -> np.ndarray:
+    return next(shingle_sets([text]))
 
 
 def key_of(s: np.ndarray) -> bytes:
@@ -99,32 +121,59 @@ def bands(largest: int) -> tuple[list[int], list[tuple[str, int, int]]]:
     return tops, plans
 
 
-def signatures(s: np.ndarray) -> np.ndarray:
-    """The signatures of a sorted set, under the schemes of its own band and of those with larger partners."""
-    n = len(s)
-    tops, plans = bands(max(16, 1 << (2 * n + 16).bit_length()))
-    v, high, out = mixed(s ^ FACTORS[1]), s >> np.uint64(32), []
+def schemes(s: np.ndarray) -> Iterator[tuple[int, str, int, int, int, np.ndarray, np.ndarray]]:
+    """(band, allocation, m, H, largest partner, segments that are not empty, where they start) for each scheme of a
+    sorted set: that of its own band, and those of larger partners."""
+    n, high = len(s), s >> np.uint64(32)
+    tops, plans = bands(1 << (2 * n + 16).bit_length())
     for band in range(int(np.searchsorted(tops, n)), len(tops)):
         if band and TOP * (tops[band - 1] + 1) > BOTTOM * n:
             break
         kind, m, H = plans[band]
-        if kind == "none":
-            continue
-        segment = (high * np.uint64(m)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate(([True], segment[1:] != segment[:-1])))
-        salt = mixed(segment[starts] * FACTORS[2] + FACTORS[3:4] * np.uint64(band + 1))
+        if kind != "none":
+            segment = (high * np.uint64(m)) >> np.uint64(32)
+            new = np.empty(n, bool)
+            new[0] = True
+            np.not_equal(segment[1:], segment[:-1], out=new[1:])
+            starts = np.flatnonzero(new)
+            yield band, kind, m, H, min(tops[band], BOTTOM * n // TOP), segment[starts], starts
+
+
+def signatures(s: np.ndarray, marks: bool = False) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+    """The signatures of a sorted set, with their band in the last five bits; or, for each scheme, its marks:
+    (band, how many signatures it has in common with any set that it links to there, digest)."""
+    n = len(s)
+    v, out, told = mixed(s ^ FACTORS[1]) if n else s, [], []
+    for band, kind, m, H, partner, segment, starts in schemes(s) if n else ():
         sums = np.add.reduceat(v, starts)
-        out.append(mixed(sums ^ salt))
-        counts = np.diff(np.append(starts, n))
+        own = mixed(sums ^ mixed(segment * FACTORS[2] + FACTORS[3:4] * np.uint64(band + 1)))
+        empty, d = m - len(starts), (n + partner) // 9
+        if kind == "exact":
+            safe, least = empty < m - H, m - d - empty
+        else:
+            counts = np.diff(np.append(starts, n))
+            safe = empty == 0 and counts.min() >= 2
+            least = (2 * m - d + 1) // 2
+        if marks:
+            digest = np.zeros(m + m % 2, np.uint8)
+            digest[segment.astype(np.int64)] = (own >> np.uint64(8)).astype(np.uint8) & 15
+            told.append((band, max(1, least) if safe else 1, (digest[::2] << 4 | digest[1::2]).tobytes()))
+            continue
+        here = [own]
         if kind == "deletion":
             lone = np.repeat(counts > 1, counts)
-            out.append(mixed((np.repeat(sums, counts) - v)[lone] ^ np.repeat(salt, counts)[lone]))
-            safe = len(starts) == m and counts.min() >= 2
-        else:
-            safe = m - len(starts) < m - H
+            salt = mixed(segment * FACTORS[2] + FACTORS[3:4] * np.uint64(band + 1))
+            here.append(mixed((np.repeat(sums, counts) - v)[lone] ^ np.repeat(salt, counts)[lone]))
         if not safe:
-            out.append(mixed(s[: n - (TOP * n + BOTTOM - 1) // BOTTOM + 1] + FACTORS[4:] * np.uint64(band + 1)))
-    return np.concatenate(out) if out else s[:0]
+            here.append(mixed(s[: n - (TOP * n + BOTTOM - 1) // BOTTOM + 1] + FACTORS[4:] * np.uint64(band + 1)))
+        out += [x & ~np.uint64(31) | np.uint64(band & 31) for x in here]
+    return (np.concatenate(out) if out else s[:0]), told
+
+
+def alike(a: bytes, b: bytes, n: int) -> bool:
+    """Whether digests of two sets of n elements in all differ in no more segments than linked sets do."""
+    x = np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)
+    return int(np.count_nonzero(x & 15) + np.count_nonzero(x >> 4)) <= n // 9
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -132,15 +181,23 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and BOTTOM * both >= TOP * (len(a) + len(b) - both)
 
 
+SETS = "_id long, n long, key binary, node long, marks array<struct<band:int,least:int,digest:binary>>"
+MARKS = pa.list_(pa.struct([("band", pa.int32()), ("least", pa.int32()), ("digest", pa.binary())]))
+
+
+def _pieces(texts: pa.Array, rows: int = 500) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), rows):
+        yield from shingle_sets(texts.slice(at, rows).to_pylist())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for text in b.column(1):
-            s = shingles(text.as_py())
+        for s in _pieces(b.column(1)):
             k = key_of(s)
-            rows.append((len(s), k, node_of(k)))
-        n, k, node = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(node, pa.int64())], ["_id", "n", "key", "node"])
+            rows.append((len(s), k, node_of(k), [dict(zip(("band", "least", "digest"), m, strict=True)) for m in signatures(s, True)[1]]))
+        n, k, node, marks = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(node, pa.int64()), pa.array(marks, MARKS)], ["_id", "n", "key", "node", "marks"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,19 +206,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sigs, nodes, size = [], [], 0
 
     def piece() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs]))], ["sig", "node"])
 
     for b in batches:
-        for text in b.column(0):
-            s = shingles(text.as_py())
+        for s in _pieces(b.column(0)):
             node = node_of(key_of(s))
             if node in seen or not len(s):
                 continue
             seen.add(node)
-            x = np.unique(signatures(s))
-            sigs.append(x)
-            nodes.append(np.full(len(x), node, np.int64))
-            size += len(x)
+            sigs.append(signatures(s)[0])
+            nodes.append(node)
+            size += len(sigs[-1])
             if size > 200_000:
                 yield piece()
                 sigs, nodes, size = [], [], 0
@@ -169,6 +224,12 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield piece()
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        da, db, n = (batch.column(c).to_pylist() for c in ("d_a", "d_b", "n"))
+        yield batch.filter(pa.array([alike(x, y, k) for x, y, k in zip(da, db, n, strict=True)], pa.bool_())).select(["a", "b"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns a, a_node, a_text, b, b_node, b_text to those (a, b) whose sets are similar."""
     kept: dict[int, np.ndarray] = {}
@@ -190,10 +251,97 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives whose texts are similar; a is the one with many partners."""
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of representatives that sizes and digests do not refute, written."""
+    of = {x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}")) for x in "ab"}
+    sized = pairs.join(of["a"], "a").join(of["b"], "b").where(f"{TOP} * greatest(n_a, n_b) <= {BOTTOM} * least(n_a, n_b)")
+    band = "greatest(m_a[0].band, m_b[0].band)"
+    digests = [F.expr(f"get(filter(m_{x}, m -> m.band = {band}), 0).digest").alias(f"d_{x}") for x in "ab"]
+    return written(sized.select("a", "b", *digests, (F.col("n_a") + F.col("n_b")).alias("n")).where("d_a is not null and d_b is not null").mapInArrow(_alike, "a long, b long"))
+
+
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, added, removed): the hashes that b's set has beyond a's, and how many of a's it lacks."""
+    for batch in batches:
+        rows = []
+        for x, x_text, y, y_text in zip(*(batch.column(n).to_pylist() for n in ("a", "a_text", "b", "b_text")), strict=True):
+            s, t = shingles(x_text), shingles(y_text)
+            added = np.setdiff1d(t, s, assume_unique=True)
+            rows.append((x, y, added.view(np.int64).tolist(), len(s) - len(t) + len(added)))
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()), strict=True)], ["a", "b", "added", "removed"])
+
+
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SIEVE))
+
+
+def _buckets(ids: DataFrame) -> DataFrame:
+    """The buckets of ids (_id): at most SIEVE rows."""
+    return ids.select(_bucket("_id").alias("_bucket")).distinct()
+
+
+def _with_texts(pairs: DataFrame, d: DataFrame, classes: DataFrame, step, schema: str) -> DataFrame:
+    """What step makes of the pairs (a, b) of representatives and their whole texts, written."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    sieved = d.join(F.broadcast(_buckets(nodes)), _bucket("_id") == F.col("_bucket"), "left_semi")
+    texts = sieved.join(nodes, "_id", "left_semi").join(classes.select(F.col("rep").alias("_id"), "node"), "_id").dropDuplicates(["_id", "node"])
+    texts = written(texts.select("_id", "node", "text"))
     t = {x: texts.select(F.col("_id").alias(x), F.col("node").alias(f"{x}_node"), F.col("text").alias(f"{x}_text")) for x in "ab"}
-    return pairs.join(t["b"], "b").join(t["a"], "a").select("a", "a_node", "a_text", "b", "b_node", "b_text").mapInArrow(_verified, "a long, b long")
+    out = written(pairs.join(t["b"], "b").join(t["a"], "a").select("a", "a_node", "a_text", "b", "b_node", "b_text").mapInArrow(step, schema))
+    forget(d.sparkSession, texts)
+    return out
+
+
+def _links(pairs: DataFrame, d: DataFrame, classes: DataFrame) -> DataFrame:
+    return _with_texts(pairs, d, classes, _verified, "a long, b long")
+
+
+#: Pairs worth a look: of two components and of sizes that a link allows.
+FIT = f"c_x <> c_y and {TOP} * greatest(n_x, n_y) <= {BOTTOM} * least(n_x, n_y)"
+
+
+def _near_pairs(star: DataFrame, known: DataFrame, d: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs that may be linked among those near one hub, where one is not of the hub's component.
+
+    Of x and y with a and r hashes beyond and lacking against the hub: unless they share one of those beyond, they differ
+    in |a_x| + |a_y| + ||r_x| - |r_y|| places at least. So they share one, by an equi-join, or their counts allow it, by a
+    join of the few different counts. Edited copies of one text are far from both. Linked sets differ in n_x / 4 places
+    at most, so of those beyond they share one of x's n_x / 4 + 1 rarest: what many have is looked up for few.
+    """
+    near = star.where(f"{NEAR} * rows >= least").select("a", "b", "c_a", "c_b").distinct()
+    near = written(near.withColumn("open", F.max(F.col("c_a") != F.col("c_b")).over(Window.partitionBy("a"))).where("open").select("a", "b", (F.col("c_a") != F.col("c_b")).alias("open")))
+    deltas = _with_texts(near.select("a", "b"), d, classes, _deltas, "a long, b long, added array<long>, removed long")
+    deltas = deltas.join(near, ["a", "b"]).join(known.select(F.col("rep").alias("b"), "n", "c"), "b")
+    deltas = written(deltas.withColumn("beyond", F.size("added")))
+    own = Window.partitionBy("a", "b")
+    spread = written(deltas.select("a", "b", F.explode("added").alias("e")).withColumn("often", F.count("*").over(Window.partitionBy("a", "e"))).where("often > 1"))
+    x = spread.join(deltas.where("open").select("a", "b", "n", "c", "beyond"), ["a", "b"])
+    x = x.withColumn("rank", F.row_number().over(own.orderBy("often", "e")) + F.col("beyond") - F.count("*").over(own)).where("rank <= n div 4 + 1")
+    x = x.select("a", "e", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"))
+    shared = x.join(spread.select("a", "e", F.col("b").alias("y")), ["a", "e"]).where("x <> y").select("x", "n_x", "c_x", "y").distinct()
+    shared = shared.join(known.select(F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y")), "y").where(FIT).select("x", "y")
+    counts = {k: t.select("a", F.col("b").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("beyond", "removed", "n", "c"))) for t, k in ((deltas.where("open"), "x"), (deltas, "y"))}
+    kinds = {k: ["a", f"beyond_{k}", f"removed_{k}", f"n_{k}"] for k in "xy"}
+    allowed = counts["x"].select(kinds["x"]).distinct().join(counts["y"].select(kinds["y"]).distinct(), "a").where("beyond_x + beyond_y + abs(removed_x - removed_y) <= (n_x + n_y) div 9")
+    counted = allowed.join(counts["x"], kinds["x"]).join(counts["y"], kinds["y"]).where(FIT).select("x", "y")
+    return shared.union(counted)
+
+
+def _far_pairs(ranked: DataFrame, star: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs that may share half as many signatures as links do where the hub is not near x, for the x that have as many.
+
+    Of x's signatures there, all but the half less one that most others have are looked up: a pair must share one of
+    these. Common passages are what most have, so they are left out whenever there are enough others.
+    """
+    far = star.where(f"{NEAR} * rows < least").select(F.col("a").alias("hub"), F.col("b").alias("x"), "band", "rows", "least")
+    by = Window.partitionBy("x", "band")
+    hubs = far.withColumn("all", F.sum("rows").over(by)).where("2 * all >= least").select("hub", "x", "band", "least")
+    x = ranked.select("sig", F.expr("cast(sig & 31 as int)").alias("band"), "size", "hub", F.col("node").alias("x")).join(hubs, ["hub", "x", "band"])
+    x = x.withColumns({"rank": F.row_number().over(by.orderBy("size", "sig")), "all": F.count("*").over(by)}).where("2 * (all - rank + 1) >= least")
+    x = written(x.select("sig", "x").join(known.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x")), "x"))
+    y = ranked.select("sig", F.col("node").alias("y")).join(x.select("sig").distinct(), "sig", "left_semi").join(known.select(F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y")), "y")
+    return x.join(y, "sig").where(FIT).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,52 +352,55 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     ids and equal texts are one document, shown as often as it is there; other columns are not read.
 
     1. Equal sets become one node (a shuffle of one short row a document).
-    2. Signatures are shuffled once, each different set's once a partition. Within a signature's nodes all others pair
-       with the smallest: as many pairs as rows, never all pairs of a group.
-    3. Pairs are verified on whole texts; links give components.
-    4. A signature whose nodes fell into several components may hide links between them: the nodes of such
-       signatures emit theirs again, and all pairs across components that share one are verified. Groups of
-       near copies are one component by then, so they add nothing here.
+    2. Signatures are shuffled once, each different set's once a partition. A signature's nodes pair with its hub, the
+       one whose signatures most others have: as many pairs as rows, never all pairs of a group. Pairs are refuted
+       by size and digest or verified on whole texts; links give components.
+    3. A link between x and y of different components that no hub showed: they share at least as many signatures as
+       marks say, each in rows with a hub h. h is near x if x has a set part of as many rows with it.
+       If some h is near both, it is of another component than one of them, and _near_pairs finds the pair. Else half of
+       the shared signatures at least have hubs that are not near x, or not near y, and _far_pairs finds it.
+       What is found is refuted or verified as before.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))
-    rows = written(d.mapInArrow(_sets, "_id long, n long, key binary, node long"))
-    classes = written(rows.where("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node")))
+    rows = written(d.mapInArrow(_sets, SETS))
+    classes = written(rows.where("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("marks").alias("marks")))
 
     within = Window.partitionBy("sig")
     sig = d.where("_id is not null").select("text").mapInArrow(_signatures, "sig long, node long")
-    star = sig.withColumn("hub", F.min("node").over(within)).where("node <> hub").select("hub", "node").distinct()
-    a, b = (classes.select(F.col("node").alias(c), F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for c, x in (("hub", "a"), ("node", "b")))
-    star = written(star.join(a, "hub").join(b, "node").select("a", "b", F.expr(f"{TOP} * greatest(n_a, n_b) <= {BOTTOM} * least(n_a, n_b)").alias("fit")))
-
-    nodes = star.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = written(d.join(nodes, "_id", "left_semi").join(classes.select(F.col("rep").alias("_id"), "node", "n"), "_id").dropDuplicates(["_id", "node"]))
-    links = written(_links(star.where("fit").select("a", "b"), texts))
-    label = written(components(links))
-
-    def comp(x: str) -> DataFrame:
-        return label.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-
-    split = star.join(comp("a"), "a", "left").join(comp("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
-    hubs = split.select("a").distinct()
-    again = star.join(hubs, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    again = again.join(label.withColumnRenamed("node", "_id"), "_id", "left").select("_id", F.coalesce("component", "_id").alias("component"))
-    open_ = written(texts.join(again, "_id").select("_id", "node", "n", "text", "component"))
-    if not open_.isEmpty():
-        s = open_.select("text").mapInArrow(_signatures, "sig long, node long").join(open_.select("_id", "node", "n", "component"), "node")
-        x, y = (s.select("sig", F.col("_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("component").alias(f"c_{k}")) for k in "ab")
-        fit = F.expr(f"c_a < c_b and {TOP} * greatest(n_a, n_b) <= {BOTTOM} * least(n_a, n_b)")
-        pairs = x.join(y, "sig").where(fit).select("a", "b").distinct()
-        pairs = pairs.join(star.where("fit").select("a", "b"), ["a", "b"], "left_anti").join(star.where("fit").select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        more = written(_links(written(pairs), texts))
-        if not more.isEmpty():
-            label = components(links.union(more))
-    of = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    return rows.join(of, "key", "left").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("rep", "_id")).alias("representative"), F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id"))
+    shared = written(sig.withColumns({"lo": F.min("node").over(within), "hi": F.max("node").over(within), "size": F.count("*").over(within)}).where("lo <> hi").select("sig", "node", "size"))
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight")).join(classes.select("node", "rep"), "node")
+    hub = F.max(F.struct("weight", "rep")).over(within)["rep"]
+    ranked = written(shared.join(weight, "node").select("sig", F.col("rep").alias("node"), "size", hub.alias("hub")).where("node <> hub").distinct())
+    forget(spark, shared)
+    star = written(ranked.groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.expr("cast(sig & 31 as int)").alias("band")).agg(F.count("*").alias("rows")))
+    tried = _possible(star.select("a", "b").distinct(), classes)
+    links = _links(tried, d, classes)
+    label = components(links)
+
+    known = written(classes.select("rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("c")))
+    least = classes.select(F.col("rep").alias("b"), F.inline("marks")).select("b", F.expr("band & 31").alias("band"), "least")
+    c = {x: known.select(F.col("rep").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab"}
+    star = written(star.join(least, ["b", "band"]).join(c["b"], "b").join(c["a"], "a"))
+    more = _near_pairs(star, known, d, classes).union(_far_pairs(ranked, star, known))
+    more = _possible(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), classes)
+    final = known.select("rep", F.col("c").alias("component"))
+    if not more.isEmpty():
+        between = _links(more, d, classes).join(c["a"], "a").join(c["b"], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("first"))
+        final = final.join(joined, "component", "left").select("rep", F.coalesce("first", "component").alias("component"))
+    final = classes.select("key", "rep").join(final.dropDuplicates(["rep"]), "rep")
+    return rows.join(final, "key", "left").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("rep", "_id")).alias("representative"), F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that link to one of a smaller id; rows with a null id stay."""
+    """docs without the documents that link to one of a smaller id; rows with a null id stay.
+
+    Only documents in a bucket with one that goes are shuffled.
+    """
     found = near_duplicates(docs, key, text)
-    gone = found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    gone = written(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_id")).distinct())
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"))
+    row = row.join(F.broadcast(_buckets(gone)), _bucket("_key") == F.col("_bucket"), "left")
+    stays = row.where("_bucket is null").select("_row")
+    return stays.union(row.where("_bucket is not null").join(gone, F.col("_key") == F.col("_id"), "left_anti").select("_row")).select("_row.*")

@@ -152,6 +152,12 @@ def test_jaccard_join_on_edited_copies(spark, with_base):
     assert linked(df) == brute.components(texts)
 
 
+def test_jaccard_join_with_two_texts_of_one_id(spark):
+    rows = [(5, "a b c d e f g"), (5, "h i j k l m n"), (6, "A b c d e f g"), (7, "q r s")]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(5, 3, 5), (5, 3, 5), (6, 3, 5), (7, 1, 7)]
+
+
 def test_signatures_find_every_link():
     rng = np.random.default_rng(2)
     for n in (5, 7, 9, 12, 16, 25, 39, 59, 100, 230, 700):

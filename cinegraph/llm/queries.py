@@ -56,6 +56,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_OP2 = r"""
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w)
+  union select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 4),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+walk as (select doc_id as d, doc_id as r from documents union select d, y from walk join e on x = r)
+select d as doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r) as component_id from walk left join n on n.doc_id = d group by d
+"""
+
 _OP5 = rf"""
 with d as (select doc_id, source, len({_WORDS})::bigint as size from documents),
 src as (select source, sum(size)::bigint as source_size from d group by source),
@@ -112,4 +124,4 @@ select record_id, canonical_url, response_id, status,
 """
 
 QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules, "pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10}
+ORACLE_SQL = {"op2_ngram_join": _OP2, "op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10}

@@ -43,7 +43,7 @@ NEAR = 8
 #: Buckets of ids by which texts are sieved before they are shuffled: few enough to broadcast, whatever the input.
 SIEVE = 1 << 18
 #: Words whose hashes a worker keeps.
-KEPT = 500_000
+KEPT = 250_000
 
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -230,24 +230,25 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array([alike(x, y, k) for x, y, k in zip(da, db, n, strict=True)], pa.bool_())).select(["a", "b"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns a, a_node, a_text, b, b_node, b_text to those (a, b) whose sets are similar."""
+def _pairs(batch: pa.RecordBatch, rows: int = 200) -> Iterator[tuple]:
+    """(a, set of a, b, set of b) of each row; sets of a, the hub, are kept from row to row. Few texts at a time are held."""
     kept: dict[int, np.ndarray] = {}
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        sets = shingle_sets(part.column("b_text").to_pylist())
+        for a, node, b, t in zip(*(part.column(n).to_pylist() for n in ("a", "a_node", "b")), sets, strict=True):
+            if node not in kept:
+                if len(kept) >= 32:
+                    kept.clear()
+                kept[node] = shingles(part.column("a_text")[part.column("a_node").index(node).as_py()].as_py())
+            yield a, kept[node], b, t
 
-    def of(node: int, text: str) -> np.ndarray:
-        if node not in kept:
-            if len(kept) >= 256:
-                kept.clear()
-            kept[node] = shingles(text)
-        return kept[node]
 
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns a, a_node, a_text, b, b_node, b_text to those (a, b) whose sets are similar."""
     for batch in batches:
-        a, b = [], []
-        names = ("a", "a_node", "a_text", "b", "b_node", "b_text")
-        for x, x_node, x_text, y, y_node, y_text in zip(*(batch.column(n) for n in names), strict=True):
-            if similar(of(x_node.as_py(), x_text.as_py()), of(y_node.as_py(), y_text.as_py())):
-                a.append(x.as_py())
-                b.append(y.as_py())
+        rows = [(a, b) for a, s, b, t in _pairs(batch) if similar(s, t)]
+        a, b = zip(*rows, strict=True) if rows else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -263,13 +264,16 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, added, removed): the hashes that b's set has beyond a's, and how many of a's it lacks."""
     for batch in batches:
-        rows = []
-        for x, x_text, y, y_text in zip(*(batch.column(n).to_pylist() for n in ("a", "a_text", "b", "b_text")), strict=True):
-            s, t = shingles(x_text), shingles(y_text)
-            added = np.setdiff1d(t, s, assume_unique=True)
-            rows.append((x, y, added.view(np.int64).tolist(), len(s) - len(t) + len(added)))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()), strict=True)], ["a", "b", "added", "removed"])
+        ids, added, ends, removed = [], [], [0], []
+        for a, s, b, t in _pairs(batch):
+            added.append(np.setdiff1d(t, s, assume_unique=True).view(np.int64))
+            ends.append(ends[-1] + len(added[-1]))
+            removed.append(len(s) - len(t) + len(added[-1]))
+            ids.append((a, b))
+        a, b = zip(*ids, strict=True) if ids else ((), ())
+        flat = pa.array(np.concatenate(added) if added else np.zeros(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(removed, pa.int64())], ["a", "b", "added", "removed"])
 
 
 def _bucket(column: str) -> Column:

@@ -258,7 +258,7 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sized = pairs.join(of["a"], "a").join(of["b"], "b").where(f"{TOP} * greatest(n_a, n_b) <= {BOTTOM} * least(n_a, n_b)")
     band = "greatest(m_a[0].band, m_b[0].band)"
     digests = [F.expr(f"get(filter(m_{x}, m -> m.band = {band}), 0).digest").alias(f"d_{x}") for x in "ab"]
-    return written(sized.select("a", "b", *digests, (F.col("n_a") + F.col("n_b")).alias("n")).where("d_a is not null and d_b is not null").mapInArrow(_alike, "a long, b long"))
+    return written(sized.select("a", "b", *digests, (F.col("n_a") + F.col("n_b")).alias("n")).where("d_a is not null and d_b is not null").mapInArrow(_alike, "a long, b long"), narrow=True)
 
 
 def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,9 +290,9 @@ def _with_texts(pairs: DataFrame, d: DataFrame, classes: DataFrame, step, schema
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     sieved = d.join(F.broadcast(_buckets(nodes)), _bucket("_id") == F.col("_bucket"), "left_semi")
     texts = sieved.join(nodes, "_id", "left_semi").join(classes.select(F.col("rep").alias("_id"), "node"), "_id").dropDuplicates(["_id", "node"])
-    texts = written(texts.select("_id", "node", "text"))
+    texts = written(texts.select("_id", "node", "text"), narrow=True)
     t = {x: texts.select(F.col("_id").alias(x), F.col("node").alias(f"{x}_node"), F.col("text").alias(f"{x}_text")) for x in "ab"}
-    out = written(pairs.join(t["b"], "b").join(t["a"], "a").select("a", "a_node", "a_text", "b", "b_node", "b_text").mapInArrow(step, schema))
+    out = written(pairs.join(t["b"], "b").join(t["a"], "a").select("a", "a_node", "a_text", "b", "b_node", "b_text").mapInArrow(step, schema), narrow=True)
     forget(d.sparkSession, texts)
     return out
 
@@ -314,12 +314,12 @@ def _near_pairs(star: DataFrame, known: DataFrame, d: DataFrame, classes: DataFr
     at most, so of those beyond they share one of x's n_x / 4 + 1 rarest: what many have is looked up for few.
     """
     near = star.where(f"{NEAR} * rows >= least").select("a", "b", "c_a", "c_b").distinct()
-    near = written(near.withColumn("open", F.max(F.col("c_a") != F.col("c_b")).over(Window.partitionBy("a"))).where("open").select("a", "b", (F.col("c_a") != F.col("c_b")).alias("open")))
+    near = written(near.withColumn("open", F.max(F.col("c_a") != F.col("c_b")).over(Window.partitionBy("a"))).where("open").select("a", "b", (F.col("c_a") != F.col("c_b")).alias("open")), narrow=True)
     deltas = _with_texts(near.select("a", "b"), d, classes, _deltas, "a long, b long, added array<long>, removed long")
     deltas = deltas.join(near, ["a", "b"]).join(known.select(F.col("rep").alias("b"), "n", "c"), "b")
-    deltas = written(deltas.withColumn("beyond", F.size("added")))
+    deltas = written(deltas.withColumn("beyond", F.size("added")), narrow=True)
     own = Window.partitionBy("a", "b")
-    spread = written(deltas.select("a", "b", F.explode("added").alias("e")).withColumn("often", F.count("*").over(Window.partitionBy("a", "e"))).where("often > 1"))
+    spread = written(deltas.select("a", "b", F.explode("added").alias("e")).withColumn("often", F.count("*").over(Window.partitionBy("a", "e"))).where("often > 1"), narrow=True)
     x = spread.join(deltas.where("open").select("a", "b", "n", "c", "beyond"), ["a", "b"])
     x = x.withColumn("rank", F.row_number().over(own.orderBy("often", "e")) + F.col("beyond") - F.count("*").over(own)).where("rank <= n div 4 + 1")
     x = x.select("a", "e", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"))
@@ -343,7 +343,7 @@ def _far_pairs(ranked: DataFrame, star: DataFrame, known: DataFrame) -> DataFram
     hubs = far.withColumn("all", F.sum("rows").over(by)).where("2 * all >= least").select("hub", "x", "band", "least")
     x = ranked.select("sig", F.expr("cast(sig & 31 as int)").alias("band"), "size", "hub", F.col("node").alias("x")).join(hubs, ["hub", "x", "band"])
     x = x.withColumns({"rank": F.row_number().over(by.orderBy("size", "sig")), "all": F.count("*").over(by)}).where("2 * (all - rank + 1) >= least")
-    x = written(x.select("sig", "x").join(known.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x")), "x"))
+    x = written(x.select("sig", "x").join(known.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x")), "x"), narrow=True)
     y = ranked.select("sig", F.col("node").alias("y")).join(x.select("sig").distinct(), "sig", "left_semi").join(known.select(F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y")), "y")
     return x.join(y, "sig").where(FIT).select("x", "y")
 
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))
     rows = written(d.mapInArrow(_sets, SETS))
-    classes = written(rows.where("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("marks").alias("marks")))
+    classes = written(rows.where("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("marks").alias("marks")), narrow=True)
 
     within = Window.partitionBy("sig")
     sig = d.where("_id is not null").select("text").mapInArrow(_signatures, "sig long, node long")
@@ -377,15 +377,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     hub = F.max(F.struct("weight", "rep")).over(within)["rep"]
     ranked = written(shared.join(weight, "node").select("sig", F.col("rep").alias("node"), "size", hub.alias("hub")).where("node <> hub").distinct())
     forget(spark, shared)
-    star = written(ranked.groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.expr("cast(sig & 31 as int)").alias("band")).agg(F.count("*").alias("rows")))
+    star = written(ranked.groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.expr("cast(sig & 31 as int)").alias("band")).agg(F.count("*").alias("rows")), narrow=True)
     tried = _possible(star.select("a", "b").distinct(), classes)
     links = _links(tried, d, classes)
     label = components(links)
 
-    known = written(classes.select("rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("c")))
+    known = written(classes.select("rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("c")), narrow=True)
     least = classes.select(F.col("rep").alias("b"), F.inline("marks")).select("b", F.expr("band & 31").alias("band"), "least")
     c = {x: known.select(F.col("rep").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab"}
-    star = written(star.join(least, ["b", "band"]).join(c["b"], "b").join(c["a"], "a"))
+    star = written(star.join(least, ["b", "band"]).join(c["b"], "b").join(c["a"], "a"), narrow=True)
     more = _near_pairs(star, known, d, classes).union(_far_pairs(ranked, star, known))
     more = _possible(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), classes)
     final = known.select("rep", F.col("c").alias("component"))
@@ -403,7 +403,7 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     Only documents in a bucket with one that goes are shuffled.
     """
     found = near_duplicates(docs, key, text)
-    gone = written(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_id")).distinct())
+    gone = written(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_id")).distinct(), narrow=True)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"))
     row = row.join(F.broadcast(_buckets(gone)), _bucket("_key") == F.col("_bucket"), "left")
     stays = row.where("_bucket is null").select("_row")

@@ -1,8 +1,10 @@
 """Scores of whole documents by a gated recurrent language model with a class-factored output.
 
 Counts of all training tokens are made on the cluster and give the base score, the classes, the output's first biases
-and the chances of rare words. The recurrent part is fitted in numpy to a bounded sample of training documents by
-truncated back-propagation, and scores every document on the executors with its state carried from window to window.
+and the chances of rare words. The recurrent part starts from a fit to a small sample on the driver. Then every training
+document is learned from once, whole, by truncated back-propagation in numpy on the executors: each partition trains its
+own copy on its documents of a round, and the copies are averaged by tokens between the rounds. It scores every document
+on the executors with its state carried from window to window.
 """
 
 from __future__ import annotations
@@ -24,9 +26,14 @@ from cinegraph.llm.common import written
 FOLDS, HELD = 5, 1
 #: Most frequent tokens that every worker knows; others are joined to their counts.
 HEAD = 1 << 17
-#: Of these, the tokens that the recurrent model tells apart, and the classes that they are dealt to.
-SHORT, CLASSES = 2000, 45
-#: Documents, bytes of a document and tokens of the sample that the recurrent part is fitted to.
+#: Of these, the tokens that the recurrent model tells apart, and the classes that they are dealt to: so many at least,
+#: and this power of the training tokens and the root of the short list where that is more.
+SHORT, CLASSES, GROWTH = 2000, 45, 0.42
+#: Rounds that the training documents are dealt to, lanes, tokens held at once and rate of a worker that trains.
+ROUNDS, TRAIN_LANES, TRAIN_WINDOW, TRAIN_TOKENS, TRAIN_RATE = 3, 128, 20, 400_000, 0.005
+#: Parts that a model is cut into to be averaged.
+PIECES = 64
+#: Documents, bytes of a document and tokens of the sample that the first fit on the driver takes.
 SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOKENS = 600, 20_000, 160_000
 HIDDEN, WINDOW, LANES, EPOCHS, RATE = 24, 20, 32, 3, 0.01
 #: Documents that a worker scores side by side, and steps between two looks at the output layer.
@@ -69,6 +76,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+class Adam:
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        self.p, self.t = p, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+
+    def update(self, grads: dict, size: int, rate: float) -> None:
+        self.t += 1
+        step = rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        for k, g in grads.items():
+            g /= size / 4
+            np.clip(g, -1, 1, out=g)
+            m, v = self.m[k], self.v[k]
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            self.p[k] -= step * m / (np.sqrt(v) + 1e-8)
+
+
 @dataclass
 class Model:
     """Tokens 0..k-1 are the short list by count; k is any other token, k + 1 the start of a document."""
@@ -138,50 +162,58 @@ class Model:
                 dh[at] += db @ p["W"][lo:hi]
         return out if grads is None else (out, dh)
 
+    def window(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray, grads: dict) -> np.ndarray:
+        """Adds one window's gradients to grads and returns the state after it; a y below 0 is no token."""
+        p, n, kept = self.p, h.shape[1], []
+        for xi, f in zip(x, first, strict=True):
+            h0 = h * ~f[:, None]
+            h, z, r, rh, c = self.step(xi, h0)
+            kept.append((h0, z, r, rh, c, h))
+        states, flat = np.concatenate([k[5] for k in kept]), y.ravel()
+        use = flat >= 0
+        dhs = np.zeros_like(states)
+        dhs[use] = self.output(states[use], flat[use], grads)[1]
+        dhs, dh, de = dhs.reshape(len(kept), -1, n), np.zeros_like(h), []
+        for (h0, z, r, rh, c, _), f, out in zip(reversed(kept), first[::-1], dhs[::-1], strict=True):
+            dh = dh + out
+            dc = dh * z * (1 - c * c)
+            dz = dh * (c - h0) * z * (1 - z)
+            grads["Un"] += rh.T @ dc
+            drh = dc @ p["Un"].T
+            dr = drh * h0 * r * (1 - r)
+            dg = np.concatenate((dz, dr), 1)
+            grads["U"] += h0.T @ dg
+            de.append(np.concatenate((dg, dc), 1))
+            dh = (dh * (1 - z) + drh * r + dg @ p["U"].T) * ~f[:, None]
+        flat, de = x.ravel(), np.concatenate(de[::-1])
+        order = np.argsort(flat, kind="stable")
+        at = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        grads["E"][flat[order][at]] += np.add.reduceat(de[order], at)
+        return h
+
     def fit(self, docs: list[np.ndarray], lanes: int = LANES, window: int = WINDOW, epochs: int = EPOCHS, rate: float = RATE, seed: int = 6) -> None:
         """Truncated back-propagation with Adam: errors go back through one window, the state goes on to the next."""
         if not docs:
             return
-        rng, n, p = np.random.default_rng(seed), self.p["Un"].shape[0], self.p
-        (m, v), t = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2)), 0
+        rng, adam = np.random.default_rng(seed), Adam(self.p)
         for epoch in range(epochs):
-            order = rng.permutation(len(docs))
-            y = np.concatenate([docs[i] for i in order])
-            first = np.zeros(len(y), bool)
-            first[np.cumsum([0] + [len(docs[i]) for i in order[:-1]])] = True
-            x = np.where(first, len(p["E"]) - 1, np.concatenate(([0], y[:-1])))
-            width = max(1, len(y) // lanes)
-            x, y, first = (a[: len(a) // width * width].reshape(-1, width).T for a in (x, y, first))
-            h = np.zeros((x.shape[1], n), np.float32)
-            for at in range(0, width, window):
-                kept, grads = [], {k: np.zeros_like(w) for k, w in p.items()}
-                for i in range(at, min(at + window, width)):
-                    h0 = h * ~first[i][:, None]
-                    h, z, r, rh, c = self.step(x[i], h0)
-                    kept.append((x[i], h0, z, r, rh, c, h, first[i]))
-                _, dhs = self.output(np.concatenate([k[6] for k in kept]), y[at : at + window].ravel(), grads)
-                dhs = dhs.reshape(len(kept), -1, n)
-                dh = np.zeros_like(h)
-                for (xi, h0, z, r, rh, c, _, f), out in zip(reversed(kept), dhs[::-1], strict=True):
-                    dh = dh + out
-                    dc = dh * z * (1 - c * c)
-                    dz = dh * (c - h0) * z * (1 - z)
-                    grads["Un"] += rh.T @ dc
-                    drh = dc @ p["Un"].T
-                    dr = drh * h0 * r * (1 - r)
-                    dg = np.concatenate((dz, dr), 1)
-                    grads["U"] += h0.T @ dg
-                    np.add.at(grads["E"], xi, np.concatenate((dg, dc), 1))
-                    dh = (dh * (1 - z) + drh * r + dg @ p["U"].T) * ~f[:, None]
-                t += 1
-                size = len(kept) * x.shape[1]
-                step = rate * (1 - 0.8 * (epoch + at / width) / epochs) * math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-                for k, g in grads.items():
-                    g /= size / 4
-                    np.clip(g, -1, 1, out=g)
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.001 * (g * g - v[k])
-                    p[k] -= step * m[k] / (np.sqrt(v[k]) + 1e-8)
+            self.learn([docs[i] for i in rng.permutation(len(docs))], adam, lanes, window, lambda done, epoch=epoch: rate * (1 - 0.8 * (epoch + done) / epochs))
+
+    def learn(self, docs: list[np.ndarray], adam: Adam, lanes: int, window: int, rate) -> None:
+        """One pass over docs, every token of them; they are cut into lanes of one length, the last one filled up with no tokens."""
+        y = np.concatenate(docs)
+        first = np.zeros(len(y), bool)
+        first[np.cumsum([0] + [len(d) for d in docs[:-1]])] = True
+        x = np.where(first, len(self.p["E"]) - 1, np.concatenate(([0], y[:-1])))
+        width = -(-len(y) // lanes)
+        rows = -(-len(y) // width)
+        x, y, first = (np.concatenate((a, np.full(rows * width - len(a), fill, a.dtype))).reshape(rows, width).T for a, fill in ((x, 0), (y, -1), (first, False)))
+        h = np.zeros((rows, self.p["Un"].shape[0]), np.float32)
+        for at in range(0, width, window):
+            part = slice(at, at + window)
+            grads = {k: np.zeros_like(w) for k, w in self.p.items()}
+            h = self.window(x[part], y[part], first[part], h, grads)
+            adam.update(grads, max(1, int((y[part] >= 0).sum())), rate(at / width))
 
     def log10(self, docs: list[np.ndarray], lanes: int = SCORE_LANES, window: int = SCORE_WINDOW) -> np.ndarray:
         """The whole log-probability of each document; lanes take one document after the other."""
@@ -228,7 +260,7 @@ class Model:
 
 @dataclass
 class Known:
-    """What every worker gets: bounded by HEAD, SHORT and HIDDEN, whatever the corpus."""
+    """What every worker gets: bounded by HEAD and HIDDEN, whatever the corpus."""
 
     tokens: list[bytes]
     counts: np.ndarray
@@ -278,6 +310,63 @@ def _scores(held):
     return scores
 
 
+def _learned(held, rate: float):
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        tokens, kept = held.value
+        index, none = {t: i for i, t in enumerate(tokens)}, len(tokens)
+        model = Model(kept.token_class, kept.starts, {k: x.copy() for k, x in kept.p.items()})
+        adam, seen, docs, size = Adam(model.p), 0, [], 0
+        for b in batches:
+            for text in b.column(0):
+                words = tokens_of(text.as_py())
+                docs.append(np.fromiter((index.get(w, none) for w in words), np.int64, len(words)))
+                size += len(words)
+                if size >= TRAIN_TOKENS:
+                    model.learn(docs, adam, TRAIN_LANES, TRAIN_WINDOW, lambda _: rate)
+                    seen, docs, size = seen + size, [], 0
+        if docs:
+            model.learn(docs, adam, min(TRAIN_LANES, max(4, size // (64 * TRAIN_WINDOW))), TRAIN_WINDOW, lambda _: rate)
+            seen += size
+        if seen:
+            cut = np.array_split(np.concatenate([x.ravel() for x in model.p.values()]), PIECES)
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([part] * PIECES, pa.int32()), pa.array([seen] * PIECES, pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], ["piece", "part", "seen", "x"])
+
+    return learned
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, list] = {}
+    for b in batches:
+        for piece, seen, x in zip(*(b.column(c).to_pylist() for c in ("piece", "seen", "x")), strict=True):
+            acc = sums.setdefault(piece, [0, 0.0])
+            acc[0] += seen
+            acc[1] = acc[1] + seen * np.frombuffer(x, np.float32).astype(float)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([a[0] for a in sums.values()], pa.int64()), pa.array([(a[1] / a[0]).astype(np.float32).tobytes() for a in sums.values()], pa.binary())], ["piece", "seen", "x"])
+
+
+def learn_all(docs: DataFrame, model: Model, tokens: list[bytes]) -> int:
+    """Every row of docs (key, text, held_out) that trains goes through the model once, in one of the rounds; gives the tokens learned from."""
+    sc, learned = docs.sparkSession.sparkContext, 0
+    which = F.pmod(F.xxhash64("key", "text", F.lit(11)), F.lit(ROUNDS))
+    for i in range(ROUNDS):
+        held = sc.broadcast((tokens, model))
+        now = docs.where(~F.col("held_out") & (which == i)).select("text")
+        copies = now.mapInArrow(_learned(held, TRAIN_RATE * (1 - i / ROUNDS)), "piece int, part int, seen long, x binary")
+        mean = copies.repartition("piece").sortWithinPartitions("piece", "part").mapInArrow(_averaged, "piece int, seen long, x binary")
+        rows = sorted(mean.collect(), key=lambda r: r["piece"])
+        held.unpersist()
+        if rows:
+            learned += rows[0]["seen"]
+            flat, at = np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows]), 0
+            for k, x in model.p.items():
+                model.p[k] = flat[at : at + x.size].reshape(x.shape).copy()
+                at += x.size
+    return learned
+
+
 def train(docs: DataFrame, counts: DataFrame) -> Known:
     """docs (key, text, held_out) and the counts of all training tokens to what the workers need."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -291,8 +380,8 @@ def train(docs: DataFrame, counts: DataFrame) -> Known:
         least = r["least"]
     head = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], bytes(r["token"]))) if least < math.inf else []
     tokens, n = [bytes(r["token"]) for r in head], np.array([r["n"] for r in head], np.int64)
-    k = min(SHORT, len(tokens))
-    model = Model.of(n[:k].astype(float), float(total - n[:k].sum()))
+    k = min(max(SHORT, int(total**GROWTH)), len(tokens))
+    model = Model.of(n[:k].astype(float), float(total - n[:k].sum()), classes=max(CLASSES, math.isqrt(k)))
     index = {t: i for i, t in enumerate(tokens[:k])}
     # One end a training document: so many there are, and a share of the hashes leaves about twice the sample.
     ends = counts.where(F.col("token") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -307,6 +396,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Known:
             texts.append(ids)
             size += len(ids)
     model.fit(texts)
+    learn_all(docs, model, tokens[:k])
     return Known(tokens, n, int(total), int(distinct), model)
 
 

@@ -368,6 +368,24 @@ def test_model_learns_what_follows_what():
     assert m.log10(docs[:20]).sum() > 0.5 * before
 
 
+def test_every_training_document_is_learned_from_long_ones_too(spark):
+    rng = random.Random(4)
+
+    def text():
+        a = rng.randrange(10)
+        return " ".join(f"number{(a + 3 * i) % 10}" for i in range(3000))
+
+    rows = [(i, text()) for i in range(40)]
+    assert all(len(t) > lm.SAMPLE_BYTES for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in lm.score(df).collect():
+        assert r.score > 0.7 * r.base_score
+    docs = df.select(F.col("doc_id").alias("key"), "text", lm.is_held_out(F.col("doc_id")).alias("held_out"))
+    words = [f"number{i}".encode() for i in range(10)]
+    model = lm.Model.of(np.full(10, 1.0), 1.0)
+    assert lm.learn_all(docs, model, words) == sum(3001 for i, _ in rows if not brute.held_out(i))
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(1500, 12)).astype("f4") * rng.uniform(0.5, 2, (1500, 1)).astype("f4")

@@ -31,9 +31,10 @@ ENCODINGS = (
 #: Lower ends of the length bands within which false discoveries are controlled.
 BANDS = (16, 24, 32, 48, 64)
 
-#: Written words: a neighbour is of another class (lower, upper, digit, mark) at most this often, and two symbols are
-#: equal at least this often.
-TEXT_CHANGE, TEXT_PAIRS = 0.3, 0.06
+#: What is written by hand or counted up, by the alphabet that it fits: a neighbour is of another class (lower, upper,
+#: digit, mark) at most this often, two symbols are equal at least this often, and the lag-one serial correlation of the
+#: symbols' places is at least this.
+WRITTEN = {"hex": (0.05, 0.09, -0.1), "base32": (0.04, 0.06, -0.1), "base36": (0.06, 0.06, -0.1), "base64": (0.3, 0.06, -0.1)}
 
 #: A p-value is counted by its whole tenths of a decimal digit, up to this many.
 STEPS = 400
@@ -78,15 +79,17 @@ def battery(found: str, text: str) -> Column:
     chi-squared for uniform counts, standardised; Wald and Wolfowitz's runs above and below the middle, standardised;
     the lag-one serial correlation times sqrt(n). p_random: the smallest of their tails, times three: small where the
     string is no random one of its alphabet.
-    p_text: a bound to the chance that a written word looks so mixed: Chernoff's bound to as many changes of class under
-    TEXT_CHANGE, and to as few equal pairs under TEXT_PAIRS, joined as Fisher does. Short strings cannot get a small one.
+    p_text: a bound to the chance that what is written in the same alphabet (WRITTEN) looks so mixed, from the same three
+    tests: Chernoff's bounds to as many runs of classes, to as few equal pairs, on which chi-squared rests, and to so low a
+    serial correlation, joined as Fisher does. Short strings cannot get a small one.
     """
     fits = " ".join(f"when c.tok rlike '^({p})$' then '{name}'" for name, p, _ in ENCODINGS)
     letters = " ".join(f"when '{name}' then '{a}'" for name, _, a in ENCODINGS)
+    written = [f"case c.encoding {' '.join(f"when '{name}' then {w[i]}D" for name, w in WRITTEN.items())} end" for i in range(3)]
     layers = [
         {"tok": f"substring({text}, c.start + 1, c.end - c.start)"},
         {"n": "length(c.tok)", "encoding": f"case {fits} end"},
-        {"norm": "translate(if(c.encoding in ('hex', 'base36'), lower(c.tok), c.tok), '-_', '+/')", "a": f"case c.encoding {letters} end"},
+        {"norm": "translate(if(c.encoding in ('hex', 'base36'), lower(c.tok), c.tok), '-_', '+/')", "a": f"case c.encoding {letters} end", "change": written[0], "equal": written[1], "least_serial": written[2]},
         {"s": "transform(filter(split(c.norm, ''), x -> x <> ''), x -> locate(x, c.a) - 1)", "k": "length(c.a)", "cls": "split(translate(c.tok, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-', concat(repeat('a', 26), repeat('A', 26), repeat('0', 10), repeat('+', 4))), '')"},
         {
             "cc": "aggregate(sequence(1, c.k), 0D, (acc, j) -> acc + pow(c.n - length(replace(c.norm, substr(c.a, j, 1), '')), 2))",
@@ -102,17 +105,19 @@ def battery(found: str, text: str) -> Column:
             "chi": "(c.cc * c.k / c.n - c.n - (c.k - 1)) / sqrt(2D * (c.k - 1))",
             "rate": "c.turns / (c.n - 1D)",
             "pairs": "(c.cc - c.n) / 2",
-            "want": f"{TEXT_PAIRS}D * c.n * (c.n - 1) / 2",
+            "want": "c.equal * c.n * (c.n - 1) / 2",
         },
         {
             "runs_z": "if(c.mu > 2, (c.runs - c.mu) / sqrt((c.mu - 1) * (c.mu - 2) / (c.n - 1)), 0D)",
             "serial_z": "if(c.var > 0, c.cov / c.var * sqrt(c.n), 0D)",
-            "e_turns": f"if(c.rate > {TEXT_CHANGE}D, (c.n - 1) * (c.rate * ln(c.rate / {TEXT_CHANGE}D) + if(c.rate < 1, (1 - c.rate) * ln((1 - c.rate) / {1 - TEXT_CHANGE}D), 0D)), 0D)",
+            "e_turns": "if(c.rate > c.change, (c.n - 1) * (c.rate * ln(c.rate / c.change) + if(c.rate < 1, (1 - c.rate) * ln((1 - c.rate) / (1 - c.change)), 0D)), 0D)",
             "e_pairs": "if(c.pairs < c.want, c.want - c.pairs + if(c.pairs > 0, c.pairs * ln(c.pairs / c.want), 0D), 0D)",
+            "e_serial": "if(c.var > 0, c.n * pow(greatest(0D, c.least_serial - c.cov / c.var), 2) / 2, 0D)",
         },
+        {"e": "c.e_turns + c.e_pairs + c.e_serial"},
         {
             "p_random": f"least(1D, 3 * least({_upper('c.chi')}, 2 * {_upper('abs(c.runs_z)')}, 2 * {_upper('abs(c.serial_z)')}))",
-            "step": f"cast(least({STEPS - 1}, floor(10 * greatest(0D, (c.e_turns + c.e_pairs - ln(1 + c.e_turns + c.e_pairs)) / ln(10)))) as int)",
+            "step": f"cast(least({STEPS - 1}, floor(10 * greatest(0D, (c.e - ln(1 + c.e + c.e * c.e / 2)) / ln(10)))) as int)",
             "band": "case " + " ".join(f"when c.n >= {b} then {b}" for b in sorted(BANDS, reverse=True)) + " end",
         },
     ]

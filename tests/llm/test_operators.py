@@ -83,6 +83,20 @@ def test_random_strings_are_secrets_and_words_are_not(spark):
     assert all(got[i].spans == "" for i in range(20, 25))
 
 
+def test_keys_of_every_alphabet_are_secrets(spark):
+    rng, alphabets = random.Random(8), {"hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    keys = [(e, n, "".join(rng.choice(a) for _ in range(n))) for e, a in alphabets.items() for n in (16, 24, 32, 48, 64) for _ in range(40)]
+    syllables = ["tion", "er", "ing", "an", "heit", "ment", "lich", "re", "on", "th", "sch", "el"]
+    words = ["".join(rng.choice(syllables) for _ in range(7)).ljust(16, "e")[:24] for _ in range(400)]
+    names = [*words, *(w.capitalize() for w in words), *("".join(rng.choice("0123456789") for _ in range(16)) for _ in range(100)), "release20240115notes", "1234567890123456"]
+    df = spark.createDataFrame([(i, f"see {x} there") for i, x in enumerate([k for *_, k in keys] + names)], "doc_id long, text string")
+    got = by_id(secret_scan.digest(df))
+    caught = Counter((e, n) for i, (e, n, k) in enumerate(keys) if f"random:4:{4 + n}" in got[i].spans)
+    for e in alphabets:
+        assert caught[e, 16] > 0 and caught[e, 24] >= 20 and caught[e, 32] >= 30 and min(caught[e, 48], caught[e, 64]) >= 36, caught
+    assert all(got[i].spans == "" for i in range(len(keys), len(keys) + len(names)))
+
+
 def test_redaction_takes_every_span(docs, spark):
     got = by_id(secret_scan.redact(docs, size="n_chars"))
     for i, t, *_ in ROWS:

@@ -413,3 +413,50 @@ def per_key_top_and_pairs(d: Data) -> DataFrame:
     by = Window.partitionBy("n").orderBy("t")
     m = members(d).select(F.col("nconst").alias("n"), F.col("tconst").alias("t")).withColumn("r", F.row_number().over(by)).where("r <= 3")
     return m.select("n", "t", F.lead("t").over(by).alias("next"))
+
+
+# The same operators over whole tables, without bounds on ids.
+
+
+@query("with {roles} select t.tconst, role, n from titles t left join crew using (tconst)")
+def detail_assembly_all(d: Data) -> DataFrame:
+    return d.titles().select("tconst").join(d.crew(), "tconst", "left").select("tconst", F.col("category").alias("role"), F.col("nconst").alias("n"))
+
+
+@query("with {roles} select a.n as x, b.n as y, count(*) as titles from m a join m b using (t) group by all")
+def principals_self_join_all(d: Data) -> DataFrame:
+    x, y = (members(d).withColumnRenamed("nconst", k) for k in "xy")
+    return x.join(y, "tconst").groupBy("x", "y").agg(F.count("*").alias("titles"))
+
+
+@query("with {roles} select a.n as x, b.n as y, label from m a join m b using (t) join lab using (t)")
+def three_way_join_all(d: Data) -> DataFrame:
+    x, y = (members(d).withColumnRenamed("nconst", k) for k in "xy")
+    return x.join(y, "tconst").join(d.labels(), "tconst").select("x", "y", "label")
+
+
+@query("with {roles} select distinct n from m where not exists (select 1 from lineitem where l_partkey = n and l_quantity >= 50)")
+def anti_join_frontier_all(d: Data) -> DataFrame:
+    frontier = d.principals("l_quantity >= 50").select(F.col("nconst").alias("n")).distinct()
+    return members(d).select(F.col("nconst").alias("n")).distinct().join(frontier, "n", "left_anti")
+
+
+@query(_R + ", p as (select b.node, a.node as parent from dist a join e on e.x = a.node join dist b on b.node = e.y where b.distance = a.distance + 1) select node, count(distinct parent) as parents, min(parent) as first from p group by 1")
+def shortest_path_parents_all(d: Data) -> DataFrame:
+    dist = from_zero(d, d.principals())
+    near = graph.neighbours_of(members(d))(dist.select("node"))
+    a = dist.select(F.col("node").alias("parent"), F.col("distance").alias("before"))
+    p = near.join(a, "parent").join(dist, "node").where("distance = before + 1")
+    return p.groupBy("node").agg(F.countDistinct("parent").alias("parents"), F.min("parent").alias("first"))
+
+
+@query("with {roles} select n from m where t % 2 = 0 union select n from m where t % 2 = 1")
+def level_union_fold_all(d: Data) -> DataFrame:
+    m = members(d).withColumnRenamed("nconst", "n")
+    return m.where("tconst % 2 = 0").select("n").union(m.where("tconst % 2 = 1").select("n")).distinct()
+
+
+@query("select o_orderkey as k, case when o_orderkey % 2 = 1 then o_totalprice + 1 else o_totalprice end as price from orders")
+def upsert_orders_all(d: Data) -> DataFrame:
+    o = d.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))
+    return upsert(o, o.where("k % 2 = 1").withColumn("price", F.col("price") + 1), ["k"])

@@ -40,6 +40,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL), GAP), "")
 
 
+def row_key(key: Column, text: Column) -> Column:
+    """The same 16 bytes for rows of equal key and text only; null keys are equal to each other and to nothing else."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.md5(key.cast("string")), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))))
+
+
 def places(words: str, phrases: Mapping[str, str]) -> Column:
     """Array of (at, label) of the places where a phrase's words stand consecutively."""
     found = []
@@ -93,14 +98,15 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Mapp
     """doc_id, n_words, places (array of at, label), found (array of template, start, end, share) for each row of docs.
 
     places are those of the phrases; found are the verified template spans, in words from 0. Only votes are shuffled,
-    and only documents with a vote come back by their key. Null and empty texts have no words and find nothing; rows
-    that share a key share their spans of templates; rows with a null key find phrases only; an empty table gives none.
-    docs may have columns of any names; only the key and the text are read.
+    and only documents with a vote come back, by key and text. Null and empty texts have no words and find nothing; rows
+    that share a key, or have none, are scanned each; an empty table gives none. docs may
+    have columns of any names; only the key and the text are read.
     """
-    d = docs.select(F.col(f"`{key}`").alias("_id"), words_of(F.col(f"`{text}`")).alias("_w"))
+    own, body = F.col(f"`{key}`"), F.col(f"`{text}`")
+    d = docs.select(own.alias("_key"), row_key(own, body).alias("_id"), words_of(body).alias("_w"))
     per = spans(votes(d, templates, k), k, cover, reach).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("template", "start", "end", "share"))).alias("found"))
-    base = d.select("_id", F.size("_w").cast("long").alias("n_words"), places("_w", phrases).alias("places"))
-    return base.join(per, "_id", "left").select(F.col("_id").alias(key), "n_words", "places", F.coalesce("found", F.array().cast("array<struct<template:string,start:int,end:int,share:double>>")).alias("found"))
+    base = d.select("_id", "_key", F.size("_w").cast("long").alias("n_words"), places("_w", phrases).alias("places"))
+    return base.join(per, "_id", "left").select(F.col("_key").alias(key), "n_words", "places", F.coalesce("found", F.array().cast("array<struct<template:string,start:int,end:int,share:double>>")).alias("found"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -320,6 +320,14 @@ def test_diagonals_find_an_altered_notice(spark):
     assert [f.template for f in got[1].found] == ["mit-grant"] and got[1].found[0].start == 2 and got[1].found[0].share > 0.7 and got[2].found == []
 
 
+def test_rows_of_one_key_or_none_keep_their_own_licenses(spark):
+    notice, clean = license_scan.TEMPLATES["bsd-grant"], "a clean text of a few words"
+    df = spark.createDataFrame([(1, notice), (1, clean), (1, notice), (None, notice), (None, clean), (2, clean)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.labels, r.score) for r in license_scan.digest(df).collect())
+    n = len(notice.split())
+    assert got == sorted([("1", n, "bsd-grant", 1.0)] * 2 + [("None", n, "bsd-grant", 1.0)] + [(i, 7, "", 0.0) for i in ("1", "None", "2")])
+
+
 def test_language_model(docs):
     got = by_id(lm.score(docs))
     counts = Counter()

@@ -25,15 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
-def written(df: DataFrame, narrow: bool = False) -> DataFrame:
+def written(df: DataFrame, narrow: bool = False, dealt: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and safe from the loss of executors.
 
-    narrow is for tables of short rows after a shuffle: an eighth as many files as there are shuffle partitions.
+    narrow is for tables of short rows after a shuffle: an eighth as many files as there are shuffle partitions. dealt
+    is for short rows that long work comes before: that keeps its tasks, and the rows are dealt to as few files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    if narrow:
-        df = df.coalesce(max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    files = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    df = df.coalesce(files) if narrow else df.repartition(files) if dealt else df
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -183,7 +183,7 @@ def pack(docs: DataFrame, text: str = "text", length: int = LENGTH, vocabulary:
     doc = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(None).cast("int").alias("none"))
     d = docs.select(F.col(f"`{text}`").alias("_text"), doc.alias("doc"))
     kind = d.schema["doc"].dataType.simpleString()
-    pieces = written(d.mapInArrow(_pieces(vocabulary, length), f"doc {kind}, piece int, start long, length long, ids_crc32 long, _rank long, _part int"))
+    pieces = written(d.mapInArrow(_pieces(vocabulary, length), f"doc {kind}, piece int, start long, length long, ids_crc32 long, _rank long, _part int"), dealt=True)
     counts = pieces.groupBy("length", "_part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     base = counts.withColumn("_before", before).drop("n")

@@ -10,8 +10,9 @@ under "exact" if fewer than m - H of its segments are empty, under "deletion" if
 link is lost only if both sets are unsafe; unsafe sets therefore also emit their prefix of n - ceil(0.8 n) + 1 smallest
 hashes, of which linked sets share one.
 
-Two sets that differ in d places have at most d segments with different subsets. Four bits of every subset's hash make
-a short digest that refutes nearly all chance candidates before a text is moved; what it lets pass is verified exactly.
+A sketch holds the parity of a set in each of M cells of the hash range's low bits, M a power of two of about three a
+shingle. Sets that differ in d places differ in at most d cells, so sketches refute pairs without a doubt, and nearly all
+chance candidates, before a text is moved; what they let pass is verified exactly.
 """
 
 from __future__ import annotations
@@ -38,10 +39,12 @@ TOP, BOTTOM = 4, 5
 GROWTH = 1.5
 #: Cost of a chance candidate against that of a signature.
 CHANCE = 2.0
-#: A hub is near a node that has one such part of a link's least signatures in common with it.
-NEAR = 8
-#: Buckets of ids by which texts are sieved before they are shuffled: few enough to broadcast, whatever the input.
-SIEVE = 1 << 18
+#: Cells of the largest sketch; longer sets have this one too, and are refuted less often.
+CELLS = 1 << 15
+#: Bytes of sketches in a block: two blocks of a hub's nodes are what a worker compares at once.
+BLOCK = 1 << 20
+#: Bits an id in the sieve of ids, and most bits of one; beyond, texts are shuffled without a sieve.
+SIEVE, SIEVE_BITS = 16, 1 << 30
 #: Words whose hashes a worker keeps.
 KEPT = 250_000
 
@@ -121,9 +124,9 @@ def bands(largest: int) -> tuple[list[int], list[tuple[str, int, int]]]:
     return tops, plans
 
 
-def schemes(s: np.ndarray) -> Iterator[tuple[int, str, int, int, int, np.ndarray, np.ndarray]]:
-    """(band, allocation, m, H, largest partner, segments that are not empty, where they start) for each scheme of a
-    sorted set: that of its own band, and those of larger partners."""
+def schemes(s: np.ndarray) -> Iterator[tuple[int, str, int, int, np.ndarray, np.ndarray]]:
+    """(band, allocation, m, H, segments that are not empty, where they start) for each scheme of a sorted set: that of
+    its own band, and those of larger partners."""
     n, high = len(s), s >> np.uint64(32)
     tops, plans = bands(1 << (2 * n + 16).bit_length())
     for band in range(int(np.searchsorted(tops, n)), len(tops)):
@@ -136,44 +139,51 @@ def schemes(s: np.ndarray) -> Iterator[tuple[int, str, int, int, int, np.ndarray
             new[0] = True
             np.not_equal(segment[1:], segment[:-1], out=new[1:])
             starts = np.flatnonzero(new)
-            yield band, kind, m, H, min(tops[band], BOTTOM * n // TOP), segment[starts], starts
+            yield band, kind, m, H, segment[starts], starts
 
 
-def signatures(s: np.ndarray, marks: bool = False) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
-    """The signatures of a sorted set, with their band in the last five bits; or, for each scheme, its marks:
-    (band, how many signatures it has in common with any set that it links to there, digest)."""
+def signatures(s: np.ndarray) -> np.ndarray:
+    """The signatures of a sorted set, with their band in the last five bits."""
     n = len(s)
-    v, out, told = mixed(s ^ FACTORS[1]) if n else s, [], []
-    for band, kind, m, H, partner, segment, starts in schemes(s) if n else ():
+    if not n:
+        return s
+    v, out = mixed(s ^ FACTORS[1]), []
+    for band, kind, m, H, segment, starts in schemes(s):
         sums = np.add.reduceat(v, starts)
-        own = mixed(sums ^ mixed(segment * FACTORS[2] + FACTORS[3:4] * np.uint64(band + 1)))
-        empty, d = m - len(starts), (n + partner) // 9
+        salt = mixed(segment * FACTORS[2] + FACTORS[3:4] * np.uint64(band + 1))
+        empty, here = m - len(starts), [mixed(sums ^ salt)]
         if kind == "exact":
-            safe, least = empty < m - H, m - d - empty
+            safe = empty < m - H
         else:
             counts = np.diff(np.append(starts, n))
             safe = empty == 0 and counts.min() >= 2
-            least = (2 * m - d + 1) // 2
-        if marks:
-            digest = np.zeros(m + m % 2, np.uint8)
-            digest[segment.astype(np.int64)] = (own >> np.uint64(8)).astype(np.uint8) & 15
-            told.append((band, max(1, least) if safe else 1, (digest[::2] << 4 | digest[1::2]).tobytes()))
-            continue
-        here = [own]
-        if kind == "deletion":
             lone = np.repeat(counts > 1, counts)
-            salt = mixed(segment * FACTORS[2] + FACTORS[3:4] * np.uint64(band + 1))
             here.append(mixed((np.repeat(sums, counts) - v)[lone] ^ np.repeat(salt, counts)[lone]))
         if not safe:
             here.append(mixed(s[: n - (TOP * n + BOTTOM - 1) // BOTTOM + 1] + FACTORS[4:] * np.uint64(band + 1)))
         out += [x & ~np.uint64(31) | np.uint64(band & 31) for x in here]
-    return (np.concatenate(out) if out else s[:0]), told
+    return np.concatenate(out) if out else s[:0]
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parities of a set's cells; the first half xor the second is the sketch of half as many cells."""
+    cells = min(CELLS, max(64, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits((np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(x: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, one a row of 64-bit words, as those of width words."""
+    while x.shape[1] > width:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
 
 
 def alike(a: bytes, b: bytes, n: int) -> bool:
-    """Whether digests of two sets of n elements in all differ in no more segments than linked sets do."""
-    x = np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)
-    return int(np.count_nonzero(x & 15) + np.count_nonzero(x >> 4)) <= n // 9
+    """Whether sketches of two sets of n elements in all differ in no more cells than linked sets do."""
+    x, y = (np.frombuffer(k, np.uint64)[None] for k in (a, b))
+    width = min(x.shape[1], y.shape[1])
+    return int(np.bitwise_count(folded(x, width) ^ folded(y, width)).sum()) <= n // 9
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -181,8 +191,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and BOTTOM * both >= TOP * (len(a) + len(b) - both)
 
 
-SETS = "_id long, n long, key binary, node long, marks array<struct<band:int,least:int,digest:binary>>"
-MARKS = pa.list_(pa.struct([("band", pa.int32()), ("least", pa.int32()), ("digest", pa.binary())]))
+SETS = "_id long, n long, key binary, node long, sketch binary"
 
 
 def _pieces(texts: pa.Array, rows: int = 500) -> Iterator[np.ndarray]:
@@ -195,9 +204,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for s in _pieces(b.column(1)):
             k = key_of(s)
-            rows.append((len(s), k, node_of(k), [dict(zip(("band", "least", "digest"), m, strict=True)) for m in signatures(s, True)[1]]))
-        n, k, node, marks = zip(*rows, strict=True) if rows else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(node, pa.int64()), pa.array(marks, MARKS)], ["_id", "n", "key", "node", "marks"])
+            rows.append((len(s), k, node_of(k), sketch(s)))
+        n, k, node, sketches = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k, pa.binary()), pa.array(node, pa.int64()), pa.array(sketches, pa.binary())], ["_id", "n", "key", "node", "sketch"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +223,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if node in seen or not len(s):
                 continue
             seen.add(node)
-            sigs.append(signatures(s)[0])
+            sigs.append(signatures(s))
             nodes.append(node)
             size += len(sigs[-1])
             if size > 200_000:
@@ -226,7 +235,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        da, db, n = (batch.column(c).to_pylist() for c in ("d_a", "d_b", "n"))
+        da, db, n = (batch.column(c).to_pylist() for c in ("s_a", "s_b", "n"))
         yield batch.filter(pa.array([alike(x, y, k) for x, y, k in zip(da, db, n, strict=True)], pa.bool_())).select(["a", "b"])
 
 
@@ -253,99 +262,157 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives that sizes and digests do not refute, written."""
-    of = {x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}")) for x in "ab"}
+    """The pairs (a, b) of representatives that sizes and sketches do not refute, written."""
+    of = {x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab"}
     sized = pairs.join(of["a"], "a").join(of["b"], "b").where(f"{TOP} * greatest(n_a, n_b) <= {BOTTOM} * least(n_a, n_b)")
-    band = "greatest(m_a[0].band, m_b[0].band)"
-    digests = [F.expr(f"get(filter(m_{x}, m -> m.band = {band}), 0).digest").alias(f"d_{x}") for x in "ab"]
-    return written(sized.select("a", "b", *digests, (F.col("n_a") + F.col("n_b")).alias("n")).where("d_a is not null and d_b is not null").mapInArrow(_alike, "a long, b long"), narrow=True)
+    return written(sized.select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(_alike, "a long, b long").distinct(), narrow=True)
 
 
-def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, added, removed): the hashes that b's set has beyond a's, and how many of a's it lacks."""
-    for batch in batches:
-        ids, added, ends, removed = [], [], [0], []
-        for a, s, b, t in _pairs(batch):
-            added.append(np.setdiff1d(t, s, assume_unique=True).view(np.int64))
-            ends.append(ends[-1] + len(added[-1]))
-            removed.append(len(s) - len(t) + len(added[-1]))
-            ids.append((a, b))
-        a, b = zip(*ids, strict=True) if ids else ((), ())
-        flat = pa.array(np.concatenate(added) if added else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), lists, pa.array(removed, pa.int64())], ["a", "b", "added", "removed"])
+def sieve(ids: DataFrame) -> tuple[DataFrame, int] | None:
+    """(bitmaps, number of bits) that every id of ids (_id) has a bit in, and one other id in sixteen or fewer.
+
+    Bits grow with the ids, so the sieve is as fine at every size. Bitmaps are broadcast, 128 MB at most; for more ids
+    than these have bits for there is none.
+    """
+    n = ids.count()
+    bits = 1 << max(15, (SIEVE * n - 1).bit_length() if n else 0)
+    if bits > SIEVE_BITS:
+        return None
+    at = F.pmod(F.xxhash64("_id"), F.lit(bits))
+    return ids.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")), bits
 
 
-def _bucket(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SIEVE))
+def _passes(key: Column, bits: int) -> Column:
+    at = F.bitmap_bit_position(F.pmod(F.xxhash64(key), F.lit(bits)))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
 
 
-def _buckets(ids: DataFrame) -> DataFrame:
-    """The buckets of ids (_id): at most SIEVE rows."""
-    return ids.select(_bucket("_id").alias("_bucket")).distinct()
+def _sieved(d: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of d whose _id is one of ids, and few others."""
+    made = sieve(ids)
+    if made is None:
+        return d
+    bitmaps, bits = made
+    bucket = F.bitmap_bucket_number(F.pmod(F.xxhash64("_id"), F.lit(bits)))
+    return d.join(F.broadcast(bitmaps), (bucket == F.col("_bucket")) & _passes(F.col("_id"), bits), "left_semi")
 
 
-def _with_texts(pairs: DataFrame, d: DataFrame, classes: DataFrame, step, schema: str) -> DataFrame:
-    """What step makes of the pairs (a, b) of representatives and their whole texts, written."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sieved = d.join(F.broadcast(_buckets(nodes)), _bucket("_id") == F.col("_bucket"), "left_semi")
-    texts = sieved.join(nodes, "_id", "left_semi").join(classes.select(F.col("rep").alias("_id"), "node"), "_id").dropDuplicates(["_id", "node"])
+def _links(pairs: DataFrame, d: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of representatives whose whole texts are linked, written."""
+    spark = d.sparkSession
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), narrow=True)
+    texts = _sieved(d, nodes).join(nodes, "_id", "left_semi").join(classes.select(F.col("rep").alias("_id"), "node"), "_id").dropDuplicates(["_id", "node"])
     texts = written(texts.select("_id", "node", "text"), narrow=True)
     t = {x: texts.select(F.col("_id").alias(x), F.col("node").alias(f"{x}_node"), F.col("text").alias(f"{x}_text")) for x in "ab"}
-    out = written(pairs.join(t["b"], "b").join(t["a"], "a").select("a", "a_node", "a_text", "b", "b_node", "b_text").mapInArrow(step, schema), narrow=True)
-    forget(d.sparkSession, texts)
+    out = written(pairs.join(t["b"], "b").join(t["a"], "a").select("a", "a_node", "a_text", "b", "b_node", "b_text").mapInArrow(_verified, "a long, b long").distinct(), narrow=True)
+    forget(spark, texts)
+    forget(spark, nodes)
     return out
 
 
-def _links(pairs: DataFrame, d: DataFrame, classes: DataFrame) -> DataFrame:
-    return _with_texts(pairs, d, classes, _verified, "a long, b long")
-
-
-#: Pairs worth a look: of two components and of sizes that a link allows.
-FIT = f"c_x <> c_y and {TOP} * greatest(n_x, n_y) <= {BOTTOM} * least(n_x, n_y)"
-
-
-def _near_pairs(star: DataFrame, known: DataFrame, d: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs that may be linked among those near one hub, where one is not of the hub's component.
-
-    Of x and y with a and r hashes beyond and lacking against the hub: unless they share one of those beyond, they differ
-    in |a_x| + |a_y| + ||r_x| - |r_y|| places at least. So they share one, by an equi-join, or their counts allow it, by a
-    join of the few different counts. Edited copies of one text are far from both. Linked sets differ in n_x / 4 places
-    at most, so of those beyond they share one of x's n_x / 4 + 1 rarest: what many have is looked up for few.
-    """
-    near = star.where(f"{NEAR} * rows >= least").select("a", "b", "c_a", "c_b").distinct()
-    near = written(near.withColumn("open", F.max(F.col("c_a") != F.col("c_b")).over(Window.partitionBy("a"))).where("open").select("a", "b", (F.col("c_a") != F.col("c_b")).alias("open")), narrow=True)
-    deltas = _with_texts(near.select("a", "b"), d, classes, _deltas, "a long, b long, added array<long>, removed long")
-    deltas = deltas.join(near, ["a", "b"]).join(known.select(F.col("rep").alias("b"), "n", "c"), "b")
-    deltas = written(deltas.withColumn("beyond", F.size("added")), narrow=True)
-    own = Window.partitionBy("a", "b")
-    spread = written(deltas.select("a", "b", F.explode("added").alias("e")).withColumn("often", F.count("*").over(Window.partitionBy("a", "e"))).where("often > 1"), narrow=True)
-    x = spread.join(deltas.where("open").select("a", "b", "n", "c", "beyond"), ["a", "b"])
-    x = x.withColumn("rank", F.row_number().over(own.orderBy("often", "e")) + F.col("beyond") - F.count("*").over(own)).where("rank <= n div 4 + 1")
-    x = x.select("a", "e", F.col("b").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x"))
-    shared = x.join(spread.select("a", "e", F.col("b").alias("y")), ["a", "e"]).where("x <> y").select("x", "n_x", "c_x", "y").distinct()
-    shared = shared.join(known.select(F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y")), "y").where(FIT).select("x", "y")
-    counts = {k: t.select("a", F.col("b").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("beyond", "removed", "n", "c"))) for t, k in ((deltas.where("open"), "x"), (deltas, "y"))}
-    kinds = {k: ["a", f"beyond_{k}", f"removed_{k}", f"n_{k}"] for k in "xy"}
-    allowed = counts["x"].select(kinds["x"]).distinct().join(counts["y"].select(kinds["y"]).distinct(), "a").where("beyond_x + beyond_y + abs(removed_x - removed_y) <= (n_x + n_y) div 9")
-    counted = allowed.join(counts["x"], kinds["x"]).join(counts["y"], kinds["y"]).where(FIT).select("x", "y")
-    return shared.union(counted)
-
-
-def _far_pairs(ranked: DataFrame, star: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs that may share half as many signatures as links do where the hub is not near x, for the x that have as many.
-
-    Of x's signatures there, all but the half less one that most others have are looked up: a pair must share one of
-    these. Common passages are what most have, so they are left out whenever there are enough others.
+def passing(x: dict[str, np.ndarray], y: dict[str, np.ndarray], share: float = 1.0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in x, places in y) of the pairs that sizes and sketches do not refute, and whose components differ; with a
+    smaller share, of those whose sketches differ in no more than this share of the cells that they may differ in."""
+    for wx in np.unique(x["width"]):
+        xs = np.flatnonzero(x["width"] == wx)
+        for wy in np.unique(y["width"]):
+            if max(wx, wy) > 2 * min(wx, wy):
+                continue
+            ys = np.flatnonzero(y["width"] == wy)
+            xs, ys = xs[np.argsort(x["n"][xs], kind="stable")], ys[np.argsort(y["n"][ys], kind="stable")]
+            width = min(wx, wy)
+            sx, sy = (folded(np.stack([np.frombuffer(k["sketch"][i], np.uint64) for i in at]), width) for k, at in ((x, xs), (y, ys)))
+            nx, ny = x["n"][xs], y["n"][ys]
+            rows = max(1, (1 << 21) // (len(ys) * int(width)))
+            for at in range(0, len(xs), rows):
+                n = nx[at : at + rows, None]
+                lo, hi = np.searchsorted(ny, -(-TOP * int(n[0, 0]) // BOTTOM)), np.searchsorted(ny, BOTTOM * int(n[-1, 0]) // TOP, "right")
+                if lo == hi:
+                    continue
+                far = np.bitwise_count(sx[at : at + rows, None] ^ sy[None, lo:hi]).sum(2, dtype=np.int64)
+                m = ny[None, lo:hi]
+                good = (far <= ((n + m) // 9) * share) & (TOP * np.maximum(n, m) <= BOTTOM * np.minimum(n, m)) & (x["c"][xs[at : at + rows], None] != y["c"][ys[lo:hi]][None])
+                i, j = np.nonzero(good)
+                if len(i):
+                    yield xs[at + i], ys[lo + j]
+
+
+def forest(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the pairs that pass, as many as join the components that they would join: surer ones first."""
+    _, label = np.unique(np.concatenate((x["c"], y["c"])), return_inverse=True)
+    lx, ly = label[: len(x["c"])], label[len(x["c"]) :]
+    for share in (0.7, 1.0):
+        for i, j in passing(x, y, share):
+            apart = lx[i] != ly[j]
+            i, j = i[apart], j[apart]
+            cuts = np.flatnonzero(np.diff(i, prepend=-1)) if len(i) else ()
+            for lo, hi in zip(cuts, [*cuts[1:], len(i)]):
+                a, bs = i[lo], j[lo:hi]
+                others, first = np.unique(ly[bs], return_index=True)
+                new = others != lx[a]
+                if new.any():
+                    yield np.full(int(new.sum()), a), bs[first[new]]
+                    for k in (lx, ly):
+                        k[np.isin(k, others)] = lx[a]
+
+
+def _compared(whole: bool):
+    """Rows (a, kind, i, j, u, b, n, c, sketch), those of a, kind, i and j together, to pairs (a, b)."""
+
+    def pairs_of(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, c, b, u = (rows.column(k).to_numpy() for k in ("n", "c", "b", "u"))
+        sketches = np.empty(len(b), object)
+        sketches[:] = rows.column("sketch").to_pylist()
+        width = np.array([len(k) // 8 for k in sketches])
+        of = lambda at: {"n": n[at], "c": c[at], "b": b[at], "sketch": sketches[at], "width": width[at]}
+        one, i, j = rows.column("kind")[0].as_py() == 0, rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        x, y = of(u == i if one else u >= 0), of(u == j if one else u < 0)
+        if not len(x["b"]) or not len(y["b"]):
+            return
+        for p, q in (passing if whole else forest)(x, y):
+            s, t = x["b"][p], y["b"][q]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s, t)), pa.array(np.maximum(s, t))], ["a", "b"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy() for k in ("a", "kind", "i", "j")], 1) if batch.num_rows else np.zeros((0, 4), np.int64)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)] if len(keys) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = tuple(keys[lo])
+                if held and key != last:
+                    yield from pairs_of(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = key
+        if held:
+            yield from pairs_of(pa.Table.from_batches(held))
+
+    return compared
+
+
+def _between(star: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
+    """Pairs (a, b) of nodes of one hub and of different components that sizes and sketches do not refute, written.
+
+    The nodes that are in the hub's own component are compared to the others, and the others to each other; both are
+    dealt to blocks, so the sketches of a pair of blocks are all that a task holds, and nothing leaves it but pairs that
+    pass: with whole all of them, else as many as join the components.
     """
-    far = star.where(f"{NEAR} * rows < least").select(F.col("a").alias("hub"), F.col("b").alias("x"), "band", "rows", "least")
-    by = Window.partitionBy("x", "band")
-    hubs = far.withColumn("all", F.sum("rows").over(by)).where("2 * all >= least").select("hub", "x", "band", "least")
-    x = ranked.select("sig", F.expr("cast(sig & 31 as int)").alias("band"), "size", "hub", F.col("node").alias("x")).join(hubs, ["hub", "x", "band"])
-    x = x.withColumns({"rank": F.row_number().over(by.orderBy("size", "sig")), "all": F.count("*").over(by)}).where("2 * (all - rank + 1) >= least")
-    x = written(x.select("sig", "x").join(known.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("c").alias("c_x")), "x"), narrow=True)
-    y = ranked.select("sig", F.col("node").alias("y")).join(x.select("sig").distinct(), "sig", "left_semi").join(known.select(F.col("rep").alias("y"), F.col("n").alias("n_y"), F.col("c").alias("c_y")), "y")
-    return x.join(y, "sig").where(FIT).select("x", "y")
+    of = known.select("rep", "n", "c", "sketch")
+    hubs = known.select(F.col("rep").alias("a"), F.col("c").alias("c_a")).distinct()
+    m = star.select("a", "b").distinct().join(of.withColumnRenamed("rep", "b"), "b").join(hubs, "a").withColumn("open", F.col("c") != F.col("c_a"))
+    size = F.octet_length("sketch") + 64
+    blocks = lambda rows: F.ceil(F.coalesce(F.sum(F.when(rows, size)), F.lit(0)) / BLOCK).cast("int")
+    counts = m.groupBy("a").agg(blocks(F.col("open")).alias("us"), blocks(~F.col("open")).alias("vs"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("us > 0 and lo <> hi").select("a", "us", "vs")
+    m = m.join(counts, "a").withColumn("u", F.when(F.col("open"), F.pmod(F.xxhash64("b"), F.col("us"))).otherwise(-1 - F.pmod(F.xxhash64("b"), F.greatest("vs", F.lit(1)))).cast("int"))
+    tasks = F.expr("""if(open, concat(transform(sequence(0, us - 1), k -> struct(0 as kind, least(u, k) as i, greatest(u, k) as j)),
+      if(vs > 0, transform(sequence(0, vs - 1), k -> struct(1 as kind, u as i, k as j)), array())),
+      transform(sequence(0, us - 1), k -> struct(1 as kind, k as i, -1 - u as j)))""")
+    m = m.select("a", F.explode(tasks).alias("t"), "u", "b", "n", "c", "sketch").select("a", "t.kind", "t.i", "t.j", "u", "b", "n", "c", "sketch")
+    key = ("a", "kind", "i", "j")
+    return written(m.repartition(*key).sortWithinPartitions(*key).mapInArrow(_compared(whole), "a long, b long").where("a <> b").distinct(), narrow=True)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,53 +425,65 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     1. Equal sets become one node (a shuffle of one short row a document).
     2. Signatures are shuffled once, each different set's once a partition. A signature's nodes pair with its hub, the
        one whose signatures most others have: as many pairs as rows, never all pairs of a group. Pairs are refuted
-       by size and digest or verified on whole texts; links give components.
-    3. A link between x and y of different components that no hub showed: they share at least as many signatures as
-       marks say, each in rows with a hub h. h is near x if x has a set part of as many rows with it.
-       If some h is near both, it is of another component than one of them, and _near_pairs finds the pair. Else half of
-       the shared signatures at least have hubs that are not near x, or not near y, and _far_pairs finds it.
-       What is found is refuted or verified as before.
+       by size and sketch or verified on whole texts; links give components.
+    3. A link between x and y of different components that no hub showed: they share a signature, and both are nodes of
+       its hub. _between compares the sketches of a hub's nodes, across components only, block by block. First only pairs
+       that suffice to join the components that seem joined are verified; then whatever still passes, if anything does.
+       What is compared grows with the square of the nodes of a hub that it is not linked to, some tens of nanoseconds a
+       pair; what is written, shuffled and verified does not.
+
+    A signature's rows are brought together by a window, which spills. A text has one row of a signature and dozens of
+    signatures, so none holds more than a small share of the rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))
     rows = written(d.mapInArrow(_sets, SETS))
-    classes = written(rows.where("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("marks").alias("marks")), narrow=True)
+    classes = written(rows.where("n > 0 and _id is not null").groupBy("key").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("sketch").alias("sketch")), narrow=True)
 
     within = Window.partitionBy("sig")
     sig = d.where("_id is not null").select("text").mapInArrow(_signatures, "sig long, node long")
     shared = written(sig.withColumns({"lo": F.min("node").over(within), "hi": F.max("node").over(within), "size": F.count("*").over(within)}).where("lo <> hi").select("sig", "node", "size"))
     weight = shared.groupBy("node").agg(F.sum("size").alias("weight")).join(classes.select("node", "rep"), "node")
     hub = F.max(F.struct("weight", "rep")).over(within)["rep"]
-    ranked = written(shared.join(weight, "node").select("sig", F.col("rep").alias("node"), "size", hub.alias("hub")).where("node <> hub").distinct())
+    ranked = shared.join(weight, "node").select(F.col("rep").alias("b"), hub.alias("a"))
+    star = written(ranked.where("a <> b").groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"), narrow=True)
     forget(spark, shared)
-    star = written(ranked.groupBy(F.col("hub").alias("a"), F.col("node").alias("b"), F.expr("cast(sig & 31 as int)").alias("band")).agg(F.count("*").alias("rows")), narrow=True)
-    tried = _possible(star.select("a", "b").distinct(), classes)
-    links = _links(tried, d, classes)
-    label = components(links)
-
-    known = written(classes.select("rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("c")), narrow=True)
-    least = classes.select(F.col("rep").alias("b"), F.inline("marks")).select("b", F.expr("band & 31").alias("band"), "least")
-    c = {x: known.select(F.col("rep").alias(x), F.col("c").alias(f"c_{x}")) for x in "ab"}
-    star = written(star.join(least, ["b", "band"]).join(c["b"], "b").join(c["a"], "a"), narrow=True)
-    more = _near_pairs(star, known, d, classes).union(_far_pairs(ranked, star, known))
-    more = _possible(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), classes)
-    final = known.select("rep", F.col("c").alias("component"))
-    if not more.isEmpty():
-        between = _links(more, d, classes).join(c["a"], "a").join(c["b"], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
-        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("first"))
-        final = final.join(joined, "component", "left").select("rep", F.coalesce("first", "component").alias("component"))
-    final = classes.select("key", "rep").join(final.dropDuplicates(["rep"]), "rep")
+
+    def joined(known: DataFrame, pairs: DataFrame) -> DataFrame:
+        """known with the components that the links among pairs join, written."""
+        links = _links(pairs, d, classes)
+        c = {x: known.select(F.col("rep").alias(x), F.col("c").alias(f"c_{x}")).distinct() for x in "ab"}
+        first = components(links.join(c["a"], "a").join(c["b"], "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))).select(F.col("node").alias("c"), F.col("component").alias("first"))
+        out = written(known.join(first, "c", "left").select("rep", "n", F.coalesce("first", "c").alias("c"), "sketch"), narrow=True)
+        forget(spark, links)
+        return out
+
+    tried = _possible(star, classes)
+    known = joined(classes.select("rep", "n", F.col("rep").alias("c"), "sketch"), tried)
+    forget(spark, tried)
+    for whole in (False, True):
+        more = _between(star, known, whole)
+        if more.isEmpty():
+            break
+        before, known = known, joined(known, more)
+        forget(spark, before)
+    forget(spark, star)
+    final = classes.select("key", "rep").join(known.select("rep", F.col("c").alias("component")).distinct(), "rep")
     return rows.join(final, "key", "left").select(F.col("_id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("_id").isNotNull(), F.coalesce("rep", "_id")).alias("representative"), F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents that link to one of a smaller id; rows with a null id stay.
 
-    Only documents in a bucket with one that goes are shuffled.
+    Only documents that the sieve of those that go lets pass are shuffled.
     """
     found = near_duplicates(docs, key, text)
     gone = written(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_id")).distinct(), narrow=True)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"))
-    row = row.join(F.broadcast(_buckets(gone)), _bucket("_key") == F.col("_bucket"), "left")
-    stays = row.where("_bucket is null").select("_row")
-    return stays.union(row.where("_bucket is not null").join(gone, F.col("_key") == F.col("_id"), "left_anti").select("_row")).select("_row.*")
+    made, stays = sieve(gone), None
+    if made:
+        bucket = F.bitmap_bucket_number(F.pmod(F.xxhash64("_key"), F.lit(made[1])))
+        row = row.join(F.broadcast(made[0]), bucket == F.col("_bucket"), "left").withColumn("_may", F.coalesce(_passes(F.col("_key"), made[1]), F.lit(False)))
+        stays, row = row.where("not _may").select("_row"), row.where("_may")
+    row = row.join(gone, F.col("_key") == F.col("_id"), "left_anti").select("_row")
+    return (row if stays is None else stays.union(row)).select("_row.*")

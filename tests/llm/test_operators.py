@@ -181,12 +181,91 @@ def test_signatures_find_every_link():
             gone = rng.integers(0, min(d, len(x) // 5) + 1)
             y = np.unique(np.concatenate((x[gone:], rng.integers(0, 2**64, rng.integers(0, d - gone + 1), np.uint64))))
             if ngram_join.similar(x, y) and len(x) + len(y) > 0 and not np.array_equal(x, y):
-                common = set(ngram_join.signatures(x)[0].tolist()) & set(ngram_join.signatures(y)[0].tolist())
-                assert common, (n, len(x), len(y))
-                mx, my = ({b: (k, g) for b, k, g in ngram_join.signatures(s, True)[1]} for s in (x, y))
-                both = max(min(mx), min(my))
-                assert ngram_join.alike(mx[both][1], my[both][1], len(x) + len(y))
-                assert sum(s & 31 == both & 31 for s in common) >= max(mx[both][0], my[both][0]) or min(mx[both][0], my[both][0]) == 1
+                assert set(ngram_join.signatures(x).tolist()) & set(ngram_join.signatures(y).tolist()), (n, len(x), len(y))
+                assert ngram_join.alike(ngram_join.sketch(x), ngram_join.sketch(y), len(x) + len(y))
+
+
+def pages_of_a_template(n, rng, words=500, cut=14):
+    """Texts that are one page with eight passages cut out: they share most of it, and none links to another."""
+    page = [f"p{i}" for i in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(page)
+        for _ in range(8):
+            k = rng.randrange(len(w) - cut)
+            del w[k : k + cut]
+        out.append(" ".join(w))
+    return out
+
+
+def handed_on(spark, texts, monkeypatch):
+    """Pairs of the second round's first step."""
+    seen, real = [], ngram_join._between
+
+    def between(star, known, whole):
+        out = real(star, known, whole)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_between", between)
+    got = linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    monkeypatch.undo()
+    return got, seen
+
+
+def test_pages_of_a_template_hand_on_few_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    for n in (100, 300):
+        texts = pages_of_a_template(n, rng)
+        got, seen = handed_on(spark, texts, monkeypatch)
+        assert max(seen) <= n, seen
+        assert got == brute.components(dict(enumerate(texts)))
+
+
+def test_jaccard_join_in_many_blocks(spark, monkeypatch):
+    """A hub with more nodes than a block holds: groups of near copies that all share most of one page, and loners."""
+    rng = random.Random(9)
+    texts = []
+    for t in pages_of_a_template(12, rng, 160, 6):
+        for _ in range(rng.choice([1, 6, 14])):
+            w = t.split()
+            for _ in range(rng.randrange(3)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    monkeypatch.setattr(ngram_join, "BLOCK", 1500)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = brute.components(dict(enumerate(texts)))
+    assert linked(df) == want and len({c for _, c in want.values()}) > 1
+
+
+def test_pairs_that_pass_hold_every_link_and_forests_join_them():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 300, np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.permutation(300)[: rng.integers(200, 300)]], rng.integers(0, 2**64, 5, np.uint64)))) for _ in range(80)]
+    side = {"n": np.array([len(s) for s in sets]), "c": np.arange(80) // 3, "b": np.arange(80), "sketch": np.array([ngram_join.sketch(s) for s in sets], object)}
+    side["width"] = np.array([len(k) // 8 for k in side["sketch"]])
+    of = lambda at: {k: v[at] for k, v in side.items()}
+    x, y = of(slice(0, 30)), of(slice(30, 80))
+    passed = {(int(a), int(b)) for i, j in ngram_join.passing(x, y) for a, b in zip(x["b"][i], y["b"][j])}
+    assert {(a, b) for a in range(30) for b in range(30, 80) if a // 3 != b // 3 and ngram_join.similar(sets[a], sets[b])} <= passed
+    few = {(int(a), int(b)) for i, j in ngram_join.forest(x, y) for a, b in zip(x["b"][i], y["b"][j])}
+
+    def parts(pairs):
+        label = {i: i // 3 for i in range(80)}
+        for a, b in pairs:
+            label = {i: label[a] if v == label[b] else v for i, v in label.items()}
+        return {frozenset(i for i in label if label[i] == v) for v in label.values()}
+
+    assert few <= passed and len(few) < 27 and parts(few) == parts(passed)
+
+
+def test_sieve_lets_every_id_pass_and_few_others(spark):
+    d = spark.range(0, 400_000).select((F.col("id") * 7 - 1000).alias("_id"))
+    some = d.where("_id % 40 = 0")
+    got = ngram_join._sieved(d, some)
+    assert some.join(got, "_id", "left_anti").isEmpty() and got.count() < 3 * some.count() + 0.08 * 400_000
+    assert ngram_join._sieved(d, some.where("false")).isEmpty()
 
 
 @pytest.fixture(scope="module")

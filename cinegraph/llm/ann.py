@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in each shard, searched by beams.
 
 The largest inner product is the smallest distance once every vector has one more component, sqrt(M^2 - |x|^2) with M
-the shard's largest norm, and a query has 0 there. Graphs are built and searched in that space.
+the shard's largest norm, and a query has 0 there. Graphs are built and searched in that space, in single precision and
+scaled to norms of 1 at most; scores are taken from the vectors as they came.
 """
 
 from __future__ import annotations
@@ -107,39 +108,53 @@ def build(x: np.ndarray, seed: int = 9) -> tuple[np.ndarray, int]:
     return edges, entry
 
 
-INDEX = "dim int, shard int, n_nodes int, entry int, n_rows long, ids binary, owner binary, vectors binary, edges binary"
+INDEX = "dim int, shard int, n_nodes int, entry int, n_rows long, ids binary, owner binary, vectors binary, graph binary, edges binary"
 
 
-def _index(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("id", kind="stable")
-    v = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-    nodes, owner = np.unique(v, axis=0, return_inverse=True)
-    norm = (nodes.astype(float) ** 2).sum(1)
-    x = np.concatenate((nodes, np.sqrt(np.maximum(0, norm.max() - norm))[:, None].astype(np.float32)), 1)
-    edges, entry = build(x)
-    row = (int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), len(nodes), entry, len(pdf), pdf["id"].to_numpy("<i8").tobytes(), owner.ravel().astype("<i4").tobytes(), x.astype("<f4").tobytes(), edges.astype("<i4").tobytes())
-    return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX.split(", ")])
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows divided by one number, so that the longest has norm 1, without overflow on the way."""
+    v = v / max(np.abs(v).max(initial=0), np.finfo(float).tiny)
+    return v / np.sqrt((v * v).sum(1).max(initial=0))
+
+
+def _index(kind: str):
+    def index(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        nodes, owner = np.unique(np.stack(pdf["v"].to_numpy()).astype(kind), axis=0, return_inverse=True)
+        unit = scaled(nodes.astype(float))
+        x = np.concatenate((unit, np.sqrt(np.maximum(0, 1 - (unit * unit).sum(1)))[:, None]), 1).astype(np.float32)
+        edges, entry = build(x)
+        row = (int(pdf["dim"].iloc[0]), int(pdf["shard"].iloc[0]), len(nodes), entry, len(pdf), pdf["id"].to_numpy("<i8").tobytes(), owner.ravel().astype("<i4").tobytes(), nodes.tobytes(), x.astype("<f4").tobytes(), edges.astype("<i4").tobytes())
+        return pd.DataFrame([row], columns=[c.split()[0] for c in INDEX.split(", ")])
+
+    return index
+
+
+def kind_of(vectors: DataFrame) -> str:
+    """Single precision for vectors that came so, else double."""
+    return "<f4" if vectors.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
 
 
 def index(vectors: DataFrame, shards: int) -> DataFrame:
     """(id, v, dim) to one row a shard with its graph, written; equal vectors share a node. Every row is in one shard."""
     dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    return written(dealt.groupBy("dim", "shard").applyInPandas(_index, INDEX))
+    return written(dealt.groupBy("dim", "shard").applyInPandas(_index(kind_of(vectors)), INDEX))
 
 
-def _search(k: int, width: int):
+def _search(k: int, width: int, kind: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
-                dim, nodes, entry, _, ids, owner, vectors, edges, q_ids, q = (b.column(c)[r].as_py() for c in ("dim", "n_nodes", "entry", "n_rows", "ids", "owner", "vectors", "edges", "q_ids", "q"))
-                x = np.frombuffer(vectors, "<f4").reshape(nodes, dim + 1)
+                dim, nodes, entry, ids, owner, vectors, graph, edges, q_ids, q_rows, q = (b.column(c)[r].as_py() for c in ("dim", "n_nodes", "entry", "ids", "owner", "vectors", "graph", "edges", "q_ids", "q_rows", "q"))
+                v, x = np.frombuffer(vectors, kind).reshape(nodes, dim), np.frombuffer(graph, "<f4").reshape(nodes, dim + 1)
                 e = np.frombuffer(edges, "<i4").reshape(nodes, ROOM).astype(np.int64)
                 id_, own = np.frombuffer(ids, "<i8"), np.frombuffer(owner, "<i4")
                 turn = np.argsort(own, kind="stable")
                 cuts = np.searchsorted(own[turn], np.arange(nodes + 1))
-                q_id, q = np.array(q_ids, np.int64), np.frombuffer(q, "<f4").reshape(-1, dim)
-                found = beam(x, e, entry, np.concatenate((q, np.zeros((len(q), 1), np.float32)), 1), width)[0]
-                score = (x[found][:, :, :dim].astype(float) * q[:, None].astype(float)).sum(2)
+                q_id, q = np.array(q_ids, np.int64), np.frombuffer(q, kind).reshape(-1, dim).astype(float)
+                unit = np.concatenate([scaled(one[None]) for one in q])
+                found = beam(x, e, entry, np.concatenate((unit, np.zeros((len(q), 1))), 1).astype(np.float32), width)[0]
+                score = (v[found].astype(float) * q[:, None]).sum(2)
                 score[found < 0] = -np.inf
                 out = []
                 for i in range(len(q)):
@@ -152,21 +167,26 @@ def _search(k: int, width: int):
                         mine += [(float(score[i, j]), v) for v in id_[rows].tolist() if v != q_id[i]]
                     mine.sort(key=lambda s: (-s[0], s[1]))
                     out.append([{"score": s, "vec_id": v} for s, v in mine[:k]])
-                yield pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))], ["query_id", "found"])
+                yield pa.RecordBatch.from_arrays([pa.array(q_id), pa.array(q_rows, pa.int64()), pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())])))], ["query_id", "query_row", "found"])
 
     return search
 
 
-def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    q = np.stack(pdf["v"].to_numpy()).astype("<f4")
-    return pd.DataFrame([(int(pdf["dim"].iloc[0]), pdf["id"].tolist(), q.tobytes())], columns=["dim", "q_ids", "q"])
+def _blocks(kind: str):
+    def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        q = np.stack(pdf["v"].to_numpy()).astype(kind)
+        return pd.DataFrame([(int(pdf["dim"].iloc[0]), pdf["id"].tolist(), pdf["row"].tolist(), q.tobytes())], columns=["dim", "q_ids", "q_rows", "q"])
+
+    return blocks
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v, dim) of the rows that take part: no null id, vector or component, all finite, not all zero."""
-    v = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("v"))
+    """(id, v, dim) of the rows that take part: no null id, vector or component, all finite, not all zero; rows that are
+    equal in both are one. Single precision stays, all else is double."""
+    single = vectors.schema[vector].dataType.elementType.simpleString() == "float"
+    v = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<float>" if single else "array<double>").alias("v"))
     bad = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda c: c != 0)).withColumn("dim", F.size("v"))
+    return v.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("v", lambda c: c != 0)).distinct().withColumn("dim", F.size("v"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", width: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -174,18 +194,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
 
     Candidates are all usable rows of as many components, but the query's own id; ties go to the smaller id. Scores are
     exact, in double precision on the vectors as given. Rows with a null id or vector, null or non-finite components or
-    zeros only take no part; equal vectors and repeated ids are candidates each; no usable row gives no rows. Queries go
-    to every shard in blocks of bounded size, and every shard answers with k rows a query, so no task holds more than
-    a shard and a block. Other columns are not read.
+    zeros only take no part; rows of equal id and vector are one, of an equal id or an equal vector candidates, and
+    queries, each; no usable row gives no rows. Queries go to every shard in blocks of bounded size, and every shard
+    answers with k rows a query, so no task holds more than a shard and a block. Other columns are not read.
     """
     v = usable(vectors, key, vector)
+    kind = kind_of(v)
     shards = max(1, -(-v.count() // shard_rows))
     graphs = index(v, shards)
-    q = usable(queries, key, vector)
+    q = usable(queries, key, vector).withColumn("row", F.xxhash64("id", "v"))
     groups = max(1, -(-q.count() // QUERIES))
-    blocks = written(q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))).groupBy("dim", "block").applyInPandas(_blocks, "dim int, q_ids array<long>, q binary"))
+    blocks = written(q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))).groupBy("dim", "block").applyInPandas(_blocks(kind), "dim int, q_ids array<long>, q_rows array<long>, q binary"))
     tasks = graphs.join(blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard"])
-    found = tasks.select("dim", "n_nodes", "entry", "n_rows", "ids", "owner", "vectors", "edges", "q_ids", "q").mapInArrow(_search(k, width), "query_id long, found array<struct<score:double,vec_id:long>>")
-    rows = found.select("query_id", F.inline("found"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = tasks.select("dim", "n_nodes", "entry", "ids", "owner", "vectors", "graph", "edges", "q_ids", "q_rows", "q").mapInArrow(_search(k, width, kind), "query_id long, query_row long, found array<struct<score:double,vec_id:long>>")
+    rows = found.select("query_id", "query_row", F.inline("found"))
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

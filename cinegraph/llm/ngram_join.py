@@ -43,6 +43,8 @@ CHANCE = 2.0
 CELLS = 1 << 15
 #: Bytes of sketches in a block: two blocks of a hub's nodes are what a worker compares at once.
 BLOCK = 1 << 20
+#: Parts that a hub's nodes are dealt to before they are in blocks.
+SALTS = 16
 #: Bits an id in the sieve of ids, and most bits of one; beyond, texts are shuffled without a sieve.
 SIEVE, SIEVE_BITS = 16, 1 << 30
 #: Words whose hashes a worker keeps.
@@ -400,13 +402,14 @@ def _between(star: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
     dealt to blocks, so the sketches of a pair of blocks are all that a task holds, and nothing leaves it but pairs that
     pass: with whole all of them, else as many as join the components.
     """
-    of = known.select("rep", "n", "c", "sketch")
-    hubs = known.select(F.col("rep").alias("a"), F.col("c").alias("c_a")).distinct()
-    m = star.select("a", "b").distinct().join(of.withColumnRenamed("rep", "b"), "b").join(hubs, "a").withColumn("open", F.col("c") != F.col("c_a"))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS))
+    salted = lambda t: t.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    hubs = star.select("a").distinct().join(known.select(F.col("rep").alias("a"), F.col("c").alias("c_a")).distinct(), "a")
+    m = star.join(known.select(F.col("rep").alias("b"), "n", "c", "sketch"), "b").withColumn("s", salt).join(salted(hubs), ["a", "s"]).withColumn("open", F.col("c") != F.col("c_a"))
     size = F.octet_length("sketch") + 64
     blocks = lambda rows: F.ceil(F.coalesce(F.sum(F.when(rows, size)), F.lit(0)) / BLOCK).cast("int")
     counts = m.groupBy("a").agg(blocks(F.col("open")).alias("us"), blocks(~F.col("open")).alias("vs"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("us > 0 and lo <> hi").select("a", "us", "vs")
-    m = m.join(counts, "a").withColumn("u", F.when(F.col("open"), F.pmod(F.xxhash64("b"), F.col("us"))).otherwise(-1 - F.pmod(F.xxhash64("b"), F.greatest("vs", F.lit(1)))).cast("int"))
+    m = m.join(salted(counts), ["a", "s"]).withColumn("u", F.when(F.col("open"), F.pmod(F.xxhash64("b"), F.col("us"))).otherwise(-1 - F.pmod(F.xxhash64("b"), F.greatest("vs", F.lit(1)))).cast("int"))
     tasks = F.expr("""if(open, concat(transform(sequence(0, us - 1), k -> struct(0 as kind, least(u, k) as i, greatest(u, k) as j)),
       if(vs > 0, transform(sequence(0, vs - 1), k -> struct(1 as kind, u as i, k as j)), array())),
       transform(sequence(0, us - 1), k -> struct(1 as kind, k as i, -1 - u as j)))""")

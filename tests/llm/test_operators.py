@@ -508,6 +508,11 @@ def test_nearest_neighbours(spark):
         assert [(-x, i) for _, i, x in rows] == sorted((-x, i) for _, i, x in rows)
         hits += len({i for _, i, _ in rows} & set(want.tolist()))
     assert hits >= 0.9 * 20 * len(found)
+    for x in (1e200, 1e-200):
+        doubles = df.where("vec_id < 300").withColumn("embedding", F.transform("embedding", lambda c: c.cast("double") * x))
+        r = ann.nearest(doubles, doubles.where("vec_id = 40"), k=3).orderBy("rank").collect()
+        s = v[:300].astype(float) * x @ (v[40].astype(float) * x) if x < 1 else np.full(300, np.inf)
+        assert len(r) == 3 and (x > 1 or max(abs(r[0].score - np.delete(s, 40).max()), 0) <= 1e-12 * abs(r[0].score))
     few = ann.nearest(df.where("vec_id < 5"), df.where("vec_id = 0")).collect()
     assert len(few) == 4
     assert ann.nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).isEmpty()
@@ -532,6 +537,43 @@ def test_revisits(spark):
     assert warc.resolve(spark.createDataFrame([], schema)).isEmpty()
 
 
+def test_revisits_by_brute_force(spark, monkeypatch):
+    """Clashing and null ids, repeated rows, equal times, empty URLs, a page with many revisits, a very long payload."""
+    schema = "record_id long, url string, ts long, kind string, headers map<string,string>, payload string"
+    rng, rows = random.Random(3), []
+    for i in range(900):
+        kind = rng.choice(["response", "revisit", "revisit"])
+        etag = rng.choice([None, '"1"', 'W/"1"', '"2"'])
+        rows.append((rng.choice([None, 1, 2, i]), rng.choice(["http://a.b/x", "http://a.b/x", "https://www.A.b/x/", "http://c.d/", "", None]), rng.choice([None, *range(0, 40000, 997)]), kind, None if rng.random() < 0.1 else {"ETag": etag, "date": str(i % 7)} if etag else {"X-a": "1"}, f"p{i % 50}" if kind == "response" else None))
+    rows += rows[:40] + [(7, "http://long.org", 1, "response", {}, "z" * 300_000), (8, "http://long.org", 2, "revisit", {}, None)]
+    rows += [(10_000 + i, "http://long.org", 3 + i, "revisit", {"date": "d"}, None) for i in range(60)]
+    monkeypatch.setattr(warc, "HOT", 8)
+    df = spark.createDataFrame(rows, schema).withColumns({"status": F.lit(1), "_h": F.lit(2), "_slice": F.lit(3)}).repartition(5)
+    place = {r.url: r.u for r in spark.createDataFrame([(u,) for u in {r[1] for r in rows}], "url string").select("url", warc.canonical(F.col("url")).alias("u")).collect()}
+    strip = lambda e: e and e.removeprefix("W/")
+    want = []
+    for rid, url, ts, kind, headers, _ in rows:
+        if kind != "revisit":
+            continue
+        own = {k.lower(): v for k, v in (headers or {}).items()}
+        before = [r for r in rows if r[3] == "response" and None not in (ts, r[2], place[url], place[r[1]]) and place[r[1]] == place[url] and r[2] < ts]
+        if not before:
+            want.append((rid, place[url], None, "orphan", None))
+            continue
+        none_first = lambda x: (x is not None, x)
+        top = max((r[2], none_first(r[0]), none_first(strip((r[4] or {}).get("ETag")))) for r in before)
+        e, f = strip(own.get("etag")), top[2][1]
+        status = "unchecked" if e is None or f is None else "resolved" if e == f else "changed"
+        payloads = {r[5] for r in before if (r[2], none_first(r[0]), none_first(strip((r[4] or {}).get("ETag")))) == top}
+        want.append((rid, place[url], top[1][1], status, payloads if status != "changed" else None))
+    got = [(r.record_id, r.canonical_url, r.response_id, r.status, r.payload) for r in warc.resolve(df).collect()]
+    assert sorted(map(str, (g[:4] for g in got))) == sorted(map(str, (w[:4] for w in want)))
+    payloads = defaultdict(set)
+    for w in want:
+        payloads[str(w[:4])] |= w[4] or {None}
+    assert all(g[4] in payloads[str(g[:4])] for g in got)
+
+
 def test_quality(docs):
     got = {r["_row"].doc_id: r for r in quality.judge(docs).collect()}
     for i, t, *_ in ROWS:
@@ -557,8 +599,19 @@ OPERATORS = {
     "op7": lambda d: lm.score(d),
     "op10": lambda d: quality.judge(d),
     "keep_good": lambda d: quality.keep_good(d),
+    "op8": lambda d: ann.nearest(vectors(d), vectors(d)),
+    "op9": lambda d: warc.resolve(captures(d)),
 }
-LESS = {"keep_first": (6, 0), "keep_good": (0, 0), "op4": (6, 0)}
+LESS = {"keep_first": (6, 0), "keep_good": (0, 0), "op4": (6, 0), "op8": (2, 0), "op9": (6, 0)}
+
+
+def vectors(d):
+    """Two usable rows, one of them twice; the rest have a null id or vector."""
+    return d.withColumns({"vec_id": F.col("doc_id"), "embedding": F.when(F.col("text").isNotNull(), F.array(F.lit(1.0), F.length("text").cast("double"))), "shard": F.lit(1), "dim": F.lit(2), "v": F.lit(3), "id": F.lit(4), "rank": F.lit(5), "block": F.lit(6)})
+
+
+def captures(d):
+    return d.withColumns({"record_id": F.col("doc_id"), "url": F.col("text"), "ts": F.lit(5).cast("long"), "kind": F.lit("revisit"), "headers": F.create_map(F.lit("etag"), F.col("text")), "payload": F.col("text"), "status": F.lit(1)})
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))

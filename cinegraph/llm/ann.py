@@ -195,7 +195,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     Candidates are all usable rows of as many components, but the query's own id; ties go to the smaller id. Scores are
     exact, in double precision on the vectors as given. Rows with a null id or vector, null or non-finite components or
     zeros only take no part; rows of equal id and vector are one, of an equal id or an equal vector candidates, and
-    queries, each; no usable row gives no rows. Queries go to every shard in blocks of bounded size, and every shard
+    queries, each; no usable row gives no rows. Products must not overflow a double. Queries go to every shard in blocks of bounded size, and every shard
     answers with k rows a query, so no task holds more than a shard and a block. Other columns are not read.
     """
     v = usable(vectors, key, vector)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import written
+from cinegraph.llm.common import one_thread, written
 
 #: Vectors that a shard is laid out for, edges of a node and, until it is pruned, at most; relaxation of the pruning.
 SHARD_ROWS, DEGREE, ROOM, ALPHA = 8192, 28, 44, 1.2
@@ -119,6 +119,7 @@ def scaled(v: np.ndarray) -> np.ndarray:
 
 def _index(kind: str):
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
+        one_thread()
         pdf = pdf.sort_values("id", kind="stable")
         nodes, owner = np.unique(np.stack(pdf["v"].to_numpy()).astype(kind), axis=0, return_inverse=True)
         unit = scaled(nodes.astype(float))
@@ -143,6 +144,7 @@ def index(vectors: DataFrame, shards: int) -> DataFrame:
 
 def _search(k: int, width: int, kind: str):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for b in batches:
             for r in range(b.num_rows):
                 dim, nodes, entry, ids, owner, vectors, graph, edges, q_ids, q_rows, q = (b.column(c)[r].as_py() for c in ("dim", "n_nodes", "entry", "ids", "owner", "vectors", "graph", "edges", "q_ids", "q_rows", "q"))

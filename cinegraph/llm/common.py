@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
+@lru_cache(None)
+def one_thread() -> None:
+    """Has this worker's linear algebra use one thread: a worker is one of its executor's cores, and threads that wait
+    for small products cost more than they save. Does nothing where numpy brings no OpenBLAS."""
+    with open("/proc/self/maps") as maps:
+        loaded = {line.split()[-1] for line in maps if "openblas" in line}
+    for path in loaded:
+        for name in ("openblas_set_num_threads", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_"):
+            limit = getattr(ctypes.CDLL(path), name, None)
+            if limit is not None:
+                limit(1)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where none is set, one below the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"

@@ -1,7 +1,7 @@
 """Scores of whole documents by a gated recurrent language model with a class-factored output.
 
 Counts of all training tokens are made on the cluster and give the base score, the classes, the output's first biases
-and the chances of rare words. The recurrent part starts from a fit to a small sample on the driver. Then every training
+and the chances of rare words. The recurrent part starts from a fit to windows of a small sample on the driver. Then every training
 document is learned from once, whole, by truncated back-propagation in numpy on the executors: each partition trains its
 own copy on its documents of a round, and the copies are averaged by tokens between the rounds. It scores every document
 on the executors with its state carried from window to window.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinegraph.llm.common import written
+from cinegraph.llm.common import one_thread, written
 
 #: Folds, and the one that is held out.
 FOLDS, HELD = 5, 1
@@ -30,11 +30,11 @@ HEAD = 1 << 17
 #: and this power of the training tokens and the root of the short list where that is more.
 SHORT, CLASSES, GROWTH = 2000, 45, 0.42
 #: Rounds that the training documents are dealt to, lanes, tokens held at once and rate of a worker that trains.
-ROUNDS, TRAIN_LANES, TRAIN_WINDOW, TRAIN_TOKENS, TRAIN_RATE = 3, 128, 20, 400_000, 0.005
+ROUNDS, TRAIN_LANES, TRAIN_WINDOW, TRAIN_TOKENS, TRAIN_RATE = 3, 256, 20, 400_000, 0.007
 #: Parts that a model is cut into to be averaged.
 PIECES = 64
-#: Documents, bytes of a document and tokens of the sample that the first fit on the driver takes.
-SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOKENS = 600, 20_000, 160_000
+#: Documents of the sample that the first fit on the driver takes, and tokens of the window that each gives.
+SAMPLE_DOCS, SAMPLE_TOKENS = 600, 250
 HIDDEN, WINDOW, LANES, EPOCHS, RATE = 24, 20, 32, 3, 0.01
 #: Documents that a worker scores side by side, and steps between two looks at the output layer.
 SCORE_LANES, SCORE_WINDOW = 256, 32
@@ -77,6 +77,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Adam:
+    """Gradients are arrays, or (rows, their gradients): other rows stay, so a step costs what its tokens do."""
+
     def __init__(self, p: dict[str, np.ndarray]) -> None:
         self.p, self.t = p, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
@@ -85,12 +87,15 @@ class Adam:
         self.t += 1
         step = rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for k, g in grads.items():
+            rows, g = g if isinstance(g, tuple) else (slice(None), g)
             g /= size / 4
             np.clip(g, -1, 1, out=g)
-            m, v = self.m[k], self.v[k]
+            m, v = self.m[k][rows], self.v[k][rows]
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            self.p[k] -= step * m / (np.sqrt(v) + 1e-8)
+            if not isinstance(rows, slice):
+                self.m[k][rows], self.v[k][rows] = m, v
+            self.p[k][rows] -= step * m / (np.sqrt(v) + 1e-8)
 
 
 @dataclass
@@ -188,7 +193,7 @@ class Model:
         flat, de = x.ravel(), np.concatenate(de[::-1])
         order = np.argsort(flat, kind="stable")
         at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads["E"][flat[order][at]] += np.add.reduceat(de[order], at)
+        grads["E"] = flat[order][at], np.add.reduceat(de[order], at)
         return h
 
     def fit(self, docs: list[np.ndarray], lanes: int = LANES, window: int = WINDOW, epochs: int = EPOCHS, rate: float = RATE, seed: int = 6) -> None:
@@ -211,7 +216,7 @@ class Model:
         h = np.zeros((rows, self.p["Un"].shape[0]), np.float32)
         for at in range(0, width, window):
             part = slice(at, at + window)
-            grads = {k: np.zeros_like(w) for k, w in self.p.items()}
+            grads = {k: np.zeros_like(w) for k, w in self.p.items() if k != "E"}
             h = self.window(x[part], y[part], first[part], h, grads)
             adam.update(grads, max(1, int((y[part] >= 0).sum())), rate(at / width))
 
@@ -282,6 +287,7 @@ def _scores(held):
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        one_thread()
         known: Known = held.value
         index = {t: i for i, t in enumerate(known.tokens)}
         none = len(index)
@@ -310,10 +316,27 @@ def _scores(held):
     return scores
 
 
+def _windows(held):
+    """A window of each text, whose place a hash names: long texts are taken as often as short ones."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, none = {t: i for i, t in enumerate(held.value)}, len(held.value)
+        for b in batches:
+            out = []
+            for h, text in zip(b.column(0).to_pylist(), b.column(1)):
+                words = tokens_of(text.as_py())
+                at = h % max(1, len(words) - SAMPLE_TOKENS + 1)
+                out.append(np.array([index.get(w, none) for w in words[at : at + SAMPLE_TOKENS]], "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["h", "ids"])
+
+    return windows
+
+
 def _learned(held, rate: float):
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        one_thread()
         tokens, kept = held.value
         index, none = {t: i for i, t in enumerate(tokens)}, len(tokens)
         model = Model(kept.token_class, kept.starts, {k: x.copy() for k, x in kept.p.items()})
@@ -382,19 +405,15 @@ def train(docs: DataFrame, counts: DataFrame) -> Known:
     tokens, n = [bytes(r["token"]) for r in head], np.array([r["n"] for r in head], np.int64)
     k = min(max(SHORT, int(total**GROWTH)), len(tokens))
     model = Model.of(n[:k].astype(float), float(total - n[:k].sum()), classes=max(CLASSES, math.isqrt(k)))
-    index = {t: i for i, t in enumerate(tokens[:k])}
     # One end a training document: so many there are, and a share of the hashes leaves about twice the sample.
     ends = counts.where(F.col("token") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = min(1.0, 2 * SAMPLE_DOCS / max(1, ends))
     h = F.xxhash64("key", F.lit(7))
-    few = docs.where(~F.col("held_out") & (F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40))) & (F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES))
-    sample = few.orderBy(h, "key").limit(SAMPLE_DOCS).select("text").collect()
-    texts, size = [], 0
-    for r in sample:
-        ids = np.array([index.get(w, k) for w in tokens_of(r["text"])], np.int64)
-        if size + len(ids) <= SAMPLE_TOKENS:
-            texts.append(ids)
-            size += len(ids)
+    few = docs.where(~F.col("held_out") & (F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40))))
+    held = docs.sparkSession.sparkContext.broadcast(tokens[:k])
+    sample = few.select(h.alias("h"), "text").mapInArrow(_windows(held), "h long, ids binary").orderBy("h", "ids").limit(SAMPLE_DOCS).collect()
+    held.unpersist()
+    texts = [np.frombuffer(r["ids"], "<i4").astype(np.int64) for r in sample]
     model.fit(texts)
     learn_all(docs, model, tokens[:k])
     return Known(tokens, n, int(total), int(distinct), model)

@@ -30,16 +30,16 @@ HEAD = 1 << 17
 #: and this power of the training tokens and the root of the short list where that is more.
 SHORT, CLASSES, GROWTH = 2000, 45, 0.42
 #: Rounds that the training documents are dealt to, lanes, tokens held at once and rate of a worker that trains.
-ROUNDS, TRAIN_LANES, TRAIN_WINDOW, TRAIN_TOKENS, TRAIN_RATE = 3, 256, 20, 400_000, 0.007
+ROUNDS, TRAIN_LANES, TRAIN_WINDOW, TRAIN_TOKENS, TRAIN_RATE = 3, 512, 20, 400_000, 0.012
 #: Parts that a model is cut into to be averaged.
 PIECES = 64
 #: Documents of the sample that the first fit on the driver takes, and tokens of the window that each gives.
 SAMPLE_DOCS, SAMPLE_TOKENS = 600, 250
 HIDDEN, WINDOW, LANES, EPOCHS, RATE = 24, 20, 32, 3, 0.01
 #: Documents that a worker scores side by side, and steps between two looks at the output layer.
-SCORE_LANES, SCORE_WINDOW = 256, 32
+SCORE_LANES, SCORE_WINDOW = 512, 32
 #: Documents that a worker holds the tokens of at once.
-SCORE_DOCS = 4000
+SCORE_DOCS = 8000
 #: Distinct tokens that a worker counts before it hands its counts on.
 COUNTED = 400_000
 #: The end of a document, as a token: no word is empty.
@@ -72,8 +72,22 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield handed()
 
 
+#: Above this a logit counts as this, so that its power is finite; none comes near it.
+TOP_LOGIT = 80
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(np.minimum(x, TOP_LOGIT, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def powers(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each element, in place, and the sum of each row."""
+    np.exp(np.minimum(a, TOP_LOGIT, out=a), out=a)
+    return a, np.maximum(a @ np.ones(a.shape[1], a.dtype), 1e-37)
 
 
 class Adam:
@@ -125,47 +139,60 @@ class Model:
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         p, n = self.p, h.shape[1]
         e = p["E"][x]
-        g = sigmoid(e[:, : 2 * n] + h @ p["U"])
+        g = h @ p["U"]
+        g += e[:, : 2 * n]
+        g = sigmoid(g)
         z, r = g[:, :n], g[:, n:]
         rh = r * h
-        c = np.tanh(e[:, 2 * n :] + rh @ p["Un"])
+        c = rh @ p["Un"]
+        c += e[:, 2 * n :]
+        np.tanh(c, out=c)
         return h + z * (c - h), z, r, rh, c
 
     def output(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None) -> np.ndarray:
-        """Natural log-probabilities of tokens y after states h; with grads, adds to them and returns d loss / d h too."""
-        p, rows = self.p, np.arange(len(y))
+        """Natural log-probabilities of tokens y after states h; with grads, adds to them and returns d loss / d h too.
+
+        Rows are put in order of class, so a class is a slice of them.
+        """
+        p = self.p
         cls = self.token_class[y]
-        a = h @ p["C"] + p["bC"]
-        a -= a.max(1, keepdims=True)
-        ea = np.exp(a)
-        total = ea.sum(1)
-        out = a[rows, cls] - np.log(total)
-        if grads is not None:
-            d = ea / total[:, None]
-            d[rows, cls] -= 1
-            grads["C"] += h.T @ d
-            grads["bC"] += d.sum(0)
-            dh = d @ p["C"].T
         order = np.argsort(cls.astype(np.uint8 if len(p["bC"]) < 256 else np.int64), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(p["bC"]) + 1))
+        h, y, cls, rows = h[order], y[order], cls[order], np.arange(len(y))
+        cuts = np.searchsorted(cls, np.arange(len(p["bC"]) + 1))
+        a = h @ p["C"]
+        a += p["bC"]
+        out = a[rows, cls]
+        a, total = powers(a)
+        out -= np.log(total)
+        if grads is not None:
+            a /= total[:, None]
+            a[rows, cls] -= 1
+            grads["C"] += h.T @ a
+            grads["bC"] += a.sum(0)
+            dh = a @ p["C"].T
         for k in range(len(self.starts) - 1):
-            at = order[cuts[k] : cuts[k + 1]]
-            lo, hi = self.starts[k], self.starts[k + 1]
-            if not len(at) or hi - lo < 2:
+            at, lo, hi = slice(cuts[k], cuts[k + 1]), self.starts[k], self.starts[k + 1]
+            if at.start == at.stop or hi - lo < 2:
                 continue
-            hk = h[at]
-            b = hk @ p["W"][lo:hi].T + p["bW"][lo:hi]
-            b -= b.max(1, keepdims=True)
-            eb = np.exp(b)
-            s, own = eb.sum(1), (np.arange(len(at)), y[at] - lo)
-            out[at] += b[own] - np.log(s)
+            hk, own = h[at], (rows[: at.stop - at.start], y[at] - lo)
+            b = hk @ p["W"][lo:hi].T
+            b += p["bW"][lo:hi]
+            out[at] += b[own]
+            b, total = powers(b)
+            out[at] -= np.log(total)
             if grads is not None:
-                db = eb / s[:, None]
-                db[own] -= 1
-                grads["W"][lo:hi] += db.T @ hk
-                grads["bW"][lo:hi] += db.sum(0)
-                dh[at] += db @ p["W"][lo:hi]
-        return out if grads is None else (out, dh)
+                b /= total[:, None]
+                b[own] -= 1
+                grads["W"][lo:hi] += b.T @ hk
+                grads["bW"][lo:hi] += b.sum(0)
+                dh[at] += b @ p["W"][lo:hi]
+        back = np.empty_like(out)
+        back[order] = out
+        if grads is None:
+            return back
+        dh_back = np.empty_like(dh)
+        dh_back[order] = dh
+        return back, dh_back
 
     def window(self, x: np.ndarray, y: np.ndarray, first: np.ndarray, h: np.ndarray, grads: dict) -> np.ndarray:
         """Adds one window's gradients to grads and returns the state after it; a y below 0 is no token."""
@@ -176,21 +203,27 @@ class Model:
             kept.append((h0, z, r, rh, c, h))
         states, flat = np.concatenate([k[5] for k in kept]), y.ravel()
         use = flat >= 0
-        dhs = np.zeros_like(states)
-        dhs[use] = self.output(states[use], flat[use], grads)[1]
-        dhs, dh, de = dhs.reshape(len(kept), -1, n), np.zeros_like(h), []
-        for (h0, z, r, rh, c, _), f, out in zip(reversed(kept), first[::-1], dhs[::-1], strict=True):
-            dh = dh + out
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - h0) * z * (1 - z)
-            grads["Un"] += rh.T @ dc
-            drh = dc @ p["Un"].T
-            dr = drh * h0 * r * (1 - r)
-            dg = np.concatenate((dz, dr), 1)
-            grads["U"] += h0.T @ dg
-            de.append(np.concatenate((dg, dc), 1))
-            dh = (dh * (1 - z) + drh * r + dg @ p["U"].T) * ~f[:, None]
-        flat, de = x.ravel(), np.concatenate(de[::-1])
+        if use.all():
+            dhs = self.output(states, flat, grads)[1]
+        else:
+            dhs = np.zeros_like(states)
+            dhs[use] = self.output(states[use], flat[use], grads)[1]
+        dhs, dh, de = dhs.reshape(len(kept), -1, n), np.zeros_like(h), np.empty((*x.shape, 3 * n), h.dtype)
+        un, u = np.ascontiguousarray(p["Un"].T), np.ascontiguousarray(p["U"].T)
+        for t in range(len(kept) - 1, -1, -1):
+            h0, z, r, _, c, _ = kept[t]
+            dh = dh + dhs[t]
+            dz, dr, dc = de[t, :, :n], de[t, :, n : 2 * n], de[t, :, 2 * n :]
+            dhz = dh * z
+            dc[:] = dhz * (1 - c * c)
+            dz[:] = dhz * (c - h0) * (1 - z)
+            drh = dc @ un
+            np.multiply(drh, r, out=dhz)
+            dr[:] = dhz * h0 * (1 - r)
+            dh = (dh * (1 - z) + dhz + de[t, :, : 2 * n] @ u) * ~first[t][:, None]
+        flat, de = x.ravel(), de.reshape(-1, 3 * n)
+        grads["U"] += np.concatenate([k[0] for k in kept]).T @ de[:, : 2 * n]
+        grads["Un"] += np.concatenate([k[3] for k in kept]).T @ de[:, 2 * n :]
         order = np.argsort(flat, kind="stable")
         at = np.flatnonzero(np.diff(flat[order], prepend=-1))
         grads["E"] = flat[order][at], np.add.reduceat(de[order], at)

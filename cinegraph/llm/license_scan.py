@@ -8,28 +8,17 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cinegraph.llm.license_texts import TEMPLATES
+
 #: The base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Notices in common use, as templates; a parameter of scan().
-TEMPLATES = {
-    "apache-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "apache-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "mpl-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "apache-line": "Licensed under the Apache License, Version 2.0",
-    "gpl-line": "This work is licensed under the GNU General Public License, version 3",
-    "mit-line": "Released under the MIT License",
-}
-
-#: Words in a gram; the share of a template's words that a verified span must have; how far diagonals lie that merge.
-K, COVER, REACH = 3, 0.6, 4
+#: Words in a gram; the share of a template's words that a span must have, in order; the words of templates so short that
+#: a span must have all of them; different grams that a span of any other must have; how far diagonals lie that merge.
+K, COVER, SHORT, GRAMS, REACH = 3, 0.6, 16, 6, 4
 
 #: Everything but ASCII letters, digits and what lies outside ASCII separates words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,7 +45,7 @@ def places(words: str, phrases: Mapping[str, str]) -> Column:
 
 
 def template_grams(spark: SparkSession, templates: Mapping[str, str], k: int) -> DataFrame:
-    """(gram, template, t_at, t_words) for each k-gram of each template; as many rows as the templates have words."""
+    """(gram, w, template, t_at, t_words) for each k-gram of each template; as many rows as the templates have words."""
     rows = []
     for label, text in templates.items():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(CAPITALS, SMALL)))
@@ -66,35 +55,48 @@ def template_grams(spark: SparkSession, templates: Mapping[str, str], k: int) ->
 
 
 def votes(docs: DataFrame, templates: Mapping[str, str], k: int) -> DataFrame:
-    """(_id, template, t_words, diagonal, at, t_at, gram words) for each place where a template's gram stands in a document."""
-    later = ", ".join(f"get(_w, i + {j})" for j in range(1, k))
-    last = f", greatest(size(_w) - {k - 1}, 0)"
-    grams = docs.select("_id", F.expr(f"posexplode(transform(slice(_w, 1{last}), (w, i) -> xxhash64(w, {later})))").alias("at", "gram"))
+    """(_id, template, t_words, t_at, at, diagonal) for each place where a template's gram stands in a document: rolling
+    hashes are joined, and of those that are equal the words are compared."""
+    words = ", ".join(f"get(_w, i + {j})" for j in range(k))
+    last = f"greatest(size(_w) - {k - 1}, 0)"
+    grams = docs.select("_id", F.expr(f"posexplode(transform(slice(_w, 1, {last}), (w, i) -> struct(xxhash64({words}) as gram, array({words}) as w)))").alias("at", "g"))
     known = F.broadcast(template_grams(docs.sparkSession, templates, k))
-    return grams.join(known, "gram").select("_id", "template", "t_words", "t_at", "at", (F.col("at") - F.col("t_at")).alias("diagonal"), "w")
+    same = (F.col("g.gram") == F.col("gram")) & (F.col("g.w") == F.col("w"))
+    return grams.join(known, same).select("_id", "template", "t_words", "t_at", "at", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()
 
 
-def spans(found: DataFrame, k: int, cover: float, reach: int) -> DataFrame:
-    """(_id, template, start, end, share): diagonals by votes, neighbours merged, and spans that cover enough of a template.
+def spans(found: DataFrame, k: int, cover: float, reach: int, short: int, grams: int) -> DataFrame:
+    """(_id, template, start, end, share) of the verified spans: votes by diagonal, neighbours merged, alignment checked.
 
-    A diagonal's votes are aggregated first. Diagonals of one document and template that lie within reach of the one
-    before are one alignment: a few words were put in or left out. Share is the number of different template words
-    that its votes cover, against the template's.
+    Diagonals of one document and template that lie within reach of the one before are one alignment: a few words were put
+    in or left out. An alignment whose diagonals spread over more than a template's length is looked at in overlapping
+    stretches of that length. Along an alignment, votes count in the document's order as long as they also go forward in
+    the template; share is that of the template's words that these cover. A span has cover of them and grams different
+    grams at least, or, of a template of at most short words, all, and is no more than twice as long as the template. Of
+    spans that start side by side, as those of like templates do, the ones that cover most words stay,
+    and of these those of the largest share.
     """
-    covers = F.flatten(F.collect_set(F.sequence(F.col("t_at"), F.col("t_at") + k - 1)))
-    lines = found.groupBy("_id", "template", "t_words", "diagonal").agg(F.min("at").alias("start"), (F.max("at") + k).alias("end"), F.array_distinct(covers).alias("seen"))
-    d = lines.groupBy("_id", "template", "t_words").agg(F.array_sort(F.collect_list(F.struct("diagonal", "start", "end", "seen"))).alias("lines"))
-    merge = f"""aggregate(lines, cast(array() as array<struct<diagonal:int,start:int,end:int,seen:array<int>>>), (acc, x) ->
-      if(size(acc) > 0 and x.diagonal - element_at(acc, -1).diagonal <= {reach},
-         concat(slice(acc, 1, size(acc) - 1), array(named_struct('diagonal', x.diagonal, 'start', least(element_at(acc, -1).start, x.start),
-           'end', greatest(element_at(acc, -1).end, x.end), 'seen', array_union(element_at(acc, -1).seen, x.seen)))),
-         concat(acc, array(x))))"""
-    m = d.select("_id", "template", "t_words", F.explode(F.expr(merge)).alias("m"))
-    share = F.size("m.seen") / F.col("t_words")
-    return m.where(share >= cover).select("_id", "template", F.col("m.start").alias("start"), F.col("m.end").alias("end"), share.alias("share"))
-
-
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, k: int = K, cover: float = COVER, reach: int = REACH) -> DataFrame:
+    line = Window.partitionBy("_id", "template").orderBy("diagonal")
+    cut = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= reach, 0).otherwise(1)
+    d = found.groupBy("_id", "template", "t_words", "diagonal").agg(F.collect_list(F.struct("at", "t_at")).alias("v")).withColumn("cut", cut)
+    d = d.withColumn("run", F.sum("cut").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("_id", "template", "run")
+    half = F.greatest(F.lit(1), F.floor(F.col("t_words") / 2)).cast("int")
+    d = d.withColumns({"first": F.min("diagonal").over(run), "wide": F.max("diagonal").over(run) - F.min("diagonal").over(run) > F.col("t_words")})
+    at = ((F.col("diagonal") - F.col("first")) / half).cast("int")
+    d = d.withColumn("part", F.explode(F.when(F.col("wide"), F.array(at - 1, at)).otherwise(F.array(F.lit(0)))))
+    d = d.groupBy("_id", "template", "t_words", "run", "part").agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("v"))
+    step = f"""aggregate(v, named_struct('t', -{k}, 'words', 0, 'grams', 0, 'start', -1, 'end', -1),
+      (a, x) -> if(x.t_at > a.t, named_struct('t', x.t_at, 'words', a.words + least({k}, x.t_at - a.t), 'grams', a.grams + 1,
+        'start', if(a.start < 0, x.at, a.start), 'end', x.at + {k}), a))"""
+    d = d.withColumn("a", F.expr(step)).withColumn("share", F.col("a.words") / F.col("t_words"))
+    good = F.when(F.col("t_words") <= short, F.col("share") >= 1).otherwise((F.col("share") >= cover) & (F.col("a.grams") >= grams))
+    d = d.where(good & (F.col("a.end") - F.col("a.start") <= 2 * F.col("t_words"))).select("_id", "template", F.col("a.start").alias("start"), F.col("a.end").alias("end"), "share", F.col("a.words").alias("words")).distinct()
+    beside = Window.partitionBy("_id").orderBy("start").rangeBetween(-2 * reach, 2 * reach)
+    return d.withColumn("most", F.max(F.struct("words", "share")).over(beside)).where("words = most.words and share = most.share").drop("words", "most")
+
+
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, k: int = K, cover: float = COVER, reach: int = REACH, short: int = SHORT, grams: int = GRAMS) -> DataFrame:
     """doc_id, n_words, places (array of at, label), found (array of template, start, end, share) for each row of docs.
 
     places are those of the phrases; found are the verified template spans, in words from 0. Only votes are shuffled,
@@ -104,7 +106,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", phrases: Mapp
     """
     own, body = F.col(f"`{key}`"), F.col(f"`{text}`")
     d = docs.select(own.alias("_key"), row_key(own, body).alias("_id"), words_of(body).alias("_w"))
-    per = spans(votes(d, templates, k), k, cover, reach).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("template", "start", "end", "share"))).alias("found"))
+    per = spans(votes(d, templates, k), k, cover, reach, short, grams).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("template", "start", "end", "share"))).alias("found"))
     base = d.select("_id", "_key", F.size("_w").cast("long").alias("n_words"), places("_w", phrases).alias("places"))
     return base.join(per, "_id", "left").select(F.col("_key").alias(key), "n_words", "places", F.coalesce("found", F.array().cast("array<struct<template:string,start:int,end:int,share:double>>")).alias("found"))
 

@@ -67,5 +67,34 @@ def licenses(text):
     return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
 
 
+def diagonals(text, templates, k=3, cover=0.6, short=16, grams=6, reach=4):
+    """The spans (template, start, end, share) of the diagonal vote, row by row; alignments wider than a template are not cut."""
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    w, out = words_of(text), set()
+    for name, template in templates.items():
+        t = words_of(template)
+        where = {}
+        for j in range(len(t) - k + 1):
+            where.setdefault(tuple(t[j : j + k]), []).append(j)
+        found = sorted((i - j, i, j) for i in range(len(w) - k + 1) for j in where.get(tuple(w[i : i + k]), ()))
+        runs = []
+        for d, i, j in found:
+            if not runs or d - runs[-1][0] > reach:
+                runs.append([d, []])
+            runs[-1][0] = d
+            runs[-1][1].append((i, j))
+        for _, run in runs:
+            last, covered, n, start, end = -k, set(), 0, None, None
+            for i, j in sorted(run):
+                if j > last:
+                    last, n, end = j, n + 1, i + k
+                    start = i if start is None else start
+                    covered |= set(range(j, j + k))
+            share = len(covered) / len(t)
+            if (share >= 1 if len(t) <= short else share >= cover and n >= grams) and end - start <= 2 * len(t):
+                out.add((name, start, end, share, len(covered)))
+    return sorted(x[:4] for x in out if all((y[4], y[3]) <= (x[4], x[3]) for y in out if abs(x[1] - y[1]) <= 2 * reach))
+
+
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 1

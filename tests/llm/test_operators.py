@@ -392,19 +392,43 @@ def test_licenses(docs):
         assert set(filter(None, labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
-def test_diagonals_find_an_altered_notice(spark):
-    notice = license_scan.TEMPLATES["mit-grant"].replace("merge, publish", "merge, or even publish").replace("any person", "each person")
-    df = spark.createDataFrame([(1, "intro words " + notice + " and more"), (2, "a free text about software without any notice at all")], "doc_id long, text string")
-    got = by_id(license_scan.scan(df))
-    assert [f.template for f in got[1].found] == ["mit-grant"] and got[1].found[0].start == 2 and got[1].found[0].share > 0.7 and got[2].found == []
+def altered(words, rng, edits):
+    w = list(words)
+    for _ in range(edits):
+        k = rng.randrange(len(w))
+        rng.choice([lambda: w.insert(k, "furthermore"), lambda: w.pop(k), lambda: w.__setitem__(k, "each")])()
+    return w
+
+
+def test_diagonal_votes_by_brute_force(spark):
+    """Whole, altered, cut, shuffled and repeated templates among prose, and phrases that only look like one."""
+    rng, texts = random.Random(6), [None, "", "released under the sea", "The album was released under the label in 1999", "Released under the MIT License", "free of charge to any person, with or without fee"]
+    for name, t in license_scan.TEMPLATES.items():
+        w = t.split()
+        texts += [t, " ".join(altered(w, rng, len(w) // 25)), " ".join(altered(w, rng, len(w) // 6)), " ".join(w[len(w) // 3 :]), " ".join(rng.sample(w, len(w))), f"{t} {t.upper()} and {' '.join(w[: len(w) // 2])}"]
+        texts += [" ".join(rng.choices(WORDS, k=30)) + " " + t + " " + " ".join(rng.choices(WORDS, k=30)), " ".join(w[len(w) // 2 :] + w[: len(w) // 2])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: sorted((f.template, f.start, f.end, f.share) for f in r.found) for r in license_scan.scan(df).collect()}
+    for i, t in enumerate(texts):
+        want = brute.diagonals(t, license_scan.TEMPLATES)
+        assert [g[:3] for g in got[i]] == [x[:3] for x in want] and [g[3] for g in got[i]] == pytest.approx([x[3] for x in want]), t
+    for i, (name, _) in enumerate(license_scan.TEMPLATES.items()):
+        assert {g[0] for g in got[6 + 8 * i]} == {name} and (name.endswith("line") or {g[0] for g in got[7 + 8 * i]} == {name})
+    assert [got[i] for i in (0, 1, 2, 3, 5)] == [[]] * 5 and [g[0] for g in got[4]] == ["mit-line"]
+
+
+def test_a_very_long_text_of_notices(spark):
+    t = license_scan.TEMPLATES["gpl-notice"]
+    df = spark.createDataFrame([(1, (t + " and so on ") * 400)], "doc_id long, text string")
+    r = license_scan.scan(df, templates={"gpl-notice": t}).first()
+    assert len(r.found) == 400 and all(f.share == 1 for f in r.found)
 
 
 def test_rows_of_one_key_or_none_keep_their_own_licenses(spark):
-    notice, clean = license_scan.TEMPLATES["bsd-grant"], "a clean text of a few words"
+    notice, clean = license_scan.TEMPLATES["bsd-text"], "a clean text of a few words"
     df = spark.createDataFrame([(1, notice), (1, clean), (1, notice), (None, notice), (None, clean), (2, clean)], "doc_id long, text string")
-    got = sorted((str(r.doc_id), r.n_words, r.labels, r.score) for r in license_scan.digest(df).collect())
-    n = len(notice.split())
-    assert got == sorted([("1", n, "bsd-grant", 1.0)] * 2 + [("None", n, "bsd-grant", 1.0)] + [(i, 7, "", 0.0) for i in ("1", "None", "2")])
+    got = sorted((str(r.doc_id), r.labels, r.score) for r in license_scan.digest(df).collect())
+    assert got == sorted([("1", "bsd-text", 1.0)] * 2 + [("None", "bsd-text", 1.0)] + [(i, "", 0.0) for i in ("1", "None", "2")])
 
 
 def test_language_model(docs):

@@ -17,7 +17,7 @@ import numpy as np
 #: The vocabulary file, by its name among the public tokenizers or as a path that every worker has.
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces of which a worker keeps the ids; the older half goes when the table is full.
-KEPT = 800_000
+KEPT = 1_400_000
 
 #: Latin-1 letters and, behind them, ASCII marks but apostrophes: the tokenizer cuts a word between the two.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"

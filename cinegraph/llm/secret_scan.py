@@ -39,24 +39,51 @@ WRITTEN = {"hex": (0.05, 0.09, -0.1), "base32": (0.04, 0.06, -0.1), "base36": (0
 #: A p-value is counted by its whole tenths of a decimal digit, up to this many.
 STEPS = 400
 
+#: Items of an array that one aggregate() goes over; code points of a piece of text that places are looked up in.
+BLOCK, PIECE = 256, 4096
+
 SPAN = "array<struct<start:int,end:int,kind:string>>"
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, kind), in code points, of the leftmost non-overlapping matches whose group is long enough.
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once, however often body names it, lambdas in it included."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(items: Column, first: Column, step, at: str, out: str) -> Column:
+    """What step((at, out), item) puts out over all items, as one array, in about linear time.
+
+    aggregate() copies what it has put out at each step, so it runs over blocks of BLOCK items: once for their at alone, to
+    know where each block begins, and once more from there.
+    """
+
+    def over(items: Column) -> Column:
+        n = F.size(items)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+        begin = lambda blocks: F.aggregate(blocks, F.array(first[at]), lambda acc, b: F.concat(acc, F.array(F.aggregate(b, F.element_at(acc, -1), lambda a, x: step(F.struct(a.alias(at), first[out].alias(out)), x)[at]))))
+        whole = lambda blocks: F.zip_with(blocks, F.slice(begin(blocks), F.lit(1), F.size(blocks)), lambda b, a: F.aggregate(b, F.struct(a.alias(at), first[out].alias(out)), step, lambda acc: acc[out]))
+        return F.when(n > BLOCK, let(blocks, lambda blocks: F.flatten(whole(blocks)))).when(n > 0, F.aggregate(items, first, step, lambda acc: acc[out])).otherwise(first[out])
+
+    return let(items, over)
+
+
+def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, tokens: bool = False) -> Column:
+    """Array of (start, end, kind), in code points, of the leftmost non-overlapping matches whose group is long enough;
+    with tokens, also tok, the match.
 
     split() by the same pattern gives the gaps, so running sums of lengths give the places.
     """
+    shape = SPAN.replace("kind:string", "kind:string,tok:string") if tokens else SPAN
     length = (lambda m: F.length(F.regexp_extract(m, pattern, group))) if group else F.length
-    steps = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), length(m).alias("part")))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    steps = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("len"), length(m).alias("part"), *([m.alias("tok")] if tokens else [])))
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         start, end = acc["at"] + s["gap"], acc["at"] + s["gap"] + s["len"]
-        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))))
+        more = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), *([s["tok"].alias("tok")] if tokens else []))))
         return F.struct(end.alias("at"), F.when(s["part"] >= least, more).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(HINT[kind]), F.aggregate(steps, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(HINT[kind]), running(steps, first, step, "at", "out")).otherwise(F.array().cast(shape))
 
 
 def base_spans(text: Column) -> Column:
@@ -72,7 +99,7 @@ def _upper(z: str) -> str:
     return f"greatest(1e-45D, if({z} >= 0, {a}, 1D - {a}))"
 
 
-def battery(found: str, text: str) -> Column:
+def battery(found: str) -> Column:
     """The spans in the array column found with what the tests say of each one's string; a chain of SQL lambdas.
 
     For the places s_1..s_n of the string's symbols in the inferred alphabet of k symbols:
@@ -87,7 +114,6 @@ def battery(found: str, text: str) -> Column:
     letters = " ".join(f"when '{name}' then '{a}'" for name, _, a in ENCODINGS)
     written = [f"case c.encoding {' '.join(f"when '{name}' then {w[i]}D" for name, w in WRITTEN.items())} end" for i in range(3)]
     layers = [
-        {"tok": f"substring({text}, c.start + 1, c.end - c.start)"},
         {"n": "length(c.tok)", "encoding": f"case {fits} end"},
         {"norm": "translate(if(c.encoding in ('hex', 'base36'), lower(c.tok), c.tok), '-_', '+/')", "a": f"case c.encoding {letters} end", "change": written[0], "equal": written[1], "least_serial": written[2]},
         {"s": "transform(filter(split(c.norm, ''), x -> x <> ''), x -> locate(x, c.a) - 1)", "k": "length(c.a)", "cls": "split(translate(c.tok, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-', concat(repeat('a', 26), repeat('A', 26), repeat('0', 10), repeat('+', 4))), '')"},
@@ -121,7 +147,7 @@ def battery(found: str, text: str) -> Column:
             "band": "case " + " ".join(f"when c.n >= {b} then {b}" for b in sorted(BANDS, reverse=True)) + " end",
         },
     ]
-    keep, out = ["start", "end"], found
+    keep, out = ["start", "end", "tok"], found
     for layer in layers:
         out = f"transform({out}, c -> named_struct({', '.join(f"'{x}', c.{x}" for x in keep)}, {', '.join(f"'{x}', {e}" for x, e in layer.items())}))"
         keep += layer
@@ -154,7 +180,7 @@ def scan(docs: DataFrame, text: str = "text", rate: float = 0.01, least_random:
     repeated rows are scanned each, and an empty table gives no rows. docs may have columns of any names.
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
-    tested = row.withColumn("_found", spans_of(F.col("_text"), "random", CANDIDATE, 0, LEAST)).withColumn("_tested", battery("_found", "_text"))
+    tested = row.withColumn("_found", spans_of(F.col("_text"), "random", CANDIDATE, 0, LEAST, tokens=True)).withColumn("_tested", battery("_found"))
     bound = thresholds(tested, rate)
     tested = tested.withColumn("base", base_spans(F.col("_text")))
     base = F.col("base")
@@ -177,14 +203,27 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with each stretch that spans cover, overlapping ones as one, replaced by a mark."""
-    first = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with each stretch that spans cover, overlapping ones as one, replaced by a mark.
+
+    The text is cut into pieces of PIECE code points once, so that no place is looked up from the text's beginning.
+    """
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.when((s["start"] >= acc["at"]), gap).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+        gap = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), s["start"].alias("end"))))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"))
+
+    def kept(pieces: Column) -> Column:
+        def part(start: Column, end: Column) -> Column:
+            a, b = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+            at = (start % PIECE + 1).cast("int")
+            rest = F.concat(F.substring(F.get(pieces, a), at, F.lit(PIECE)), F.array_join(F.slice(pieces, a + 2, F.greatest(F.lit(0), b - a - 1)), ""), F.coalesce(F.substring(F.get(pieces, b), F.lit(1), (end % PIECE).cast("int")), F.lit("")))
+            return F.when(a == b, F.coalesce(F.substring(F.get(pieces, a), at, (end - start).cast("int")), F.lit(""))).otherwise(F.coalesce(rest, F.lit("")))
+
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.transform(running(spans, first, step, "at", "out"), lambda g: part(g["start"], g["end"])), F.array(part(last, F.length(text))))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), kept), mark))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -111,6 +111,23 @@ def test_redaction_takes_every_span(docs, spark):
     assert one.first()[0] == "0#567#9"
 
 
+def test_texts_of_very_many_secrets(spark):
+    """Linear in the matches of a text, and right across blocks of matches and pieces of text."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["0123456789abcdef" * 2, "é😀 wort", "token=abcdefgh", "AKIA" + "X" * 16, "password:" + "z" * 5000 if k % 50 == 0 else "x"]) for k in range(n)) for n in (20, 300, 3000, 20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, new = by_id(secret_scan.digest(df)), by_id(secret_scan.redact(df))
+    for i, t in enumerate(texts):
+        *_, digest, spans = brute.secrets(t)
+        assert got[i].base_sha256 == digest
+        out, at = [], 0
+        for a, b in (tuple(map(int, s.split(":")[1:])) for s in got[i].spans.split(",")):
+            if a >= at:
+                out.append(t[at:a])
+            at = max(at, b)
+        assert new[i].text == "[secret]".join([*out, t[at:]])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(500, i) for i in range(501, 560)]

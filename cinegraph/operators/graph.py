@@ -17,7 +17,8 @@ from cinegraph.functions.text import comma_count
 
 UNKNOWN, UNKNOWN_TITLE = "Unknown", "Unknown Movie"
 MAX_DEPTH = 6
-#: Given a frontier (node), the pairs (parent, node) of its members and their neighbours.
+#: Given a frontier (node), the pairs (parent, node) of its members and their neighbours. An attribute reach, if it has one,
+#: gives (node) without parents.
 Neighbours = Callable[[DataFrame], DataFrame]
 
 
@@ -39,6 +40,15 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the files of tables that kept() made and that no later plan reads."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/graph-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def membership(principals: DataFrame) -> DataFrame:
     return principals.select("tconst", "nconst").where("tconst is not null and nconst is not null").distinct()
 
@@ -51,9 +61,20 @@ def neighbours_of(members: DataFrame) -> Neighbours:
         near = titles.join(members, "tconst").select("parent", F.col("nconst").alias("node"))
         return near.where("parent <> node").distinct()
 
+    def reach(frontier: DataFrame) -> DataFrame:
+        titles = members.join(frontier.select(F.col("node").alias("nconst")), "nconst", "left_semi").select("tconst").distinct()
+        return members.join(titles, "tconst", "left_semi").select(F.col("nconst").alias("node")).distinct()
+
+    neighbours.reach = reach
     return neighbours
 
 
+def reached(neighbours: Neighbours, frontier: DataFrame) -> DataFrame:
+    """(node) of the neighbours of a frontier, and maybe of itself: no pairs, where the neighbours can do without."""
+    reach = getattr(neighbours, "reach", None)
+    return reach(frontier) if reach else neighbours(frontier).select("node").distinct()
+
+
 def costars(members: DataFrame, people: DataFrame) -> DataFrame:
     """(nconst) of everybody who shares a title with any of people (nconst) and is none of them."""
     titles = members.join(people, "nconst", "left_semi").select("tconst").distinct()
@@ -65,7 +86,7 @@ def distances(source: DataFrame, neighbours: Neighbours, max_depth: int = MAX_DE
     visited = kept(source.select("node", F.lit(0).alias("distance")).distinct())
     for depth in range(1, max_depth + 1):
         frontier = visited.where(F.col("distance") == depth - 1)
-        new = kept(neighbours(frontier.select("node")).select("node").distinct().join(visited, "node", "left_anti").select("node", F.lit(depth).alias("distance")))
+        new = kept(reached(neighbours, frontier.select("node")).join(visited, "node", "left_anti").select("node", F.lit(depth).alias("distance")))
         if new.isEmpty():
             break
         visited = visited.unionByName(new)
@@ -91,13 +112,16 @@ def _expand(side: Side, neighbours: Neighbours) -> Side:
     return Side(side.visited.unionByName(new), parents if side.parents is None else side.parents.unionByName(parents), side.depth + 1, new.count())
 
 
+def root(spark: SparkSession, node) -> DataFrame:
+    return spark.createDataFrame([(node,)], "node string" if isinstance(node, str) else "node long").withColumn("distance", F.lit(0))
+
+
 def search(spark: SparkSession, source, target, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> tuple[int, Side, Side, DataFrame] | None:
     """(distance, side of the source, side of the target, meeting nodes), or None beyond max_depth.
 
     Both sides grow by whole levels, the smaller first, so the first meeting is at the shortest distance.
     """
-    start = [spark.createDataFrame([(x,)], "node string" if isinstance(x, str) else "node long").withColumn("distance", F.lit(0)) for x in (source, target)]
-    a, b = (Side(s, None) for s in start)
+    a, b = (Side(root(spark, x), None) for x in (source, target))
     if source == target:
         return 0, a, b, a.visited.select("node")
     while a.depth + b.depth < max_depth and a.size and b.size:
@@ -105,20 +129,37 @@ def search(spark: SparkSession, source, target, neighbours: Neighbours, max_dept
             a = _expand(a, neighbours)
         else:
             b = _expand(b, neighbours)
-        meeting = a.visited.alias("x").join(b.visited.alias("y"), "node").groupBy((F.col("x.distance") + F.col("y.distance")).alias("total")).agg(F.count("*").alias("n"))
-        best = meeting.orderBy("total").first()
-        if best:
+        meeting = a.visited.alias("x").join(b.visited.alias("y"), "node").agg(F.min(F.col("x.distance") + F.col("y.distance"))).first()[0]
+        if meeting is not None:
             x, y = a.visited, b.visited.withColumnRenamed("distance", "other")
-            return int(best["total"]), a, b, x.join(y, "node").where((F.col("distance") + F.col("other") == int(best["total"])) & (F.col("distance") == a.depth)).select("node")
+            return int(meeting), a, b, x.join(y, "node").where((F.col("distance") + F.col("other") == int(meeting)) & (F.col("distance") == a.depth)).select("node")
     return None
 
 
 def distance(spark: SparkSession, source, target, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> int:
-    """Edges between two nodes; -1 if none of up to max_depth lead there or a node is unknown (None)."""
+    """Edges between two nodes; -1 if none of up to max_depth lead there or a node is unknown (None).
+
+    Both sides grow by whole levels, the smaller first, as in search(), but nobody's parents are looked for: a title with
+    many people is as many rows as these, not as their pairs. The first level to meet the other side meets its last.
+    """
     if source is None or target is None:
         return -1
-    found = search(spark, source, target, neighbours, max_depth)
-    return -1 if found is None else found[0]
+    if source == target:
+        return 0
+    sides = [Side(root(spark, x), None) for x in (source, target)]
+    while sum(s.depth for s in sides) < max_depth and all(s.size for s in sides):
+        i = 0 if sides[0].size <= sides[1].size else 1
+        one, other = sides[i], sides[1 - i].visited.withColumnRenamed("distance", "other")
+        new = kept(reached(neighbours, one.frontier()).join(one.visited, "node", "left_anti").select("node", F.lit(one.depth + 1).alias("distance")))
+        size, met = new.join(other, "node", "left").agg(F.count("*"), F.min("other")).first()
+        sides[i] = Side(one.visited.unionByName(new), None, one.depth + 1, size)
+        if met is not None:
+            break
+    else:
+        met = None
+    for s in sides:
+        forget(s.visited)
+    return -1 if met is None else sides[i].depth + met
 
 
 def _half_paths(side: Side, ends: DataFrame, limit: int) -> DataFrame:
@@ -143,9 +184,11 @@ def shortest_paths(spark: SparkSession, source, target, neighbours: Neighbours,
     """
     found = search(spark, source, target, neighbours, max_depth)
     kind = "string" if isinstance(source, str) else "bigint"
-    if found is None:
-        return spark.createDataFrame([], f"path array<{kind}>")
-    total, a, b, meeting = found
+    return spark.createDataFrame([], f"path array<{kind}>") if found is None else found_paths(*found, limit)
+
+
+def found_paths(total: int, a: Side, b: Side, meeting: DataFrame, limit: int) -> DataFrame:
+    """shortest_paths() of what search() has found."""
     if total == 0:
         return a.visited.select(F.array("node").alias("path"))
     paths = _half_paths(a, meeting, limit)
@@ -196,22 +239,23 @@ def ids_from_csv(spark: SparkSession, csv: str) -> DataFrame:
 def separation(spark: SparkSession, principals: DataFrame, names: DataFrame, name: str, source_id: str, max_depth: int = MAX_DEPTH) -> int:
     """Degrees between the person of that name and the source person; -1 for unknown people and beyond max_depth."""
     row = resolve_name(names, name).first()
-    return -1 if row is None else distance(spark, source_id, row["nconst"], neighbours_of(membership(principals)), max_depth)
+    return -1 if row is None else distance(spark, source_id, row["nconst"], neighbours_of(kept(membership(principals))), max_depth)
 
 
 def separation_paths(spark: SparkSession, principals: DataFrame, names: DataFrame, titles: DataFrame, name: str, source_id: str, source_name: str, max_paths: int | None = None, config: SearchConfig = SearchConfig()) -> dict:
     """number and paths: null if there is none, [] for the source person, else up to max_paths (1 to 10, 3 if null)
     lists of steps. titles has (tconst, label). Neighbours get one path for each title they share."""
     limit, row = clamp_paths(max_paths), resolve_name(names, name).first()
-    members = membership(principals)
-    number = -1 if row is None else distance(spark, row["nconst"], source_id, neighbours_of(members), config.max_depth)
-    if number < 0:
+    if row is None:
         return {"number": -1, "paths": None}
-    if number == 0:
+    if row["nconst"] == source_id:
         return {"number": 0, "paths": []}
-    if number == 1:
+    members = kept(membership(principals))
+    found = search(spark, row["nconst"], source_id, neighbours_of(members), config.max_depth)
+    if found is None:
+        return {"number": -1, "paths": None}
+    if found[0] == 1:
         labels = [r["label"] for r in shared_titles(members, titles, row["nconst"], source_id, limit).collect()]
         return {"number": 1, "paths": [[{"actorName": source_name, "movieTitle": x}] for x in labels]}
-    paths = shortest_paths(spark, row["nconst"], source_id, neighbours_of(members), number, limit)
-    labelled = label_paths(paths, members, names, titles).orderBy("path").limit(limit).collect()
-    return {"number": number, "paths": [[s.asDict() for s in r["steps"]] for r in labelled]}
+    labelled = label_paths(found_paths(*found, limit), members, names, titles).orderBy("path").limit(limit).collect()
+    return {"number": found[0], "paths": [[s.asDict() for s in r["steps"]] for r in labelled]}

@@ -200,7 +200,7 @@ _Q40 = _DIST.replace("{roles}", "{roles}, q as (select distinct l_orderkey as t,
 
 
 def from_zero(d: Data, principals: DataFrame) -> DataFrame:
-    return graph.distances(d.spark.range(1).select(F.col("id").alias("node")), graph.neighbours_of(graph.membership(principals)))
+    return graph.distances(d.spark.range(1).select(F.col("id").alias("node")), graph.neighbours_of(graph.kept(graph.membership(principals))))
 
 
 @query(_R + " select node, distance from dist")
@@ -278,10 +278,14 @@ def paths_labelled(d: Data) -> DataFrame:
     return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), steps.alias("steps"))
 
 
-@query("with {roles}, a as (select distinct y.n from m x join m y using (t) where x.n = 0 and y.n <> 0), b as (select distinct y.n from m x join m y using (t) where x.n = 33 and y.n <> 33) select n as node from a where n in (select n from b)")
+@query("""with {roles}, a as (select distinct y.n from m x join m y using (t) where x.n = 0 and y.n <> 0),
+far as (select min(y.n) as k from a join m x on x.n = a.n join m y using (t) where y.n <> 0 and y.n not in (select n from a)),
+b as (select distinct y.n from m x join m y using (t) where x.n = (select k from far) and y.n <> x.n) select n as node from a where n in (select n from b)""")
 def meeting_nodes(d: Data) -> DataFrame:
-    a, b = (graph.costars(members(d), d.spark.range(k, k + 1).select(F.col("id").alias("nconst"))) for k in (0, 33))
-    return a.join(b, "nconst", "left_semi").select(F.col("nconst").alias("node"))
+    """Where the searches from part 0 and from the first part at distance 2 meet."""
+    near = graph.neighbours_of(graph.kept(members(d)))
+    far = graph.distances(d.spark.range(1).select(F.col("id").alias("node")), near, 2).where("distance = 2").agg(F.min("node")).first()[0]
+    return graph.search(d.spark, 0, far if far is not None else 0, near, 2)[3]
 
 
 @query("select 'part' as name, count(*) as n from part union all select 'orders', count(*) from orders union all select 'lineitem', count(*) from lineitem")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from cinegraph.schemas import KEYS, LOAD_STATE, TABLES, duplicate_keys
 from cinegraph.sources.tsv import read_tsv
 
 
+#: The file that says that all tables were loaded once.
+MARK = ".loaded"
+
+
 class DuplicateKeys(ValueError):
     pass
 
@@ -26,9 +31,39 @@ def upsert(base: DataFrame, stage: DataFrame, keys: list[str]) -> DataFrame:
     return base.join(stage.select(*keys), keys, "left_anti").select(*base.columns).unionByName(stage.select(*base.columns))
 
 
+def _file(spark: SparkSession, path: str):
+    """The file system of a path, as Spark sees it, and the path in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def sha256_of(spark: SparkSession, path: str) -> str:
-    """The SHA-256 of a file's bytes, read by Spark."""
-    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+    """The SHA-256 of a file's bytes, read as a stream, whatever its size; of a folder, that of its files' by name."""
+    fs, p = _file(spark, path)
+    if fs.getFileStatus(p).isDirectory():
+        files = sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isFile())
+        return hashlib.sha256("".join(sha256_of(spark, f"{path}/{f}") for f in files if f[0] not in "._").encode()).hexdigest()
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
+def changed_at(spark: SparkSession, path: str) -> dt.datetime:
+    """When a file was last written, which for a download is when it was made, in UTC."""
+    fs, p = _file(spark, path)
+    return dt.datetime.fromtimestamp(fs.getFileStatus(p).getModificationTime() / 1000, dt.timezone.utc)
+
+
+def utc_text(at: dt.datetime) -> str:
+    """A time in ISO form, in UTC."""
+    return at.astimezone(dt.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def version(spark: SparkSession) -> str:
+    """What the engine calls itself; that it answers says that it is alive."""
+    return spark.sql("select version()").first()[0]
 
 
 class Store:
@@ -66,17 +101,31 @@ class Store:
         rows = upsert(self.read(table), stage, KEYS[table])
         version = uuid.uuid4().hex
         rows.write.parquet(f"{self.root}/{table}/{version}")
-        at = dt.datetime.now()
-        self.spark.createDataFrame([(table, url, path, digest, at, at, version)], f"{LOAD_STATE}, version string").coalesce(1).write.mode("append").parquet(f"{self.root}/load_state")
+        at = dt.datetime.now(dt.timezone.utc)
+        self.spark.createDataFrame([(table, url, path, digest, changed_at(self.spark, path), at, version)], f"{LOAD_STATE}, version string").coalesce(1).write.mode("append").parquet(f"{self.root}/load_state")
         return True
 
     def load_all(self, folder: str, mode: str = "update", minimal: bool = False) -> dict[str, bool]:
-        """Loads every table in an order that has parents first; mode init does nothing where tables are loaded already."""
-        if mode == "init" and all(self.current(t) for t in TABLES):
+        """Loads every table in an order that has parents first, and leaves a mark with the time.
+
+        Mode init does nothing if the mark is there, and tables and load state are, too: a mark alone counts for nothing.
+        """
+        if mode not in ("init", "update"):
+            raise ValueError(f"no such mode: {mode}")
+        if mode == "init" and self.marked() and all(self.current(t) for t in TABLES) and all(not self.read(t).isEmpty() for t in TABLES):
             return dict.fromkeys(TABLES, False)
         end = ".minimal.tsv.gz" if minimal else ".tsv.gz"
         order = ("name_basics", "title_basics", "title_ratings", "title_crew", "title_principals")
-        return {t: self.load(t, f"{folder}/{t.replace('_', '.')}{end}") for t in order}
+        done = {t: self.load(t, f"{folder}/{t.replace('_', '.')}{end}") for t in order}
+        fs, p = _file(self.spark, f"{self.root}/{MARK}")
+        out = fs.create(p, True)
+        out.write(bytearray(utc_text(dt.datetime.now(dt.timezone.utc)) + "\n", "ascii"))
+        out.close()
+        return done
+
+    def marked(self) -> bool:
+        fs, p = _file(self.spark, f"{self.root}/{MARK}")
+        return fs.exists(p)
 
     def counts(self) -> DataFrame:
         """(table, n) of all tables."""

@@ -19,7 +19,7 @@ def schema_of(table: str) -> T.StructType:
 def read_tsv(spark: SparkSession, path: str, table: str, parts: int | None = None) -> DataFrame:
     """A dump with a header row, by line and tab: empty cells stay empty strings and only \\N is null.
 
-    Flags are 0 or 1. A cell that does not fit its type is an error. A gzipped file is one task, so parts deals it out.
+    Every line that is the header goes. Flags are 0 or 1. A cell that does not fit its type is an error. A gzipped file is one task, so parts deals it out.
     """
     schema = schema_of(table)
     lines = spark.read.text(path)
@@ -42,6 +42,17 @@ def write_tsv(df: DataFrame, path: str, compression: str = "gzip") -> None:
     df.select(*flags).write.csv(path, sep="\t", header=True, nullValue=NULL, emptyValue="", quote="\u0000", compression=compression)
 
 
+def read_keys(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The keys of a file of one key a line, distinct, as a table of one column; blank lines are none."""
+    return spark.read.text(path).select(F.trim("value").alias(column)).where(F.col(column) != "").distinct()
+
+
+def retain(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose value in the keys' column is a key."""
+    (column,) = keys.columns
+    return df.join(keys, column, "left_semi").select(*df.columns)
+
+
 def clean(tables: dict[str, DataFrame], with_tv_episodes: bool = False, minimal: bool = False, crew_ids: int = 5) -> dict[str, DataFrame]:
     """Quotes straightened, titles filtered (minimal: movies only), then only rows whose parents are there.
 

@@ -11,17 +11,19 @@ from cinegraph.sources.load import upsert
 def refresh(spark: SparkSession, folder: str, schema: str, keys: list[str], base: DataFrame, target: str, checkpoint: str):
     """A file stream whose batches upsert into versions of a table below target; ends when all files are taken.
 
-    Of several rows of one key in a batch the last by key and content counts. Versions are numbered by batch, so a batch
-    that is run again writes the same one.
+    Of a key's rows in several files the last file's count, by time and name; a file that has a key twice is an error, as
+    it is in a load. Versions are numbered by batch, so a batch that is run again writes the same one.
     """
 
     def step(batch: DataFrame, number: int) -> None:
         now = spark.read.schema(base.schema).parquet(f"{target}/{number - 1}") if number else base
-        others = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_v")).select(*keys, "_v.*") if others else batch.distinct()
+        last = batch.groupBy(*keys).agg(F.max("_from").alias("_last")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_last")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_from") == F.col("_last")]
+        latest = batch.join(last, same, "left_semi").select(*base.columns)
         upsert(now, latest, keys).write.mode("overwrite").parquet(f"{target}/{number}")
 
-    return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    files = spark.readStream.schema(schema).parquet(folder).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_from"))
+    return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def pages(df: DataFrame, size: int):

@@ -1,11 +1,15 @@
+import datetime as dt
 import gzip
+import hashlib
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from cinegraph.__main__ import main
 from cinegraph.schemas import duplicate_keys, orphans
-from cinegraph.sources.load import DuplicateKeys, Store, upsert
-from cinegraph.sources.tsv import clean, cut_crew, read_quoted, read_tsv, write_tsv
+from cinegraph.sources.load import DuplicateKeys, Store, changed_at, sha256_of, upsert, utc_text, version
+from cinegraph.sources.tsv import clean, cut_crew, read_keys, read_quoted, read_tsv, retain, write_tsv
 from cinegraph.streaming.refresh import pages, refresh
 
 HEADERS = {
@@ -97,9 +101,46 @@ def test_store_loads_what_changed(spark, dumps, tmp_path):
 
 def test_refresh_from_a_stream(spark, tmp_path):
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    spark.createDataFrame([(2, "x"), (2, "z"), (3, "c")], "k int, v string").write.parquet(f"{tmp_path}/in")
+    for rows in ([(2, "z"), (3, "c")], [(2, "x"), (None, "n")]):
+        spark.createDataFrame(rows, "k int, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
     refresh(spark, f"{tmp_path}/in", "k int, v string", ["k"], base, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/0").collect())) == [(1, "a"), (2, "z"), (3, "c")]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/0").collect()), key=str) == sorted([(1, "a"), (2, "x"), (3, "c"), (None, "n")], key=str)
+
+
+def test_refresh_takes_no_twins_of_one_file(spark, tmp_path):
+    base = spark.createDataFrame([(1, "a")], "k int, v string")
+    spark.createDataFrame([(2, "x"), (2, "z")], "k int, v string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="share k"):
+        refresh(spark, f"{tmp_path}/in", "k int, v string", ["k"], base, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
+
+
+def test_hash_time_and_version(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b"abc" * 100_000)
+    assert sha256_of(spark, f"{tmp_path}/f") == hashlib.sha256(b"abc" * 100_000).hexdigest()
+    assert abs(changed_at(spark, f"{tmp_path}/f").timestamp() - (tmp_path / "f").stat().st_mtime) < 1
+    assert utc_text(dt.datetime(2020, 1, 2, 5, 4, 5, tzinfo=dt.timezone(dt.timedelta(hours=2)))) == "2020-01-02T03:04:05Z"
+    assert version(spark).startswith("4.")
+
+
+def test_key_lists(spark, tmp_path):
+    (tmp_path / "keys").write_text("t1\n t3 \n\nt1\n")
+    df = spark.createDataFrame([("a", "t1"), ("b", "t2"), ("c", None), ("d", "t3")], "x string, tconst string")
+    assert [r.x for r in retain(df, read_keys(spark, f"{tmp_path}/keys", "tconst")).orderBy("x").collect()] == ["a", "d"]
+
+
+def test_commands(spark, dumps, tmp_path, capsys):
+    main(["clean", str(dumps), f"{tmp_path}/tidy", "--minimal"], spark)
+    main(["load", f"{tmp_path}/few", f"{tmp_path}/tidy", "--minimal"], spark)
+    assert "title_basics 1 loaded" in capsys.readouterr().out
+    main(["load", f"{tmp_path}/db", str(dumps), "--mode", "init"], spark)
+    assert "title_basics 3 loaded" in capsys.readouterr().out
+    main(["load", f"{tmp_path}/db", str(dumps), "--mode", "init"], spark)
+    assert "title_basics 3 unchanged" in capsys.readouterr().out
+    store = Store(spark, f"{tmp_path}/db")
+    assert store.marked()
+    with pytest.raises(ValueError):
+        store.load_all(str(dumps), "again")
 
 
 def test_finite_streams(spark):

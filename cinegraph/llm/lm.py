@@ -56,6 +56,20 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+class Places(dict):
+    """Each token's place in a list, and for any other token the list's length."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        super().__init__(zip(tokens, range(len(tokens))))
+        self.none = len(tokens)
+
+    def __missing__(self, token: bytes) -> int:
+        return self.none
+
+    def of(self, words: list[bytes], kind: type) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), kind, len(words))
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: Counter[bytes] = Counter()
 
@@ -265,26 +279,21 @@ class Model:
             own[lane].append(i)
             heapq.heappush(heap, (length + len(docs[i]), lane))
         own.sort(key=lambda ds: -sum(len(docs[i]) for i in ds))
-        flat = [np.concatenate([docs[i] for i in ds]) for ds in own]
-        which = [np.repeat(np.array(ds, np.int32), [len(docs[i]) for i in ds]) for ds in own]
-        first = []
-        for ds in own:
-            f = np.zeros(sum(len(docs[i]) for i in ds), bool)
-            f[np.cumsum([0] + [len(docs[i]) for i in ds[:-1]])] = True
-            first.append(f)
-        lengths = np.array([len(f) for f in flat])
-        h = np.zeros((len(flat), self.p["Un"].shape[0]), np.float32)
-        start, last = len(self.p["E"]) - 1, np.zeros(len(flat), np.int32)
+        order = [i for ds in own for i in ds]
+        sizes = np.array([len(docs[i]) for i in order])
+        flat, which = np.concatenate([docs[i] for i in order]), np.repeat(np.array(order, np.int32), sizes)
+        first = np.zeros(len(flat), bool)
+        first[np.cumsum(sizes) - sizes] = True
+        lengths = np.array([sum(len(docs[i]) for i in ds) for ds in own])
+        lane_at = np.cumsum(lengths) - lengths
+        h = np.zeros((len(own), self.p["Un"].shape[0]), np.float32)
+        start, last = len(self.p["E"]) - 1, np.zeros(len(own), np.int32)
         for at in range(0, int(lengths[0]), window):
             active = int((lengths > at).sum())
-            block = np.zeros((window, active), np.int32)
-            docs_at = np.full((window, active), -1, np.int32)
-            begin = np.zeros((window, active), bool)
-            for lane in range(active):
-                k = min(window, lengths[lane] - at)
-                block[:k, lane] = flat[lane][at : at + k]
-                docs_at[:k, lane] = which[lane][at : at + k]
-                begin[:k, lane] = first[lane][at : at + k]
+            place = np.arange(at, at + window)[:, None]
+            there = place < lengths[:active]
+            place = np.where(there, place + lane_at[:active], 0)
+            block, docs_at, begin = np.where(there, flat[place], 0), np.where(there, which[place], -1), first[place] & there
             states = np.empty((window, active, h.shape[1]), np.float32)
             h = h[:active]
             last = last[:active]
@@ -322,8 +331,8 @@ def _scores(held):
 
         one_thread()
         known: Known = held.value
-        index = {t: i for i, t in enumerate(known.tokens)}
-        none = len(index)
+        index = Places(known.tokens)
+        none = index.none
         base, rare = np.append(known.base, 0.0), np.append(known.rare, 0.0)
         part, row = TaskContext.get().partitionId() << 40, 0
         for whole in batches:
@@ -332,7 +341,7 @@ def _scores(held):
                 docs, sums, ends, tokens, counts = [], [], [0], [], []
                 for text in b.column(0):
                     words = tokens_of(text.as_py())
-                    ids = np.fromiter((index.get(w, none) for w in words), np.int32, len(words))
+                    ids = index.of(words, np.int32)
                     tail = Counter(words[i] for i in np.flatnonzero(ids == none).tolist())
                     sums.append((len(words), len(words) - tail.total(), float(base[ids].sum()), float(rare[ids].sum())))
                     tokens += tail.keys()
@@ -353,13 +362,13 @@ def _windows(held):
     """A window of each text, whose place a hash names: long texts are taken as often as short ones."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, none = {t: i for i, t in enumerate(held.value)}, len(held.value)
+        index = Places(held.value)
         for b in batches:
             out = []
             for h, text in zip(b.column(0).to_pylist(), b.column(1)):
                 words = tokens_of(text.as_py())
                 at = h % max(1, len(words) - SAMPLE_TOKENS + 1)
-                out.append(np.array([index.get(w, none) for w in words[at : at + SAMPLE_TOKENS]], "<i4").tobytes())
+                out.append(index.of(words[at : at + SAMPLE_TOKENS], "<i4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["h", "ids"])
 
     return windows
@@ -371,13 +380,13 @@ def _learned(held, rate: float):
 
         one_thread()
         tokens, kept = held.value
-        index, none = {t: i for i, t in enumerate(tokens)}, len(tokens)
+        index = Places(tokens)
         model = Model(kept.token_class, kept.starts, {k: x.copy() for k, x in kept.p.items()})
         adam, seen, docs, size = Adam(model.p), 0, [], 0
         for b in batches:
             for text in b.column(0):
                 words = tokens_of(text.as_py())
-                docs.append(np.fromiter((index.get(w, none) for w in words), np.int64, len(words)))
+                docs.append(index.of(words, np.int64))
                 size += len(words)
                 if size >= TRAIN_TOKENS:
                     model.learn(docs, adam, TRAIN_LANES, TRAIN_WINDOW, lambda _: rate)

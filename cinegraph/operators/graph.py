@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinegraph.functions.text import comma_count
@@ -150,8 +150,12 @@ def distance(spark: SparkSession, source, target, neighbours: Neighbours, max_de
     while sum(s.depth for s in sides) < max_depth and all(s.size for s in sides):
         i = 0 if sides[0].size <= sides[1].size else 1
         one, other = sides[i], sides[1 - i].visited.withColumnRenamed("distance", "other")
-        new = kept(reached(neighbours, one.frontier()).join(one.visited, "node", "left_anti").select("node", F.lit(one.depth + 1).alias("distance")))
-        size, met = new.join(other, "node", "left").agg(F.count("*"), F.min("other")).first()
+        # How many are new and where they meet the other side is seen while they are written; a task that runs twice
+        # may count twice, which only matters to which side grows next.
+        seen = Observation()
+        new = reached(neighbours, one.frontier()).join(one.visited, "node", "left_anti").join(other, "node", "left").select("node", F.lit(one.depth + 1).alias("distance"), "other")
+        new = kept(new.observe(seen, F.count(F.lit(1)).alias("size"), F.min("other").alias("met"))).select("node", "distance")
+        size, met = seen.get["size"], seen.get["met"]
         sides[i] = Side(one.visited.unionByName(new), None, one.depth + 1, size)
         if met is not None:
             break

@@ -50,8 +50,9 @@ def is_held_out(key: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(FOLDS)) == HELD, F.lit(False))
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens_of(text: str | bytes | None) -> list[bytes]:
+    """Of a text, or of its bytes in UTF-8."""
+    words = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
     words.append(END)
     return words
 
@@ -79,7 +80,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        for text in b.column(0):
+        for text in b.column(0).cast(pa.binary()):
             found.update(tokens_of(text.as_py()))
             if len(found) > COUNTED:
                 yield handed()
@@ -339,7 +340,7 @@ def _scores(held):
             for at in range(0, whole.num_rows, SCORE_DOCS):
                 b = whole.slice(at, SCORE_DOCS)
                 docs, sums, ends, tokens, counts = [], [], [0], [], []
-                for text in b.column(0):
+                for text in b.column(0).cast(pa.binary()):
                     words = tokens_of(text.as_py())
                     ids = index.of(words, np.int32)
                     tail = Counter(words[i] for i in np.flatnonzero(ids == none).tolist())
@@ -365,7 +366,7 @@ def _windows(held):
         index = Places(held.value)
         for b in batches:
             out = []
-            for h, text in zip(b.column(0).to_pylist(), b.column(1)):
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
                 words = tokens_of(text.as_py())
                 at = h % max(1, len(words) - SAMPLE_TOKENS + 1)
                 out.append(index.of(words[at : at + SAMPLE_TOKENS], "<i4").tobytes())
@@ -384,7 +385,7 @@ def _learned(held, rate: float):
         model = Model(kept.token_class, kept.starts, {k: x.copy() for k, x in kept.p.items()})
         adam, seen, docs, size = Adam(model.p), 0, [], 0
         for b in batches:
-            for text in b.column(0):
+            for text in b.column(0).cast(pa.binary()):
                 words = tokens_of(text.as_py())
                 docs.append(index.of(words, np.int64))
                 size += len(words)
@@ -434,9 +435,9 @@ def learn_all(docs: DataFrame, model: Model, tokens: list[bytes]) -> int:
 
 def train(docs: DataFrame, counts: DataFrame) -> Known:
     """docs (key, text, held_out) and the counts of all training tokens to what the workers need."""
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # Counts of counts, at most 2048, say from which count on a token is in the head, so no more than HEAD rows come back.
-    bins = counts.groupBy(F.floor(F.log2("n") * 32).alias("bin")).agg(F.count("*").alias("tokens"), F.min("n").alias("least")).collect()
+    bins = counts.groupBy(F.floor(F.log2("n") * 32).alias("bin")).agg(F.count("*").alias("tokens"), F.sum("n").alias("n"), F.min("n").alias("least")).collect()
+    total, distinct = (sum(r[c] for r in bins) for c in ("n", "tokens"))
     least, room = math.inf, HEAD
     for r in sorted(bins, key=lambda r: -r["bin"]):
         room -= r["tokens"]
@@ -447,8 +448,9 @@ def train(docs: DataFrame, counts: DataFrame) -> Known:
     tokens, n = [bytes(r["token"]) for r in head], np.array([r["n"] for r in head], np.int64)
     k = min(max(SHORT, int(total**GROWTH)), len(tokens))
     model = Model.of(n[:k].astype(float), float(total - n[:k].sum()), classes=max(CLASSES, math.isqrt(k)))
-    # One end a training document: so many there are, and a share of the hashes leaves about twice the sample.
-    ends = counts.where(F.col("token") == F.lit(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # One end a training document: so many there are, or few where ends are not in the head, and a share of the hashes
+    # leaves about twice the sample.
+    ends = next((int(c) for t, c in zip(tokens, n) if t == END), 0)
     share = min(1.0, 2 * SAMPLE_DOCS / max(1, ends))
     h = F.xxhash64("key", F.lit(7))
     few = docs.where(~F.col("held_out") & (F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40))))

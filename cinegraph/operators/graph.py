@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinegraph.functions.text import comma_count
@@ -31,11 +31,20 @@ def clamp_paths(wanted: int | None, default: int = 3, most: int = 10) -> int:
     return max(1, min(most, default if wanted is None else wanted))
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster names in spark.checkpoint.dir, and read again."""
-    spark = df.sparkSession
+def clamped(wanted: Column, default: int = 3, most: int = 10) -> Column:
+    """clamp_paths() of a column."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(wanted, F.lit(default))))
+
+
+def new_folder(spark: SparkSession) -> str:
+    """The name of a folder below the one that the cluster names in spark.checkpoint.dir."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    path = f"{place.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{place.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, and read again."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

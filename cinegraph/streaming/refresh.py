@@ -26,6 +26,13 @@ def refresh(spark: SparkSession, folder: str, schema: str, keys: list[str], base
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """The rows that a stream gives of all that is there when it starts, written to a folder and read again."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/rows")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def pages(df: DataFrame, size: int):
     """The rows of a finite result in lists of at most size, without holding all of them."""
     page = []

@@ -10,7 +10,7 @@ from cinegraph.__main__ import main
 from cinegraph.schemas import duplicate_keys, orphans
 from cinegraph.sources.load import DuplicateKeys, Store, changed_at, sha256_of, upsert, utc_text, version
 from cinegraph.sources.tsv import clean, cut_crew, read_keys, read_quoted, read_tsv, retain, write_tsv
-from cinegraph.streaming.refresh import pages, refresh
+from cinegraph.streaming.refresh import drained, pages, refresh
 
 HEADERS = {
     "name.basics": "nconst\tprimaryName\tbirthYear\tdeathYear\tprimaryProfession\tknownForTitles",
@@ -148,3 +148,13 @@ def test_finite_streams(spark):
     assert sorted(a.union(b).union(c).collect()) == sorted(a.union(b.union(c)).collect())
     assert [len(p) for p in pages(spark.range(10).orderBy("id"), 4)] == [4, 4, 2] and list(pages(spark.range(0), 4)) == []
     assert a.select((F.col("id") + 1).alias("id")).select((F.col("id") * 2).alias("id")).collect() == a.select(((F.col("id") + 1) * 2).alias("id")).collect()
+
+
+def test_a_stream_is_drained(spark, tmp_path):
+    for i, ks in enumerate(([1, 2], [3])):
+        spark.createDataFrame([(k,) for k in ks], "k int").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = lambda: spark.readStream.schema("k int").parquet(f"{tmp_path}/in/*").where("k > 1")
+    assert sorted(r.k for r in drained(stream(), f"{tmp_path}/a").collect()) == [2, 3]
+    assert drained(stream().where("k > 9"), f"{tmp_path}/b").collect() == []
+    (tmp_path / "none").mkdir()
+    assert drained(spark.readStream.schema("k int").parquet(f"{tmp_path}/none"), f"{tmp_path}/c").collect() == []

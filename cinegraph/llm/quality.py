@@ -9,26 +9,43 @@ from pyspark.sql import functions as F
 
 from cinegraph.llm.common import words_of
 
-#: Common function words of the corpus languages (English, French, Spanish, German).
+#: Common function words of English, French, Spanish and German, then of Italian, Portuguese, Dutch,
+#: Swedish and Danish, Polish, Czech, Romanian, Hungarian, Finnish, Turkish, Indonesian and Vietnamese.
 STOP_WORDS = (
     "a an and are as at be by for from in is it of on or that the this to was were with "
     "au de des du elle en est et il la le les on ou par pas pour que qui un une "
     "con del el es esta las los no para por se su una y "
-    "auf das dem den der die ein eine ist mit nicht sich sie und von zu"
+    "auf das dem den der die ein eine ist mit nicht sich sie und von zu "
+    "che di non per sono della "
+    "da em não uma com dos "
+    "het een van voor niet zijn "
+    "och att som det på av er til "
+    "nie się jest na do że "
+    "je se že by ale "
+    "și cu pe din sau "
+    "az és hogy egy nem "
+    "ja ei että oli mutta "
+    "ve bir bu için ile "
+    "yang dan di itu dengan "
+    "và của là có không"
 ).split()
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
 
+#: Characters in small letters, and function words, that every document is given besides its own: what a few words
+#: happen to be proves little, and the more there are, the less these weigh.
+SMALL_CHARS, FREE_STOPS = 100, 1
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A document passes when low <= metric <= high; the rule holds for documents of at least min_words words."""
+    """A document passes when low <= metric <= high."""
 
     metric: str
     low: float | None = None
     high: float | None = None
-    min_words: int = 0
 
 
 RULES = (
@@ -37,13 +54,12 @@ RULES = (
     Rule("mean_word_chars", low=1.5, high=25.0),
     Rule("longest_word_chars", high=20_000),
     Rule("symbol_ratio", high=0.1),
-    Rule("shout_ratio", high=0.5, min_words=20),
-    Rule("stop_ratio", low=0.005, min_words=200),
+    Rule("shout_ratio", high=0.5),
+    Rule("stop_ratio", low=0.005),
     Rule("dup_line_ratio", high=0.6),
 )
 
 
-
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus a struct column _q of counts and ratios of the whole text.
 
@@ -67,6 +83,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_repeat_words": F.when(F.size("_p") == 0, F.lit(0)).otherwise(covered).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_capitals": F.length(F.regexp_replace("_t", r"[^\p{Lu}]+", "")).cast("long"),
+        "n_latin": F.length(F.regexp_replace("_t", "[^A-Za-z]+", "")).cast("long"),
         "n_stop": F.size(F.filter("_w", lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long"),
         "longest": F.coalesce(F.array_max(F.transform("_w", lambda x: F.length(x))), F.lit(0)).cast("long"),
     }
@@ -85,8 +102,9 @@ def metrics(q: Column) -> dict[str, Column]:
         "mean_word_chars": ratio(q["word_chars"], q["n_words"]),
         "longest_word_chars": q["longest"],
         "symbol_ratio": ratio(q["n_symbols"], q["n_words"]),
-        "shout_ratio": ratio(q["n_capitals"], q["word_chars"]),
-        "stop_ratio": ratio(q["n_stop"], q["n_words"]),
+        "shout_ratio": q["n_capitals"] / (q["word_chars"] + SMALL_CHARS),
+        # To as many words as the text's share of Latin letters: the function words are of languages that use these.
+        "stop_ratio": (q["n_stop"] + FREE_STOPS) * q["word_chars"] / F.greatest(q["n_words"] * q["n_latin"], F.lit(1)),
         "dup_line_ratio": ratio(q["n_dup_lines"], q["n_lines"]),
     }
 
@@ -95,12 +113,10 @@ def verdict(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """Whether all rules hold, as one expression compiled from the table."""
     values, out = metrics(q), F.lit(True)
     for r in rules:
-        ok = F.lit(True)
         if r.low is not None:
-            ok = ok & (values[r.metric] >= r.low)
+            out = out & (values[r.metric] >= r.low)
         if r.high is not None:
-            ok = ok & (values[r.metric] <= r.high)
-        out = out & ((q["n_words"] < r.min_words) | ok)
+            out = out & (values[r.metric] <= r.high)
     return out
 
 

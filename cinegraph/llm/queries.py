@@ -96,14 +96,14 @@ rep as (select doc_id, count(distinct i + k)::bigint as n from twice, range(0, 5
 m as (select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
   (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(lines) as n_lines,
-  length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) as n_capitals,
+  length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) as n_capitals, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) as n_latin,
   len(list_filter(w, lambda x: lower(x) in ({_STOP}))) as n_stop,
   coalesce(list_max(list_transform(w, lambda x: length(x))), 0) as longest
   from d left join rep on d.doc_id = rep.doc_id),
 f as (select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and word_chars::double / n_words between 1.5 and 25 and longest <= 20000 and n_symbols::double / n_words <= 0.1
-  and (n_words < 20 or n_capitals::double / word_chars <= 0.5) and (n_words < 200 or n_stop::double / n_words >= 0.005)
+  and n_capitals::double / (word_chars + {quality.SMALL_CHARS}) <= 0.5 and ((n_stop + {quality.FREE_STOPS}) * word_chars)::double / greatest(n_words * n_latin, 1) >= 0.005
   and n_dup_lines::double / n_lines <= 0.6 as kept from f
 """
 

@@ -627,6 +627,20 @@ def test_thresholds_are_a_table(docs):
     assert [r["_row"].doc_id for r in quality.judge(docs, rules=rule).collect() if r.kept] == [i for i, t, *_ in ROWS if len(brute.BLANK.findall(t or "")) >= 1000 and not brute.quality(t)[5]]
 
 
+def test_rules_are_alike_at_every_size_and_fair_to_languages(spark):
+    numbered = lambda words, n: " ".join(f"{w}{i}" for i in range(n) for w in words)
+    clean = {
+        "ru": numbered(("собака", "читает", "книгу"), 400),
+        "ja": numbered(("東京", "大阪"), 400),
+        "pl": " ".join(f"pies{i} nie czyta książki{i}" for i in range(200)),
+        "vi": " ".join(f"con{i} và mèo{i}" for i in range(200)),
+        "few words": numbered(("dog", "reads"), 6),
+    }
+    poor = {"no function words": numbered(("dog", "reads", "book"), 400), "shouts": numbered(("DOG", "READS", "BOOK"), 100)}
+    df = spark.createDataFrame([(k, t) for k, t in (clean | poor).items()], "doc_id string, text string")
+    assert {r["_row"].doc_id: r.kept for r in quality.judge(df).collect()} == dict.fromkeys(clean, True) | dict.fromkeys(poor, False)
+
+
 OPERATORS = {
     "op1": lambda d: secret_scan.digest(d.select("doc_id", "text")),
     "redact": lambda d: secret_scan.redact(d, size="n_chars"),

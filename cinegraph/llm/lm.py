@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ from cinegraph.llm.common import one_thread, written
 
 #: Folds, and the one that is held out.
 FOLDS, HELD = 5, 1
-#: Most frequent tokens that every worker knows; others are joined to their counts.
-HEAD = 1 << 17
+#: Most frequent tokens that every worker knows, and the bytes of the longest of them; others are joined to their counts.
+HEAD, LONGEST = 1 << 17, 256
 #: Of these, the tokens that the recurrent model tells apart, and the classes that they are dealt to: so many at least,
 #: and this power of the training tokens and the root of the short list where that is more.
 SHORT, CLASSES, GROWTH = 2000, 45, 0.42
@@ -38,10 +38,8 @@ SAMPLE_DOCS, SAMPLE_TOKENS = 600, 250
 HIDDEN, WINDOW, LANES, EPOCHS, RATE = 24, 20, 32, 3, 0.01
 #: Documents that a worker scores side by side, and steps between two looks at the output layer.
 SCORE_LANES, SCORE_WINDOW = 512, 32
-#: Documents that a worker holds the tokens of at once.
-SCORE_DOCS = 8000
-#: Distinct tokens that a worker counts before it hands its counts on.
-COUNTED = 400_000
+#: Documents and bytes of text that a worker holds the tokens of at once; a longer text is held by itself.
+HELD_DOCS, HELD_BYTES = 12_000, 48 << 20
 #: The end of a document, as a token: no word is empty.
 END = b""
 
@@ -71,20 +69,39 @@ class Places(dict):
         return np.fromiter(map(self.__getitem__, words), kind, len(words))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found: Counter[bytes] = Counter()
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """The bounds of even stretches of a column, within HELD_DOCS and HELD_BYTES but for one text."""
+    if not len(texts):
+        return []
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    ends = np.cumsum(np.maximum(sizes, HELD_BYTES // HELD_DOCS))
+    parts = -(-int(ends[-1]) // HELD_BYTES)
+    cuts = np.searchsorted(ends, ends[-1] / parts * np.arange(1, parts))
+    bounds = np.unique([0, *cuts, len(texts)]).tolist()
+    return list(zip(bounds, bounds[1:]))
+
+
+def token_lists(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """tokens_of() of a whole column: where each text's tokens begin and the last one's end, and all tokens, as binary.
+
+    A blank after a text's last word gives one more word, which is empty: the end. A blank text is one empty word as it is.
+    """
+    text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    text = pc.if_else(pc.equal(text, ""), text, pc.binary_join_element_wise(text, "", " "))
+    lists = pc.ascii_split_whitespace(text)
+    return np.asarray(lists.offsets), lists.values.cast(pa.binary())
 
-    def handed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["token", "n"])
-        found.clear()
-        return out
 
+def places(tokens: pa.Array, known: pa.Array) -> np.ndarray:
+    """Each token's place among the known ones, and for any other their number."""
+    return np.asarray(pc.fill_null(pc.index_in(tokens, value_set=known), len(known)))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for text in b.column(0).cast(pa.binary()):
-            found.update(tokens_of(text.as_py()))
-            if len(found) > COUNTED:
-                yield handed()
-    yield handed()
+        for lo, hi in slices(b.column(0)):
+            found = token_lists(b.column(0).slice(lo, hi - lo))[1].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["token", "n"])
 
 
 #: Above this a logit counts as this, so that its power is finite; none comes near it.
@@ -332,29 +349,32 @@ def _scores(held):
 
         one_thread()
         known: Known = held.value
-        index = Places(known.tokens)
-        none = index.none
+        head = pa.array(known.tokens, pa.binary())
+        none = len(head)
         base, rare = np.append(known.base, 0.0), np.append(known.rare, 0.0)
         part, row = TaskContext.get().partitionId() << 40, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, SCORE_DOCS):
-                b = whole.slice(at, SCORE_DOCS)
-                docs, sums, ends, tokens, counts = [], [], [0], [], []
-                for text in b.column(0).cast(pa.binary()):
-                    words = tokens_of(text.as_py())
-                    ids = index.of(words, np.int32)
-                    tail = Counter(words[i] for i in np.flatnonzero(ids == none).tolist())
-                    sums.append((len(words), len(words) - tail.total(), float(base[ids].sum()), float(rare[ids].sum())))
-                    tokens += tail.keys()
-                    counts += tail.values()
-                    ends.append(len(tokens))
-                    docs.append(np.minimum(ids, known.short))
-                n, head, base_sum, rare_sum = (np.array(x) for x in zip(*sums, strict=True)) if sums else [np.zeros(0)] * 4
-                score = known.model.log10(docs) + rare_sum
-                arrays = [b.column(1), b.column(2), pa.array(part + row + np.arange(len(docs))), pa.array(n.astype(np.int64)), pa.array(head.astype(np.int64)), pa.array(base_sum.astype(float)), pa.array(score.astype(float))]
-                rest = pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(counts, pa.int64())], ["token", "n"])
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)], ["key", "held_out", "row", "n_tokens", "head", "base", "score", "tail"])
-                row += len(docs)
+            for lo, hi in slices(whole.column(0)):
+                b = whole.slice(lo, hi - lo)
+                ends, tokens = token_lists(b.column(0))
+                ids = places(tokens, head)
+                # Of the tokens beyond the head, each document's different ones and how often it has them.
+                at = np.flatnonzero(ids == none)
+                rest = tokens.take(pa.array(at)).dictionary_encode()
+                del tokens
+                own = (np.searchsorted(ends, at, "right") - 1) * max(1, len(rest.dictionary)) + np.asarray(rest.indices)
+                own, times = np.unique(own, return_counts=True)
+                doc, code = np.divmod(own, max(1, len(rest.dictionary)))
+                tail = pa.StructArray.from_arrays([rest.dictionary.take(pa.array(code)), pa.array(times.astype(np.int64))], ["token", "n"])
+                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(b) + 1)).astype(np.int32)), tail)
+                n = np.diff(ends).astype(np.int64)
+                known_here = n - np.bincount(np.searchsorted(ends, at, "right") - 1, minlength=len(b))
+                docs = [ids[x:y] for x, y in zip(ends[:-1], ends[1:])]
+                base_sum, rare_sum = (np.array([float(logs[d].sum()) for d in docs]) for logs in (base, rare))
+                score = known.model.log10([np.minimum(d, known.short) for d in docs]) + rare_sum
+                arrays = [b.column(1), b.column(2), pa.array(part + row + np.arange(len(b))), pa.array(n), pa.array(known_here), pa.array(base_sum), pa.array(score), tail]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "held_out", "row", "n_tokens", "head", "base", "score", "tail"])
+                row += len(b)
 
     return scores
 
@@ -381,17 +401,19 @@ def _learned(held, rate: float):
 
         one_thread()
         tokens, kept = held.value
-        index = Places(tokens)
+        short = pa.array(tokens, pa.binary())
         model = Model(kept.token_class, kept.starts, {k: x.copy() for k, x in kept.p.items()})
         adam, seen, docs, size = Adam(model.p), 0, [], 0
         for b in batches:
-            for text in b.column(0).cast(pa.binary()):
-                words = tokens_of(text.as_py())
-                docs.append(index.of(words, np.int64))
-                size += len(words)
-                if size >= TRAIN_TOKENS:
-                    model.learn(docs, adam, TRAIN_LANES, TRAIN_WINDOW, lambda _: rate)
-                    seen, docs, size = seen + size, [], 0
+            for lo, hi in slices(b.column(0)):
+                ends, words = token_lists(b.column(0).slice(lo, hi - lo))
+                ids = places(words, short)
+                for x, y in zip(ends[:-1], ends[1:]):
+                    docs.append(ids[x:y].astype(np.int64))
+                    size += int(y - x)
+                    if size >= TRAIN_TOKENS:
+                        model.learn(docs, adam, TRAIN_LANES, TRAIN_WINDOW, lambda _: rate)
+                        seen, docs, size = seen + size, [], 0
         if docs:
             model.learn(docs, adam, min(TRAIN_LANES, max(4, size // (64 * TRAIN_WINDOW))), TRAIN_WINDOW, lambda _: rate)
             seen += size
@@ -444,7 +466,7 @@ def train(docs: DataFrame, counts: DataFrame) -> Known:
         if room < 0:
             break
         least = r["least"]
-    head = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], bytes(r["token"]))) if least < math.inf else []
+    head = sorted(counts.where((F.col("n") >= least) & (F.octet_length("token") <= LONGEST)).collect(), key=lambda r: (-r["n"], bytes(r["token"]))) if least < math.inf else []
     tokens, n = [bytes(r["token"]) for r in head], np.array([r["n"] for r in head], np.int64)
     k = min(max(SHORT, int(total**GROWTH)), len(tokens))
     model = Model.of(n[:k].astype(float), float(total - n[:k].sum()), classes=max(CLASSES, math.isqrt(k)))

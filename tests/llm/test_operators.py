@@ -641,6 +641,26 @@ def test_rules_are_alike_at_every_size_and_fair_to_languages(spark):
     assert {r["_row"].doc_id: r.kept for r in quality.judge(df).collect()} == dict.fromkeys(clean, True) | dict.fromkeys(poor, False)
 
 
+def test_tokens_of_a_column_are_those_of_its_texts(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["", None, " \t\x0b\x0c\r\n", "One", " a  B\x0bc\x1cd\u00a0E\u2003f \n", "x" * 5000, "ÉCOLE Straße İ", "a\x00b " * 700, "\ud7ff \U0001f600"]
+    monkeypatch.setattr(lm, "HELD_BYTES", 4096)
+    monkeypatch.setattr(lm, "HELD_DOCS", 4)
+    for rows in ([], texts[:1], texts, texts * 5):
+        column = pa.array(rows, pa.string())
+        cuts = lm.slices(column)
+        assert [x for lo, hi in cuts for x in range(lo, hi)] == list(range(len(rows)))
+        got = []
+        for lo, hi in cuts:
+            assert sum(len((t or "").encode()) for t in rows[lo:hi]) <= 4096 + max(len((t or "").encode()) for t in rows[lo:hi])
+            ends, tokens = lm.token_lists(column.slice(lo, hi - lo))
+            got += [tokens[x:y].to_pylist() for x, y in zip(ends[:-1], ends[1:])]
+        assert got == [lm.tokens_of(t) for t in rows]
+    known = [lm.END, b"one", b"a"]
+    assert lm.places(pa.array([b"a", b"", b"A", b"one"]), pa.array(known)).tolist() == [2, 0, 3, 1]
+
+
 OPERATORS = {
     "op1": lambda d: secret_scan.digest(d.select("doc_id", "text")),
     "redact": lambda d: secret_scan.redact(d, size="n_chars"),

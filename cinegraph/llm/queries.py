@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinegraph.llm import ann, license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, warc, wavelet
+from cinegraph.llm import ann, fingerprint, license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, warc, wavelet
 from cinegraph.llm.common import table, words_of
 
 
@@ -54,6 +54,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("_row.doc_id", *(f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _OP2 = r"""
@@ -123,5 +127,23 @@ select record_id, canonical_url, response_id, status,
   case when status = 'resolved' then r_etag end as payload_md5 from s
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules, "pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op2_ngram_join": _OP2, "op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10}
+_BOUND = f"(case when len({{s}}) < {fingerprint.LEAST} then '{fingerprint.ALL}' else greatest({{s}}[-1], '{fingerprint.BELOW}') end)"
+_LIKE = f"""(select case when len(a) + len(b) = 0 then 1.0::double when {{of}} = 0 then 0.0::double else len(list_intersect(a, b))::double / {{of}} end
+  from (select list_filter({{x}}, lambda h: h <= least({_BOUND.format(s="{x}")}, {_BOUND.format(s="{y}")})) as a, list_filter({{y}}, lambda h: h <= least({_BOUND.format(s="{x}")}, {_BOUND.format(s="{y}")})) as b))"""
+_UNION, _OWN = "len(list_distinct(list_concat(a, b)))", "len(a)"
+_OP12 = rf"""
+with d as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id desc nulls last) as i, count(*) over () as n from documents),
+e as (select d.doc_id, d.i, d.i % d.n + 1 as j, d.t, left(d.t, length(d.t) - length(d.t) // 2) || left(x.t, length(d.t) // 2) as ed from d join d x on x.i = d.i % d.n + 1),
+w as (select i, kind, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as w
+  from (select i, 'own' as kind, t from e union all select i, 'ed', ed from e)),
+g as (select i, kind, array_to_string(w[k:k + 4], ' ') as g from (select i, kind, w, unnest(range(1, len(w) - 3)) as k from w) union all select i, kind, array_to_string(w, ' ') from w where len(w) between 1 and 4),
+h as (select distinct i, kind, left(md5(g), {fingerprint.HEX}) as h from g),
+s as (select i, kind, list(h order by h) as s from (select *, row_number() over (partition by i, kind order by h) as r from h) where h < '{fingerprint.BELOW}' or r <= {fingerprint.LEAST} group by all),
+q as (select e.doc_id, length(e.t)::bigint as n_chars, sha256(e.ed) as edited_sha256, coalesce(a.s, []) as x, coalesce(b.s, []) as y, coalesce(c.s, []) as z from e
+  left join s a on a.i = e.i and a.kind = 'own' left join s b on b.i = e.i and b.kind = 'ed' left join s c on c.i = e.j and c.kind = 'own')
+select doc_id, n_chars, edited_sha256, array_to_string(x, ',') as fingerprint, array_to_string(y, ',') as edited_fingerprint,
+  {_LIKE.format(x="x", y="y", of=_UNION)} as near_edited, {_LIKE.format(x="x", y="z", of=_UNION)} as near_next, {_LIKE.format(x="x", y="z", of=_OWN)} as contained_next from q
+"""
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules, "op12_document_fingerprints": op12_document_fingerprints, "pipeline": corpus_pipeline.run}
+ORACLE_SQL = {"op2_ngram_join": _OP2, "op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10, "op12_document_fingerprints": _OP12}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinegraph.llm import ann, fingerprint, license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, warc, wavelet
+from cinegraph.llm import ann, fingerprint, license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, vector_codes, warc, wavelet
 from cinegraph.llm.common import table, words_of
 
 
@@ -58,6 +58,10 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _OP2 = r"""
@@ -134,7 +138,8 @@ _UNION, _OWN = "len(list_distinct(list_concat(a, b)))", "len(a)"
 _OP12 = rf"""
 with d as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id desc nulls last) as i, count(*) over () as n from documents),
 e as (select d.doc_id, d.i, d.i % d.n + 1 as j, d.t, left(d.t, length(d.t) - length(d.t) // 2) || left(x.t, length(d.t) // 2) as ed from d join d x on x.i = d.i % d.n + 1),
-w as (select i, kind, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') as w
+w as (select i, kind, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') as w
   from (select i, 'own' as kind, t from e union all select i, 'ed', ed from e)),
 g as (select i, kind, array_to_string(w[k:k + 4], ' ') as g from (select i, kind, w, unnest(range(1, len(w) - 3)) as k from w) union all select i, kind, array_to_string(w, ' ') from w where len(w) between 1 and 4),
 h as (select distinct i, kind, left(md5(g), {fingerprint.HEX}) as h from g),
@@ -145,5 +150,29 @@ select doc_id, n_chars, edited_sha256, array_to_string(x, ',') as fingerprint, a
   {_LIKE.format(x="x", y="y", of=_UNION)} as near_edited, {_LIKE.format(x="x", y="z", of=_UNION)} as near_next, {_LIKE.format(x="x", y="z", of=_OWN)} as contained_next from q
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules, "op12_document_fingerprints": op12_document_fingerprints, "pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op2_ngram_join": _OP2, "op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10, "op12_document_fingerprints": _OP12}
+
+def _lloyd(rounds: int) -> str:
+    """Rounds of assignment and means as one table after another."""
+    out = ""
+    for n in range(rounds + 1):
+        out += f"""
+a{n} as (select i, k.p, min(struct_pack(d := list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, e := c.e)) as m from k join c{n} c on k.p = c.p group by all),"""
+        if n < rounds:
+            out += f"""
+s{n} as (select p, e, j, sum(v)::bigint as s, count(*) as n from (select k.p, a.m.e as e, unnest(k.x) as v, unnest(range(len(k.x))) as j from k join a{n} a on a.i = k.i and a.p = k.p) group by all),
+c{n + 1} as (select c.p, c.e, coalesce(any_value(m.x), any_value(c.x)) as x from c{n} c left join (select p, e, list((s - (s % n + n) % n) // n order by j) as x from s{n} group by all) m on m.p = c.p and m.e = c.e group by all),"""
+    return out
+
+
+_OP13 = f"""
+with v as (select row_number() over (order by vec_id) as i, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as x from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+k as (select i, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] as x from v, range(4) as t(p)),
+c0 as (select p, i - 1 as e, x from k where i <= {vector_codes.ENTRIES}),{_lloyd(vector_codes.ROUNDS)}
+r as (select i, string_agg(printf('%02x', m.e), '' order by p) as code, sum(m.d)::bigint as error from a{vector_codes.ROUNDS} group by i),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as h from c{vector_codes.ROUNDS})
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h.h as codebooks_sha256 from r join v using (i), h
+"""
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules, "op12_document_fingerprints": op12_document_fingerprints, "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run}
+ORACLE_SQL = {"op2_ngram_join": _OP2, "op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10, "op12_document_fingerprints": _OP12, "op13_vector_codes": _OP13}

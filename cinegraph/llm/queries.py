@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cinegraph.llm import ann, fingerprint, license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, vector_codes, warc, wavelet
+from cinegraph.llm import ann, conversation_repair, fingerprint, license_scan, lm, mixing, ngram_join, packing, quality, secret_scan, vector_codes, warc, wavelet
 from cinegraph.llm.common import table, words_of
 
 
@@ -54,6 +54,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).select("_row.doc_id", *(f"_q.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digest(table(spark, sf_dir, "conversations"))
+
+
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(table(spark, sf_dir, "documents"))
 
@@ -131,6 +135,44 @@ select record_id, canonical_url, response_id, status,
   case when status = 'resolved' then r_etag end as payload_md5 from s
 """
 
+
+def _repair() -> str:
+    """One row of a conversation, from its last to its first: for each state (z nothing yet, s, u, a) the least (cost, audit) to the end."""
+    after, may = {"z": "u", "s": "u", "u": "a", "a": "u"}, {"z": "su", "s": "u", "u": "a", "a": "u"}
+    line = lambda role, text, to: f"{role} || ':' || {text} || coalesce(chr(10) || {to}.r, '')"
+    full = {"u": "'user'", "a": "'assistant'"}
+    insert = lambda q: f"{{'c': {q}.c + 3, 'a': 'I' || {q}.a, 'r': {line(full[q[-1]], repr(''), q)}}}"
+    own = []
+    for q in "zsua":
+        ways = [f"{{'c': w.{q}.c + 4, 'a': 'D' || w.{q}.a, 'r': w.{q}.r}}"]
+        ways += [f"case when fault <= 1 and kind = '{k}' then {{'c': w.{k}.c + 3 * fault, 'a': 'K' || w.{k}.a, 'r': {line('role', 'text', f'w.{k}')}}} end" for k in may[q]]
+        n = after[q]
+        ways.append(f"case when fault <= 1 then {{'c': w.{n}.c + 3 + 3 * fault, 'a': 'R' || w.{n}.a, 'r': {line(full[n], 'text', f'w.{n}')}}} end")
+        own.append(f"list_sort(list_filter([{', '.join(ways)}], lambda x: x is not null))[1] as m{q}")
+    least = lambda q, n: f"list_sort([m{q}, {insert(n)}])[1]"
+    return f"""select conv_id, i, {least('z', 'u')} as z, {least('s', 'u')} as s, u, a from
+    (select conv_id, i, mz, ms, {least('u', 'ma')} as u, {least('a', 'mu')} as a from (select f.conv_id, f.i, {', '.join(own)} from walk w join f on f.conv_id is not distinct from w.conv_id and f.i = w.i - 1))"""
+
+
+_OP11 = rf"""
+with recursive b as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+x as (select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(k, ''), lambda c: ord(c)::bigint)),
+  lambda h, c: list_reduce([xor(h, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384::bigint))), 4294967295::bigint) % 20 as k20 from b),
+d as (select conv_id, turn, case when k20 = 4 then 'user' else role end as role, case k20 when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(range(case when k20 = 3 then 2 else 1 end)) as time from x where k20 <> 0),
+o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), time) as i from d),
+f as (select conv_id, turn, role, text, i, left(role, 1) as kind, lead(left(role, 1)) over (partition by conv_id order by i) as follows,
+  case when not regexp_matches(text, '[^ 	-]') then 3 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when not regexp_matches(text, '[.!?][ 	-]*$') then 1 else 0 end as fault from o),
+g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 3) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 1) as truncated,
+  count(*) filter (kind || follows not in ('su', 'ua', 'au')) as illegal, max(i) as n from f group by conv_id),
+walk as (select conv_id, n + 1 as i, {{'c': 0, 'a': '', 'r': null::varchar}} as z, {{'c': 6, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}} as s,
+  {{'c': 3, 'a': 'I', 'r': 'assistant:'}} as u, {{'c': 0, 'a': '', 'r': null::varchar}} as a from g
+  union all {_repair()})
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+  coalesce(w.z.c, 0)::bigint as cost, coalesce(w.z.a, '') as audit, sha256(coalesce(w.z.r, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join g on g.conv_id is not distinct from c.conv_id left join walk w on w.conv_id is not distinct from c.conv_id and w.i = 1
+"""
+
 _BOUND = f"(case when len({{s}}) < {fingerprint.LEAST} then '{fingerprint.ALL}' else greatest({{s}}[-1], '{fingerprint.BELOW}') end)"
 _LIKE = f"""(select case when len(a) + len(b) = 0 then 1.0::double when {{of}} = 0 then 0.0::double else len(list_intersect(a, b))::double / {{of}} end
   from (select list_filter({{x}}, lambda h: h <= least({_BOUND.format(s="{x}")}, {_BOUND.format(s="{y}")})) as a, list_filter({{y}}, lambda h: h <= least({_BOUND.format(s="{x}")}, {_BOUND.format(s="{y}")})) as b))"""
@@ -174,5 +216,5 @@ h as (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) as h
 select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, h.h as codebooks_sha256 from r join v using (i), h
 """
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules, "op12_document_fingerprints": op12_document_fingerprints, "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op2_ngram_join": _OP2, "op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10, "op12_document_fingerprints": _OP12, "op13_vector_codes": _OP13}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_ngram_join": op2_ngram_join, "op3_best_fit_packing": op3_best_fit_packing, "op4_wavelet_output": op4_wavelet_output, "op5_mixing": op5_mixing, "op6_license_scan": op6_license_scan, "op7_lm_scoring": op7_lm_scoring, "op8_nearest_neighbours": op8_nearest_neighbours, "op9_warc_revisits": op9_warc_revisits, "op10_quality_rules": op10_quality_rules, "op11_conversation_repair": op11_conversation_repair, "op12_document_fingerprints": op12_document_fingerprints, "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run}
+ORACLE_SQL = {"op2_ngram_join": _OP2, "op5_mixing": _OP5, "op9_warc_revisits": _OP9, "op10_quality_rules": _OP10, "op11_conversation_repair": _OP11, "op12_document_fingerprints": _OP12, "op13_vector_codes": _OP13}

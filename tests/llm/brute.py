@@ -98,3 +98,91 @@ def diagonals(text, templates, k=3, cover=0.6, short=16, grams=6, reach=4):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 5 == 1
+
+
+def damage(rows):
+    """(conv, turn, role, text) after the faults that the hash of conv:turn says."""
+    out = []
+    for c, t, r, x in rows:
+        r, x = " " if r is None else r, " " if x is None else x
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        if k:
+            x = "" if k == 1 else re.sub("[.!?]", "", x) if k == 2 else x
+            out += [(c, t, "user" if k == 4 else r, x)] * (2 if k == 3 else 1)
+    return out
+
+
+def repaired(rows):
+    """Conversation to (gaps, blank, duplicate, truncated, illegal, cost, audit, hash), by every state's best way to the end."""
+    out = {c: (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) for c, *_ in rows}
+    by = {}
+    for row in damage(rows):
+        by.setdefault(row[0], []).append(row[1:])
+    after, may = {"": "u", "s": "u", "u": "a", "a": "u"}, {"": "su", "s": "u", "u": "a", "a": "u"}
+    full = {"u": "user", "a": "assistant"}
+
+    def inserted(best):
+        for _ in range(3):
+            for q, n in after.items():
+                if n in best:
+                    cost, audit, lines = best[n]
+                    best[q] = min(best.get(q, (10**9,)), (cost + 3, "I" + audit, [f"{full[n]}:", *lines]))
+        return best
+
+    for c, own in by.items():
+        own.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), hashlib.sha256(x[2].encode()).digest()))
+        seen, fault = set(), []
+        for _, r, x in own:
+            chars = BLANK.findall(x)
+            fault.append("blank" if not chars else "duplicate" if (r, x) in seen else "truncated" if chars[-1][-1] not in ".!?" else "")
+            seen.add((r, x))
+        turns = [t for t, *_ in own if t is not None]
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(own, own[1:], strict=False))
+        best = inserted({"": (0, "", []), "a": (0, "", [])})
+        for (_, r, x), f in zip(reversed(own), reversed(fault), strict=True):
+            new = {}
+            for q in after:
+                ways = []
+                if q in best:
+                    ways.append((best[q][0] + 4, "D" + best[q][1], best[q][2]))
+                if f in ("", "truncated"):
+                    more = 3 * (f == "truncated")
+                    for letter, to, cost, role in [("K", r[:1], more, r)] * (r[:1] != "" and r[:1] in may[q]) + [("R", after[q], 3 + more, full[after[q]])]:
+                        if to in best:
+                            ways.append((best[to][0] + cost, letter + best[to][1], [f"{role}:{x}", *best[to][2]]))
+                if ways:
+                    new[q] = min(ways)
+            best = inserted(new)
+        cost, audit, lines = best[""]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        out[c] = (gaps, *(fault.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def hashes(text):
+    """The hashes of a text's shingles, in order."""
+    return sorted({hashlib.md5(" ".join(s).encode()).hexdigest()[:12] for s in shingles(text)})
+
+
+def sketched(text):
+    h = hashes(text)
+    low = [x for x in h if x < "2"]
+    return low if len(low) >= 64 else h[:64]
+
+
+def lloyd(x, rounds=4, entries=256):
+    """Codes (one row a part position), codebooks and errors of whole-number vectors in order of their ids."""
+    x = x.reshape(len(x), 4, -1)
+    books = [[list(map(int, v)) for v in x[:entries, p]] for p in range(4)]
+
+    def nearest(p, v):
+        return min(range(len(books[p])), key=lambda e: (sum((int(a) - b) ** 2 for a, b in zip(v, books[p][e], strict=True)), e))
+
+    for n in range(rounds + 1):
+        codes = [[nearest(p, v) for v in x[:, p]] for p in range(4)]
+        for p in range(4 if n < rounds else 0):
+            for e in set(codes[p]):
+                own = [list(map(int, v)) for v, c in zip(x[:, p], codes[p], strict=True) if c == e]
+                books[p][e] = [sum(col) // len(own) for col in zip(*own, strict=True)]
+    errors = [sum((int(a) - b) ** 2 for p in range(4) for a, b in zip(x[i, p], books[p][codes[p][i]], strict=True)) for i in range(len(x))]
+    return codes, books, errors

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinegraph.llm import ann, components, license_scan, lm, mixing, ngram_join, packing, quality, queries, secret_scan, tokens, warc, wavelet
+from cinegraph.llm import ann, components, conversation_repair, fingerprint, license_scan, lm, mixing, ngram_join, packing, quality, queries, secret_scan, tokens, vector_codes, warc, wavelet
 
 WORDS = [f"w{i}" for i in range(400)] + ["the", "of", "and", "été", "naïve", "日本", "x***", "$$$"]
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -661,6 +661,142 @@ def test_tokens_of_a_column_are_those_of_its_texts(monkeypatch):
     assert lm.places(pa.array([b"a", b"", b"A", b"one"]), pa.array(known)).tolist() == [2, 0, 3, 1]
 
 
+CONVERSATION = "conv_id long, turn long, role string, text string"
+
+
+def conversations():
+    """Ordinary ones, and some with nulls, odd roles, ties, repeated rows, one text throughout, or very many rows."""
+    rng = random.Random(6)
+    rows = []
+    for c in range(140):
+        for t in range(rng.randrange(1, 9)):
+            role = rng.choice(["user", "assistant"]) if rng.random() < 0.15 else "user" if t % 2 == 0 else "assistant"
+            role = "system" if t == 0 and rng.random() < 0.3 else rng.choice(["tool", "", None, "supervisor"]) if rng.random() < 0.04 else role
+            text = rng.choice(["Yes.", "No", "Why?\n", "é日本!", "", " \t", None, f"w{rng.randrange(50)} x{'.' * (t % 2)}"])
+            rows.append((c, None if rng.random() < 0.05 else 2 * t if c % 9 == 0 else t, role, text))
+    rows += [(900, 0, "user", "same."), (900, 0, "user", "same."), (900, 0, "assistant", "other."), (None, 1, "user", "a."), (None, None, "assistant", "b.")]
+    rows += [(901, t, ("user", "assistant")[rng.random() < 0.5], f"{rng.randrange(400)}{rng.choice('.!?-')}") for t in range(700)]
+    rows += [(902, t, "user", "one text.") for t in range(300)] + [(903, None, None, None)]
+    return rows
+
+
+@pytest.mark.parametrize("bits", [16, 2])
+def test_conversation_repair(spark, bits):
+    """Whole conversations, and blocks of four rows: the same repair."""
+    rows = conversations()
+    df = spark.createDataFrame(rows, CONVERSATION).repartition(6)
+    want = brute.repaired(rows)
+    if bits == 16:
+        got = {r.conv_id: tuple(r)[1:] for r in conversation_repair.digest(df).collect()}
+        assert got == want
+    else:
+        got = {r.c: tuple(r[n] for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")) for r in conversation_repair.repair(conversation_repair.damaged(df), bits=bits).collect()}
+        assert got == {c: w for c, w in want.items() if c in got} and len(got) > 140
+
+
+def test_blocks_of_a_conversation_fit_together():
+    """Costs between the ends of blocks add up, and every state that a cheapest path can enter has its own edits."""
+    rng = random.Random(9)
+    for _ in range(300):
+        codes = bytes(rng.randrange(16) for _ in range(rng.randrange(2, 14)))
+        k = rng.randrange(1, len(codes))
+        start = [0] + [conversation_repair.FAR] * 3
+        ((_, _, whole),) = conversation_repair.solved(codes, start, conversation_repair.END, True)
+        costs = conversation_repair.between(codes[:k])
+        right = conversation_repair.END
+        for code in reversed(codes[k:]):
+            right = conversation_repair.backward(right, code)
+        ((_, leave, first),) = conversation_repair.solved(codes[:k], start, right, False)
+        second = {enter: e for enter, _, e in conversation_repair.solved(codes[k:], costs[:4], conversation_repair.END, True)}
+        assert first + second[leave] == whole
+
+
+def test_fingerprints(docs):
+    got = {r.doc_id: r for r in fingerprint.digest(docs).collect()}
+    ordered = [t or "" for i, t, *_ in sorted(ROWS, reverse=True)]
+    for (i, t, *_), after in zip(sorted(ROWS, reverse=True), [*ordered[1:], ordered[0]], strict=True):
+        t, r = t or "", got[i]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        assert (r.n_chars, r.edited_sha256) == (len(t), brute.hashlib.sha256(edited.encode()).hexdigest())
+        assert r.fingerprint == ",".join(brute.sketched(t)) and r.edited_fingerprint == ",".join(brute.sketched(edited))
+        for said, other in ((r.near_edited, edited), (r.near_next, after)):
+            x, y = set(brute.hashes(t)), set(brute.hashes(other))
+            true = len(x & y) / len(x | y) if x | y else 1.0
+            assert abs(said - true) <= (0.25 if max(len(x), len(y)) >= 64 else 1e-9), (i, said, true)
+        x, y = set(brute.hashes(t)), set(brute.hashes(after))
+        assert abs(r.contained_next - (len(x & y) / len(x) if x else float(not y))) < 0.25
+
+
+def test_sketches_merge_and_hold_between_unequal_texts(spark):
+    rng = random.Random(4)
+    long = [f"v{rng.randrange(10**6)}" for _ in range(20_000)]
+    part = long[3000:4500]
+    new = [f"n{rng.randrange(10**6)}" for _ in range(1500)]
+    texts = [" ".join(x) for x in (long, part, part + new, new)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    s = {r["_row"].doc_id: r["_sketch"] for r in fingerprint.fingerprints(df).collect()}
+    pairs = spark.createDataFrame([(s[1], s[0], s[2], s[3])], "part array<string>, long array<string>, both array<string>, new array<string>")
+    f = fingerprint
+    r = pairs.select(f.containment(F.col("part"), F.col("long")).alias("a"), f.containment(F.col("long"), F.col("part")).alias("b"), f.containment(F.col("both"), F.col("long")).alias("c"), f.merged(F.col("part"), F.col("new")).alias("m")).first()
+    assert r.a == 1.0 and abs(r.b - 0.075) < 0.03 and abs(r.c - 0.5) < 0.12
+    assert set(s[2]) - set(r.m) <= {h for h in brute.hashes(" ".join(part[-4:] + new[:4]))} and set(r.m) <= set(s[2])
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_the_row_before(spark, ranges):
+    """Over the borders of ranges, past nulls and equal keys, and round from the last to the first."""
+    keys = [5, 9, None, 1, 1, 7, 3, -4, 100, 2**62, 8]
+    df = spark.createDataFrame([(k, f"t{i}") for i, k in enumerate(keys)], "id long, t string").repartition(4)
+    got = fingerprint.with_previous(df, F.struct("id", F.xxhash64("t").alias("h")), ["t"], ranges).collect()
+    order = [r.t for r in df.orderBy(F.col("id").asc_nulls_first(), F.xxhash64("t")).collect()]
+    assert {r.t: r._before_t for r in got} == {t: order[i - 1] for i, t in enumerate(order)}
+
+
+def vector_rows(scale):
+    rng = np.random.default_rng(int(scale))
+    x = rng.normal(size=(700, 16)) * scale
+    x[300:330], x[5] = x[7], x[4]
+    rows = [(int(i), [float(c) for c in v], int(i) % 5 if i % 11 else None) for i, v in enumerate(x.astype(np.float32))]
+    return rows + [(-1, None, 1), (-2, [1.0] * 15 + [None], 1), (-3, [float("nan")] + [1.0] * 15, 2), (-4, [float("inf")] * 16, 3), (2000, [1.0] * 12, 0), (2001, [1.0] * 6, 0), (2002, [], 0)]
+
+
+@pytest.mark.parametrize(("scale", "parts"), [(0.2, 1), (1.0, 7), (9000.0, 3)])
+def test_vector_codes(spark, scale, parts):
+    """Small components in doubles and large ones in whole numbers, however the rows are dealt."""
+    rows = vector_rows(scale)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(parts)
+    kept = [r for r in rows if 0 <= r[0] < 2000]
+    x = np.clip(np.floor(1024 * np.array([r[1] for r in kept], np.float32).astype(np.float64)), -(2**24), 2**24).astype(np.int64)
+    codes, books, errors = brute.lloyd(x)
+    labels = defaultdict(int)
+    for (_, _, label), e in zip(kept, errors, strict=True):
+        labels[label] += e
+    digest = brute.hashlib.sha256(",".join(str(c) for book in books for entry in book for c in entry).encode()).hexdigest()
+    got = {r.vec_id: tuple(r)[1:] for r in vector_codes.digest(df).collect()}
+    assert got == {r[0]: ("".join(f"{codes[p][i]:02x}" for p in range(4)), errors[i], labels[r[2]], digest) for i, r in enumerate(kept)}
+
+
+def test_few_parts_are_rescanned_once_entries_rest():
+    """Well apart groups: after the first rounds no heap has a part that the drift has reached."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 8)) * 50
+    x = np.concatenate([centres, centres[rng.integers(0, 8, 400)] + rng.normal(size=(400, 8)) * 0.01])
+    whole = vector_codes.whole(x).astype(np.int64)
+    books = vector_codes.Codebooks(whole[:8].reshape(8, 4, 2).transpose(1, 0, 2).copy())
+    block, popped = vector_codes.Block(whole.reshape(-1, 4, 2).astype(np.int32)), []
+    for _ in range(5):
+        popped.append(None if block.codes is None else sum(len(block.due(p, books.drift[p])[1]) for p in range(4)))
+        block.fitted(books)
+        books.move(block.sums[..., :-1], block.sums[..., -1])
+    assert popped[1:] == [0, 0, 0, 0]
+
+
+def test_empty_texts_are_alike(spark):
+    df = spark.createDataFrame([(1, None), (2, " "), (3, "a b"), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.near_edited, r.near_next, r.contained_next, r.fingerprint) for r in fingerprint.digest(df).collect()}
+    assert got[1] == (1.0, 1.0, 1.0, "") and got[2][:3] == (1.0, 1.0, 1.0) and got[3][1] == 0.0 and got[4][1] == 0.0
+
+
 OPERATORS = {
     "op1": lambda d: secret_scan.digest(d.select("doc_id", "text")),
     "redact": lambda d: secret_scan.redact(d, size="n_chars"),
@@ -675,8 +811,12 @@ OPERATORS = {
     "keep_good": lambda d: quality.keep_good(d),
     "op8": lambda d: ann.nearest(vectors(d), vectors(d)),
     "op9": lambda d: warc.resolve(captures(d)),
+    "op11": lambda d: conversation_repair.digest(d.withColumns({"conv_id": F.col("doc_id"), "turn": F.col("n_chars"), "role": F.lit(None).cast("string"), "c": F.lit(1), "t": F.lit(1), "r": F.lit(1), "at": F.lit(1)})),
+    "op12": lambda d: fingerprint.digest(d),
+    "compare_edits": lambda d: fingerprint.compare_edits(d),
+    "op13": lambda d: vector_codes.digest(vectors(d).withColumns({"embedding": F.concat("embedding", "embedding"), "label": F.col("doc_id"), "k": F.lit(1), "l": F.lit(1), "x": F.lit(1), "codes": F.lit(1)})),
 }
-LESS = {"keep_first": (6, 0), "keep_good": (0, 0), "op4": (6, 0), "op8": (2, 0), "op9": (6, 0)}
+LESS = {"keep_first": (6, 0), "keep_good": (0, 0), "op4": (6, 0), "op8": (2, 0), "op9": (6, 0), "op11": (4, 0), "op13": (4, 0)}
 
 
 def vectors(d):
@@ -696,5 +836,5 @@ def test_odd_tables(odd, empty, name):
 
 
 def test_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op")) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and "pipeline" in queries.QUERIES

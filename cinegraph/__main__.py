@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from cinegraph.schemas import TABLES
-from cinegraph.sources.load import Store
+from cinegraph.sources.load import ASIDE, REFUSE, Store
 from cinegraph.sources.tsv import clean, read_tsv, write_tsv
 
 
@@ -19,6 +19,7 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("folder")
     load.add_argument("--mode", choices=("init", "update"), default="update")
     load.add_argument("--minimal", action="store_true", help="the dumps that clean --minimal made")
+    load.add_argument("--orphans", choices=(REFUSE, ASIDE), default=REFUSE, help="rows without their parents: fail, or set them aside")
     tidy = commands.add_parser("clean", help="clean the dumps in FOLDER and write them below TARGET")
     tidy.add_argument("folder")
     tidy.add_argument("target")
@@ -32,7 +33,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     spark = spark or SparkSession.builder.appName("cinegraph").getOrCreate()
     if a.command == "load":
         store = Store(spark, a.root)
-        done = store.load_all(a.folder, a.mode, a.minimal)
+        done = store.load_all(a.folder, a.mode, a.minimal, a.orphans)
         for row in store.counts().collect():
             print(row["table"], row["n"], "loaded" if done[row["table"]] else "unchanged")
     else:

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinegraph.functions.text import comma_count
+from cinegraph.sources.files import forget, kept, new_folder
 
+#: What stands for people and titles without a name.
 UNKNOWN, UNKNOWN_TITLE = "Unknown", "Unknown Movie"
 MAX_DEPTH = 6
-#: Given a frontier (node), the pairs (parent, node) of its members and their neighbours. An attribute reach, if it has one,
-#: gives (node) without parents.
+#: Given a frontier (node), the pairs (parent, node) of its members and their neighbours, which must be mutual. An attribute
+#: reach, if it has one, gives (node) without parents; an attribute extend carries paths on to given neighbours.
 Neighbours = Callable[[DataFrame], DataFrame]
 
 
@@ -36,45 +38,53 @@ def clamped(wanted: Column, default: int = 3, most: int = 10) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(most), F.coalesce(wanted, F.lit(default))))
 
 
-def new_folder(spark: SparkSession) -> str:
-    """The name of a folder below the one that the cluster names in spark.checkpoint.dir."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
-    return f"{place.rstrip('/')}/graph-{uuid.uuid4().hex}"
+def membership(principals: DataFrame) -> DataFrame:
+    return principals.select("tconst", "nconst").where("tconst is not null and nconst is not null").distinct()
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, and read again."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bucketed(df: DataFrame, by: str) -> DataFrame:
+    """df in the shared folder in as many buckets by a column as there are shuffle partitions: joins on it do not shuffle it."""
+    spark, name = df.sparkSession, f"graph_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, by).sortBy(by).format("parquet").option("path", new_folder(spark)).saveAsTable(name)
+    return spark.table(name)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of tables that kept() made and that no later plan reads."""
-    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/graph-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+def laid_out(principals: DataFrame) -> Neighbours:
+    """Neighbours by a membership kept twice, in buckets by person and by title: what a search shuffles is its frontier."""
+    by_person = bucketed(principals.select("tconst", "nconst").where("tconst is not null and nconst is not null").repartition("nconst").distinct(), "nconst")
+    return neighbours_of(by_person, bucketed(by_person.repartition("tconst"), "tconst"))
 
 
-def membership(principals: DataFrame) -> DataFrame:
-    return principals.select("tconst", "nconst").where("tconst is not null and nconst is not null").distinct()
+def top(paths: DataFrame, by: str, limit: int) -> DataFrame:
+    """The limit smallest paths of each value of a column."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("path"))
+    return paths.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
+
 
+def neighbours_of(members: DataFrame, by_title: DataFrame | None = None) -> Neighbours:
+    """Neighbours by two equi-joins; titles are made distinct between them. by_title: the same members, for the second.
 
-def neighbours_of(members: DataFrame) -> Neighbours:
-    """Two equi-joins; titles are made distinct for each parent between them."""
+    Besides the pairs, which are as many as the squares of titles, reach gives nodes only, and extend carries paths from people to
+    titles and on to people: both are as many rows as titles have people.
+    """
+    by_title = members if by_title is None else by_title
 
     def neighbours(frontier: DataFrame) -> DataFrame:
         titles = members.join(frontier.select(F.col("node").alias("nconst")), "nconst").select(F.col("nconst").alias("parent"), "tconst").distinct()
-        near = titles.join(members, "tconst").select("parent", F.col("nconst").alias("node"))
+        near = titles.join(by_title, "tconst").select("parent", F.col("nconst").alias("node"))
         return near.where("parent <> node").distinct()
 
     def reach(frontier: DataFrame) -> DataFrame:
         titles = members.join(frontier.select(F.col("node").alias("nconst")), "nconst", "left_semi").select("tconst").distinct()
-        return members.join(titles, "tconst", "left_semi").select(F.col("nconst").alias("node")).distinct()
+        return by_title.join(titles, "tconst", "left_semi").select(F.col("nconst").alias("node")).distinct()
+
+    def extend(paths: DataFrame, to: DataFrame, limit: int) -> DataFrame:
+        titles = top(members.join(paths.withColumnRenamed("node", "nconst"), "nconst").select("tconst", "path"), "tconst", limit)
+        nodes = by_title.join(to.select(F.col("node").alias("nconst")), "nconst", "left_semi")
+        return nodes.join(titles, "tconst").select(F.col("nconst").alias("node"), "path").distinct()
 
-    neighbours.reach = reach
+    neighbours.reach, neighbours.extend = reach, extend
     return neighbours
 
 
@@ -84,6 +94,17 @@ def reached(neighbours: Neighbours, frontier: DataFrame) -> DataFrame:
     return reach(frontier) if reach else neighbours(frontier).select("node").distinct()
 
 
+def extended(neighbours: Neighbours, paths: DataFrame, to: DataFrame, limit: int) -> DataFrame:
+    """(node, path): of paths (node, path), the limit smallest to each neighbour among to (node), and that at their end."""
+    extend = getattr(neighbours, "extend", None)
+    if extend:
+        longer = extend(paths, to, limit)
+    else:
+        pairs = neighbours(paths.select("node").distinct()).join(to.select("node"), "node", "left_semi").select("node", F.col("parent").alias("_p"))
+        longer = pairs.join(paths.withColumnRenamed("node", "_p"), "_p").select("node", "path").distinct()
+    return top(longer.select("node", F.concat("path", F.array("node")).alias("path")), "node", limit)
+
+
 def costars(members: DataFrame, people: DataFrame) -> DataFrame:
     """(nconst) of everybody who shares a title with any of people (nconst) and is none of them."""
     titles = members.join(people, "nconst", "left_semi").select("tconst").distinct()
@@ -92,125 +113,138 @@ def costars(members: DataFrame, people: DataFrame) -> DataFrame:
 
 def distances(source: DataFrame, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(node, distance) of every node within max_depth of the source nodes (node)."""
-    visited = kept(source.select("node", F.lit(0).alias("distance")).distinct())
-    for depth in range(1, max_depth + 1):
-        frontier = visited.where(F.col("distance") == depth - 1)
-        new = kept(reached(neighbours, frontier.select("node")).join(visited, "node", "left_anti").select("node", F.lit(depth).alias("distance")))
-        if new.isEmpty():
+    levels = [kept(source.select("node", F.lit(0).alias("distance")).distinct())]
+    while len(levels) <= max_depth:
+        seen = Observation()
+        new = unseen(neighbours, levels).select("node", F.lit(len(levels)).alias("distance"))
+        new = kept(new.observe(seen, F.count(F.lit(1)).alias("size")))
+        if not seen.get["size"]:
+            forget(new)
             break
-        visited = visited.unionByName(new)
-    return visited
+        levels.append(new)
+    return union(levels)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def unseen(neighbours: Neighbours, levels: list[DataFrame]) -> DataFrame:
+    """The neighbours of the last level that no level has. As neighbours are mutual, only the last two can have them."""
+    return reached(neighbours, levels[-1].select("node")).join(union(levels[-2:]).select("node"), "node", "left_anti")
 
 
 @dataclass
 class Side:
-    visited: DataFrame
-    parents: DataFrame | None
-    depth: int = 0
-    size: int = 1
-
-    def frontier(self) -> DataFrame:
-        return self.visited.where(F.col("distance") == self.depth).select("node")
+    """What a search has seen from one end: the nodes (node) of each level, and how many the last one has."""
 
+    levels: list[DataFrame]
+    size: int = 1
 
-def _expand(side: Side, neighbours: Neighbours) -> Side:
-    """One level on: the unvisited neighbours, with every parent that leads to them."""
-    step = kept(neighbours(side.frontier()).join(side.visited, "node", "left_anti").select("node", "parent"))
-    new = step.select("node").distinct().withColumn("distance", F.lit(side.depth + 1))
-    parents = step.withColumn("distance", F.lit(side.depth + 1))
-    return Side(side.visited.unionByName(new), parents if side.parents is None else side.parents.unionByName(parents), side.depth + 1, new.count())
+    @property
+    def depth(self) -> int:
+        return len(self.levels) - 1
 
 
 def root(spark: SparkSession, node) -> DataFrame:
-    return spark.createDataFrame([(node,)], "node string" if isinstance(node, str) else "node long").withColumn("distance", F.lit(0))
+    return spark.createDataFrame([(node,)], "node string" if isinstance(node, str) else "node long")
 
 
-def search(spark: SparkSession, source, target, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> tuple[int, Side, Side, DataFrame] | None:
-    """(distance, side of the source, side of the target, meeting nodes), or None beyond max_depth.
+def side(spark: SparkSession, node) -> Side:
+    return Side([root(spark, node)])
 
-    Both sides grow by whole levels, the smaller first, so the first meeting is at the shortest distance.
-    """
-    a, b = (Side(root(spark, x), None) for x in (source, target))
-    if source == target:
-        return 0, a, b, a.visited.select("node")
-    while a.depth + b.depth < max_depth and a.size and b.size:
-        if a.size <= b.size:
-            a = _expand(a, neighbours)
-        else:
-            b = _expand(b, neighbours)
-        meeting = a.visited.alias("x").join(b.visited.alias("y"), "node").agg(F.min(F.col("x.distance") + F.col("y.distance"))).first()[0]
-        if meeting is not None:
-            x, y = a.visited, b.visited.withColumnRenamed("distance", "other")
-            return int(meeting), a, b, x.join(y, "node").where((F.col("distance") + F.col("other") == int(meeting)) & (F.col("distance") == a.depth)).select("node")
-    return None
 
+def meet(a: Side, b: Side, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> int | None:
+    """Edges between two ends, or None beyond max_depth. The sides grow until their last levels meet, and stay for later searches.
 
-def distance(spark: SparkSession, source, target, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> int:
-    """Edges between two nodes; -1 if none of up to max_depth lead there or a node is unknown (None).
-
-    Both sides grow by whole levels, the smaller first, as in search(), but nobody's parents are looked for: a title with
-    many people is as many rows as these, not as their pairs. The first level to meet the other side meets its last.
+    Both grow by whole levels, the smaller first, so the first meeting is at the shortest distance, and of last levels: one end is
+    farther from the other than that one's levels go, until it is met.
     """
-    if source is None or target is None:
-        return -1
-    if source == target:
-        return 0
-    sides = [Side(root(spark, x), None) for x in (source, target)]
-    while sum(s.depth for s in sides) < max_depth and all(s.size for s in sides):
-        i = 0 if sides[0].size <= sides[1].size else 1
-        one, other = sides[i], sides[1 - i].visited.withColumnRenamed("distance", "other")
-        # How many are new and where they meet the other side is seen while they are written; a task that runs twice
+    met = _met(a, b)
+    while met is None and a.depth + b.depth < max_depth and a.size and b.size:
+        one, other = (a, b) if a.size <= b.size else (b, a)
+        # How many are new and whether they meet the other side is seen while they are written; a task that runs twice
         # may count twice, which only matters to which side grows next.
         seen = Observation()
-        new = reached(neighbours, one.frontier()).join(one.visited, "node", "left_anti").join(other, "node", "left").select("node", F.lit(one.depth + 1).alias("distance"), "other")
-        new = kept(new.observe(seen, F.count(F.lit(1)).alias("size"), F.min("other").alias("met"))).select("node", "distance")
-        size, met = seen.get["size"], seen.get["met"]
-        sides[i] = Side(one.visited.unionByName(new), None, one.depth + 1, size)
-        if met is not None:
-            break
-    else:
-        met = None
-    for s in sides:
-        forget(s.visited)
-    return -1 if met is None else sides[i].depth + met
+        last = other.levels[-1].select("node", F.lit(1).alias("_other"))
+        new = unseen(neighbours, one.levels).join(last, "node", "left")
+        new = kept(new.observe(seen, F.count(F.lit(1)).alias("size"), F.count("_other").alias("met"))).select("node")
+        one.levels.append(new)
+        one.size = seen.get["size"]
+        met = a.depth + b.depth if seen.get["met"] else None
+    return met
 
 
-def _half_paths(side: Side, ends: DataFrame, limit: int) -> DataFrame:
-    """(end, path) with the path from the side's root to each end; the limit smallest paths of each node a level.
+def _met(a: Side, b: Side) -> int | None:
+    """The distance of two sides of which one may have been grown before, as far as their levels tell."""
+    if a.depth + b.depth == 0:
+        return None
+    x, y = (union([t.select("node", F.lit(d).alias(k)) for d, t in enumerate(s.levels)]) for s, k in ((a, "x"), (b, "y")))
+    return x.join(y, "node").agg(F.min(F.col("x") + F.col("y"))).first()[0]
 
-    Paths to one node at one level have one length and compare by their beginning first, so smaller prefixes suffice.
-    """
-    kind = side.visited.schema["node"].dataType.simpleString()
-    paths = side.visited.where("distance = 0").select("node", F.array(F.col("node").cast(kind)).alias("path"))
-    for depth in range(1, side.depth + 1):
-        step = side.parents.where(F.col("distance") == depth).select("node", F.col("parent").alias("_p"))
-        grown = step.join(paths.select(F.col("node").alias("_p"), "path"), "_p").select("node", F.concat("path", F.array("node")).alias("path"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("path"))
-        paths = kept(grown.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank"))
-    return paths.join(ends, "node", "left_semi")
+
+def search(spark: SparkSession, source, target, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> tuple[int, Side, Side, DataFrame] | None:
+    """(distance, side of the source, side of the target, nodes where they meet), or None beyond max_depth."""
+    a, b = side(spark, source), side(spark, target)
+    if source == target:
+        return 0, a, b, a.levels[0]
+    total = meet(a, b, neighbours, max_depth)
+    return None if total is None else (total, a, b, a.levels[-1].join(b.levels[-1], "node", "left_semi"))
 
 
-def shortest_paths(spark: SparkSession, source, target, neighbours: Neighbours, max_depth: int = MAX_DEPTH, limit: int = 10) -> DataFrame:
-    """(path): the limit lexicographically smallest shortest paths, as arrays of nodes from source to target.
+def distance(spark: SparkSession, source, target, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> int:
+    """Edges between two nodes; -1 if none of up to max_depth lead there or a node is unknown (None)."""
+    return distances_to(spark, source, [target], neighbours, max_depth)[0]
+
+
+def distances_to(spark: SparkSession, source, targets: list, neighbours: Neighbours, max_depth: int = MAX_DEPTH) -> list[int]:
+    """distance() of each target. What was seen from the source stays for the next target, so it is grown once for all."""
+    out, a = [], None if source is None else side(spark, source)
+    for target in targets:
+        if source is None or target is None:
+            out.append(-1)
+            continue
+        if source == target:
+            out.append(0)
+            continue
+        b = side(spark, target)
+        found = meet(a, b, neighbours, max_depth)
+        out.append(-1 if found is None or found > max_depth else found)
+        for level in b.levels[1:]:
+            forget(level)
+    for level in a.levels[1:] if a else []:
+        forget(level)
+    return out
 
-    The whole path is grown from the source: the target's side has its parents turned round, restricted to what it met.
-    """
+
+def shortest_paths(spark: SparkSession, source, target, neighbours: Neighbours, max_depth: int = MAX_DEPTH, limit: int = 10) -> DataFrame:
+    """(path): the limit lexicographically smallest shortest paths, as arrays of nodes from source to target."""
     found = search(spark, source, target, neighbours, max_depth)
     kind = "string" if isinstance(source, str) else "bigint"
-    return spark.createDataFrame([], f"path array<{kind}>") if found is None else found_paths(*found, limit)
+    return spark.createDataFrame([], f"path array<{kind}>") if found is None else found_paths(*found, neighbours, limit)
 
 
-def found_paths(total: int, a: Side, b: Side, meeting: DataFrame, limit: int) -> DataFrame:
-    """shortest_paths() of what search() has found."""
+def found_paths(total: int, a: Side, b: Side, meeting: DataFrame, neighbours: Neighbours, limit: int) -> DataFrame:
+    """shortest_paths() of what search() has found.
+
+    From where the sides meet, each level is cut to what leads there; then paths are grown from the source along what is
+    left, the limit smallest of each node. Paths to one node have one length and go on alike, so smaller beginnings suffice.
+    """
     if total == 0:
-        return a.visited.select(F.array("node").alias("path"))
-    paths = _half_paths(a, meeting, limit)
-    for back in range(b.depth, 0, -1):
-        step = b.parents.where(F.col("distance") == back).select(F.col("node").alias("_n"), F.col("parent").alias("node"))
-        grown = paths.withColumnRenamed("node", "_n").join(step, "_n").select("node", F.concat("path", F.array("node")).alias("path"))
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("path"))
-        paths = kept(grown.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank"))
-    return paths.select("path").distinct().orderBy("path").limit(limit)
+        return a.levels[0].select(F.array("node").alias("path"))
+    left = {}
+    for one, s in (("a", a), ("b", b)):
+        alive = left[one, s.depth] = kept(meeting)
+        for depth in range(s.depth - 1, 0, -1):
+            alive = left[one, depth] = kept(s.levels[depth].join(reached(neighbours, alive), "node", "left_semi"))
+    steps = [left["a", d] for d in range(1, a.depth + 1)] + [left["b", d] for d in range(b.depth - 1, 0, -1)] + [b.levels[0]] * (b.depth > 0)
+    paths = a.levels[0].select("node", F.array("node").alias("path"))
+    for to in steps:
+        paths = kept(extended(neighbours, paths, to, limit))
+    return paths.select("path").orderBy("path").limit(limit)
 
 
 def label_paths(paths: DataFrame, members: DataFrame, names: DataFrame, titles: DataFrame) -> DataFrame:
@@ -252,7 +286,7 @@ def ids_from_csv(spark: SparkSession, csv: str) -> DataFrame:
 def separation(spark: SparkSession, principals: DataFrame, names: DataFrame, name: str, source_id: str, max_depth: int = MAX_DEPTH) -> int:
     """Degrees between the person of that name and the source person; -1 for unknown people and beyond max_depth."""
     row = resolve_name(names, name).first()
-    return -1 if row is None else distance(spark, source_id, row["nconst"], neighbours_of(kept(membership(principals))), max_depth)
+    return -1 if row is None else distance(spark, source_id, row["nconst"], laid_out(principals), max_depth)
 
 
 def separation_paths(spark: SparkSession, principals: DataFrame, names: DataFrame, titles: DataFrame, name: str, source_id: str, source_name: str, max_paths: int | None = None, config: SearchConfig = SearchConfig()) -> dict:
@@ -263,12 +297,12 @@ def separation_paths(spark: SparkSession, principals: DataFrame, names: DataFram
         return {"number": -1, "paths": None}
     if row["nconst"] == source_id:
         return {"number": 0, "paths": []}
-    members = kept(membership(principals))
-    found = search(spark, row["nconst"], source_id, neighbours_of(members), config.max_depth)
+    members, near = kept(membership(principals)), laid_out(principals)
+    found = search(spark, row["nconst"], source_id, near, config.max_depth)
     if found is None:
         return {"number": -1, "paths": None}
     if found[0] == 1:
         labels = [r["label"] for r in shared_titles(members, titles, row["nconst"], source_id, limit).collect()]
         return {"number": 1, "paths": [[{"actorName": source_name, "movieTitle": x}] for x in labels]}
-    labelled = label_paths(found_paths(*found, limit), members, names, titles).orderBy("path").limit(limit).collect()
+    labelled = label_paths(found_paths(*found, near, limit), members, names, titles).orderBy("path").limit(limit).collect()
     return {"number": found[0], "paths": [[s.asDict() for s in r["steps"]] for r in labelled]}

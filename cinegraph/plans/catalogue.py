@@ -203,7 +203,7 @@ _Q40 = _DIST.replace("{roles}", "{roles}, q as (select distinct l_orderkey as t,
 
 
 def from_zero(d: Data, principals: DataFrame) -> DataFrame:
-    return graph.distances(d.spark.range(1).select(F.col("id").alias("node")), graph.neighbours_of(graph.kept(graph.membership(principals))))
+    return graph.distances(d.spark.range(1).select(F.col("id").alias("node")), graph.laid_out(principals))
 
 
 @query(_R + " select node, distance from dist")
@@ -222,8 +222,8 @@ def distance_histogram_capped(d: Data) -> DataFrame:
 
 
 def pairs(d: Data, targets: list, principals: DataFrame, depth: int = 6) -> DataFrame:
-    near = graph.neighbours_of(graph.kept(graph.membership(principals)))
-    return d.spark.createDataFrame([(t, graph.distance(d.spark, 0, t, near, depth)) for t in targets], "target long, distance int")
+    found = graph.distances_to(d.spark, 0, targets, graph.laid_out(principals), depth)
+    return d.spark.createDataFrame(list(zip(targets, found, strict=True)), "target long, distance int")
 
 
 _PAIR = " select t::bigint as target, coalesce(distance, -1)::int as distance from unnest([%s]) as x(t) left join dist on node = t"
@@ -264,7 +264,7 @@ best as (select path from paths where node = 33 order by path limit 5)"""
 
 
 def five_paths(d: Data) -> DataFrame:
-    return graph.shortest_paths(d.spark, 0, 33, graph.neighbours_of(graph.kept(members(d))), limit=5)
+    return graph.shortest_paths(d.spark, 0, 33, graph.laid_out(d.principals()), limit=5)
 
 
 @query(_PATHS + " select array_to_string(path, '>') as path from best")
@@ -286,7 +286,7 @@ far as (select min(y.n) as k from a join m x on x.n = a.n join m y using (t) whe
 b as (select distinct y.n from m x join m y using (t) where x.n = (select k from far) and y.n <> x.n) select n as node from a where n in (select n from b)""")
 def meeting_nodes(d: Data) -> DataFrame:
     """Where the searches from part 0 and from the first part at distance 2 meet."""
-    near = graph.neighbours_of(graph.kept(members(d)))
+    near = graph.laid_out(d.principals())
     far = graph.distances(d.spark.range(1).select(F.col("id").alias("node")), near, 2).where("distance = 2").agg(F.min("node")).first()[0]
     return graph.search(d.spark, 0, far if far is not None else 0, near, 2)[3]
 
@@ -411,7 +411,7 @@ def scalar_subquery_count(d: Data) -> DataFrame:
 @query(_R.replace("d < 6", "d < 2") + " select distinct node from dist")
 def level_union_fold(d: Data) -> DataFrame:
     """Who is within two levels of part 0: levels are added to the set of those seen."""
-    near = graph.neighbours_of(graph.kept(members(d)))
+    near = graph.laid_out(d.principals())
     return graph.distances(d.spark.range(1).select(F.col("id").alias("node")), near, 2).select("node")
 
 

@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegraph.sources.load import upsert
+from cinegraph.sources.files import forget, kept
+from cinegraph.sources.layout import Table
 
 
-def refresh(spark: SparkSession, folder: str, schema: str, keys: list[str], base: DataFrame, target: str, checkpoint: str):
-    """A file stream whose batches upsert into versions of a table below target; ends when all files are taken.
+def refresh(spark: SparkSession, folder: str, table: Table, checkpoint: str):
+    """A file stream whose batches upsert into a laid-out table; ends when all files are taken.
 
     Of a key's rows in several files the last file's count, by time and name; a file that has a key twice is an error, as
-    it is in a load. Versions are numbered by batch, so a batch that is run again writes the same one.
+    it is in a load. A version says which batch made it, so a batch that is run again changes nothing. Each batch
+    rewrites the buckets that it touches, and no others.
     """
+    layout = table.layout
 
     def step(batch: DataFrame, number: int) -> None:
-        now = spark.read.schema(base.schema).parquet(f"{target}/{number - 1}") if number else base
-        last = batch.groupBy(*keys).agg(F.max("_from").alias("_last")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_last")
-        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_from") == F.col("_last")]
-        latest = batch.join(last, same, "left_semi").select(*base.columns)
-        upsert(now, latest, keys).write.mode("overwrite").parquet(f"{target}/{number}")
+        last = batch.groupBy(*layout.keys).agg(F.max("_from").alias("_last")).select(*(F.col(k).alias(f"_{k}") for k in layout.keys), "_last")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in layout.keys] + [F.col("_from") == F.col("_last")]
+        latest = kept(batch.join(last, same, "left_semi").select(*layout.schema.names))
+        table.upsert(latest, number)
+        forget(latest)
 
-    files = spark.readStream.schema(schema).parquet(folder).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_from"))
+    files = spark.readStream.schema(layout.schema).parquet(folder).select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("_from"))
     return files.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

@@ -5,10 +5,12 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cinegraph.__main__ import main
 from cinegraph.schemas import duplicate_keys, orphans
-from cinegraph.sources.load import DuplicateKeys, Store, changed_at, sha256_of, upsert, utc_text, version
+from cinegraph.sources.layout import Copy, DuplicateKeys, Layout, Table
+from cinegraph.sources.load import MissingParents, Store, changed_at, judged, sha256_of, upsert, utc_text, version
 from cinegraph.sources.tsv import clean, cut_crew, read_keys, read_quoted, read_tsv, retain, write_tsv
 from cinegraph.streaming.refresh import drained, pages, refresh
 
@@ -87,32 +89,150 @@ def test_upsert_keeps_what_vanished_and_refuses_twins(spark):
     assert [tuple(r) for r in duplicate_keys(stage.union(stage), ["k"]).orderBy("k").collect()] == [(2, 2), (4, 2)]
 
 
+def whole(dumps):
+    """The dumps without rows that lack a parent."""
+    for name, rows in {"title.ratings": ["t1\t8.5\t100", "t3\t1.0\t1"], "title.crew": ["t1\tn1,n2\t\\N", "t2\tn1\tn1"], "title.principals": ["t1\t1\tn1\tactor\t\\N\t\\N", "t2\t1\tn2\tdirector\t\\N\t\\N", "t1\t2\tn3\tactress\t\\N\t\\N"]}.items():
+        dump(dumps, name, rows)
+    return dumps
+
+
+def dump(folder, name, rows):
+    with gzip.open(folder / f"{name}.tsv.gz", "wt") as f:
+        f.write("\n".join([HEADERS[name], *rows]) + "\n")
+
+
 def test_store_loads_what_changed(spark, dumps, tmp_path):
-    store = Store(spark, f"{tmp_path}/store")
-    assert store.read("title_ratings").isEmpty()
-    assert all(store.load_all(str(dumps)).values()) and not any(store.load_all(str(dumps)).values())
-    with gzip.open(dumps / "title.ratings.tsv.gz", "wt") as f:
-        f.write("\n".join([HEADERS["title.ratings"], "t1\t9.0\t200", "t2\t5.0\t5"]) + "\n")
+    whole(dumps)
+    store = Store(spark, f"{tmp_path}/store", 4)
+    assert store.read("title_ratings").isEmpty() and store.state().isEmpty()
+    assert all(store.load_all(str(dumps), mode="init").values()) and not any(store.load_all(str(dumps)).values())
+    dump(dumps, "title.ratings", ["t1\t9.0\t200", "t2\t5.0\t5"])
     assert not any(store.load_all(str(dumps), mode="init").values())
     assert [t for t, new in store.load_all(str(dumps)).items() if new] == ["title_ratings"]
-    assert sorted(map(tuple, store.read("title_ratings").collect())) == [("t1", 9.0, 200), ("t2", 5.0, 5), ("t9", 1.0, 1)]
+    assert sorted(map(tuple, store.read("title_ratings").collect())) == [("t1", 9.0, 200), ("t2", 5.0, 5), ("t3", 1.0, 1)]
     assert {r.table: r.n for r in store.counts().collect()} == {"name_basics": 3, "title_basics": 3, "title_ratings": 3, "title_crew": 2, "title_principals": 3}
+    assert {r.dataset_key: r.sha256 for r in store.state().collect()} == {t: sha256_of(spark, f"{dumps}/{t.replace('_', '.')}.tsv.gz") for t in ("name_basics", "title_basics", "title_ratings", "title_crew", "title_principals")}
+
+
+def test_update_leaves_no_mark(spark, dumps, tmp_path):
+    store = Store(spark, f"{tmp_path}/store", 2)
+    store.load_all(str(whole(dumps)))
+    assert not store.marked()
+
+
+def test_rows_without_parents(spark, dumps, tmp_path):
+    """Refused as a whole, or set aside with the reason; a null reference lacks nothing, a null key is wrong."""
+    store = Store(spark, f"{tmp_path}/store", 4)
+    for t in ("name_basics", "title_basics"):
+        store.load(t, f"{dumps}/{t.replace('_', '.')}.tsv.gz")
+    dump(dumps, "title.principals", ["t1\t1\tn1\tactor\t\\N\t\\N", "t9\t1\tn1\tactor\t\\N\t\\N", "t1\t2\tn9\tactor\t\\N\t\\N", "t8\t2\tn9\tactor\t\\N\t\\N", "t2\t3\t\\N\tactor\t\\N\t\\N"])
+    path = f"{dumps}/title.principals.tsv.gz"
+    with pytest.raises(MissingParents, match="1 with no parent of nconst, 2 with no parent of tconst, 1 with null nconst"):
+        store.load("title_principals", path)
+    assert store.current("title_principals") is None and store.read("title_principals").isEmpty()
+    assert store.load("title_principals", path, orphans="aside")
+    assert [(r.tconst, r.nconst) for r in store.read("title_principals").collect()] == [("t1", "n1")]
+    assert sorted((r.tconst, r.ordering, r._wrong) for r in store.rejected("title_principals").collect()) == [("t1", 2, "no parent of nconst"), ("t2", 3, "null nconst"), ("t8", 2, "no parent of tconst"), ("t9", 1, "no parent of tconst")]
+    ratings = spark.createDataFrame([("a", 1), (None, 2), ("z", 3)], "tconst string, numVotes int")
+    told = judged(ratings.withColumn("k", F.lit(1)), ["k"], [(spark.createDataFrame([("a",), ("a",)], "tconst string"), "tconst", "tconst")])
+    assert sorted((r.numVotes, r._wrong) for r in told.collect()) == [(1, None), (2, None), (3, "no parent of tconst")]
+    with pytest.raises(ValueError, match="no such way"):
+        store.load("title_principals", path, orphans="keep")
+
+
+def test_one_of_two_loaders_goes_again(spark, dumps, tmp_path):
+    """A second loader makes the next version while the first one works: both loads are in the end there."""
+    whole(dumps)
+    one, two = Store(spark, f"{tmp_path}/store", 4), Store(spark, f"{tmp_path}/store", 4)
+    for t in ("name_basics", "title_basics"):
+        one.load(t, f"{dumps}/{t.replace('_', '.')}.tsv.gz")
+    plain, tries = one._followed, []
+
+    def meanwhile(*a):
+        tries.append(1)
+        new = plain(*a)
+        if len(tries) == 1:
+            assert two.load("title_ratings", f"{dumps}/title.ratings.tsv.gz")
+        return new
+
+    one._followed = meanwhile
+    assert one.load("title_crew", f"{dumps}/title.crew.tsv.gz") and len(tries) == 2
+    assert one.log.numbers() == [1, 2, 3, 4] and one.read("title_crew", number=3).isEmpty()
+    assert one.read("title_ratings").count() == 2 and two.read("title_crew").count() == 2
+    # What the loader wrote that had to go again is nobody's.
+    gone = one.vacuum()
+    assert gone and all(g.startswith("title_crew/main/") for g in gone) and two.log.numbers() == [4] and two.counts().where("n > 0").count() == 4
+    assert not one.log.commit(4, {})
+
+
+def scanned(df):
+    """The rows that come out of a query's file scans."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()) if "Scan" in leaves.apply(i).nodeName())
+
+
+def wide_table(spark, root, rows=20_000, buckets=8):
+    """Rows with two ways to be found, and a copy of some of them."""
+    schema = T.StructType.fromDDL("k string, name string, v int")
+    others = {"by_name": Copy(["name"], ["name", "k"], ["k", "name"]), "even": Copy(["k"], ["k"], ["k", "v"], "v % 2 = 0")}
+    table = Table(Layout(spark, root, schema, ["k"], ["k"], others, buckets))
+    table.upsert(spark.range(rows).select(F.format_string("k%05d", "id").alias("k"), F.format_string("n%04d", F.col("id") % 5000).alias("name"), F.col("id").cast("int").alias("v")))
+    return table
+
+
+def test_a_lookup_reads_little(spark, tmp_path):
+    table = wide_table(spark, f"{tmp_path}/t")
+    by_key, by_name = table.lookup([("k00077",)]), table.lookup([("n0077",)], "by_name")
+    assert [r.v for r in by_key.collect()] == [77] and sorted(r.k for r in by_name.collect()) == ["k00077", "k05077", "k10077", "k15077"]
+    for df in (by_key, by_name):
+        assert len(df.inputFiles()) == 1 and scanned(df) < 20_000 / 8 * 1.2
+    assert sorted(r.v for r in table.lookup([("k00003",), ("k19999",), ("none",)]).collect()) == [3, 19999] and table.lookup([]).isEmpty()
+    assert table.read("even").count() == 10_000
+
+
+def test_a_load_rewrites_what_it_touches(spark, tmp_path):
+    """Rows written grow with the load; copies lose what a changed row was; older versions stay as they were."""
+    root = f"{tmp_path}/t"
+    table = wide_table(spark, root, buckets=32)
+    before = table.log.latest()[1]["copies"]
+    few = spark.createDataFrame([("k00001", "new", 2), ("k00002", "n0002", 3), ("x", "n0003", 4)], "k string, name string, v int")
+    assert table.upsert(few)
+    after = table.log.latest()[1]["copies"]
+    changed = {name: [b for b, f in after[name].items() if before[name].get(b) != f] for name in after}
+    assert 0 < len(changed["main"]) <= 3 and 0 < len(changed["by_name"]) <= 4 and 0 < len(changed["even"]) <= 3
+    (folder,) = {after["main"][b] for b in changed["main"]}
+    assert spark.read.parquet(f"{root}/main/{folder}").count() < 20_000 / 32 * 3 * 1.3
+    assert {r.k for r in table.lookup([("n0001",)], "by_name").collect()} == {"k05001", "k10001", "k15001"} and [r.k for r in table.lookup([("new",)], "by_name").collect()] == ["k00001"]
+    assert table.read("even").where("k in ('k00001', 'k00002', 'x')").count() == 2
+    assert table.read().count() == 20_001 and table.read(number=1).count() == 20_000 and table.read("by_name").count() == 20_001
+    with pytest.raises(DuplicateKeys):
+        table.upsert(few.union(few))
+    gone = table.layout.vacuum([after])
+    assert sorted(gone) == sorted(f"{name}/{before[name][b]}/_bucket={b}" for name in changed for b in changed[name] if b in before[name])
+    assert table.read().count() == 20_001 and table.layout.vacuum([after]) == []
 
 
 def test_refresh_from_a_stream(spark, tmp_path):
-    base = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    table = Table(Layout(spark, f"{tmp_path}/t", T.StructType.fromDDL("k int, v string"), ["k"], ["k"], buckets=4))
+    table.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
     for rows in ([(2, "z"), (3, "c")], [(2, "x"), (None, "n")]):
         spark.createDataFrame(rows, "k int, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         time.sleep(1.1)
-    refresh(spark, f"{tmp_path}/in", "k int, v string", ["k"], base, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out/0").collect()), key=str) == sorted([(1, "a"), (2, "x"), (3, "c"), (None, "n")], key=str)
+    refresh(spark, f"{tmp_path}/in", table, f"{tmp_path}/mark").awaitTermination()
+    want = sorted([(1, "a"), (2, "x"), (3, "c"), (None, "n")], key=str)
+    assert sorted(map(tuple, table.read().collect()), key=str) == want
+    assert not table.upsert(spark.createDataFrame([(1, "again")], "k int, v string"), 0)
+    refresh(spark, f"{tmp_path}/in", table, f"{tmp_path}/another").awaitTermination()
+    assert sorted(map(tuple, table.read().collect()), key=str) == want
 
 
 def test_refresh_takes_no_twins_of_one_file(spark, tmp_path):
-    base = spark.createDataFrame([(1, "a")], "k int, v string")
+    table = Table(Layout(spark, f"{tmp_path}/t", T.StructType.fromDDL("k int, v string"), ["k"], ["k"], buckets=4))
     spark.createDataFrame([(2, "x"), (2, "z")], "k int, v string").coalesce(1).write.parquet(f"{tmp_path}/in")
     with pytest.raises(Exception, match="share k"):
-        refresh(spark, f"{tmp_path}/in", "k int, v string", ["k"], base, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
+        refresh(spark, f"{tmp_path}/in", table, f"{tmp_path}/mark").awaitTermination()
 
 
 def test_hash_time_and_version(spark, tmp_path):
@@ -133,7 +253,7 @@ def test_commands(spark, dumps, tmp_path, capsys):
     main(["clean", str(dumps), f"{tmp_path}/tidy", "--minimal"], spark)
     main(["load", f"{tmp_path}/few", f"{tmp_path}/tidy", "--minimal"], spark)
     assert "title_basics 1 loaded" in capsys.readouterr().out
-    main(["load", f"{tmp_path}/db", str(dumps), "--mode", "init"], spark)
+    main(["load", f"{tmp_path}/db", str(dumps), "--mode", "init", "--orphans", "aside"], spark)
     assert "title_basics 3 loaded" in capsys.readouterr().out
     main(["load", f"{tmp_path}/db", str(dumps), "--mode", "init"], spark)
     assert "title_basics 3 unchanged" in capsys.readouterr().out

@@ -24,6 +24,25 @@ def like_pattern(pattern: str) -> str:
     return "".join(out)
 
 
+def literals(pattern: str) -> list[str]:
+    """The runs of plain characters of a pattern as like_pattern() gives it, between its wildcards."""
+    out, i = [""], 0
+    while i < len(pattern):
+        if pattern[i] in "%_":
+            out.append("")
+        else:
+            i += pattern[i] == "\\"
+            out[-1] += pattern[i]
+        i += 1
+    return [x for x in out if x]
+
+
+def trigrams(column: str) -> str:
+    """The expression of the distinct runs of three characters of a column in small letters; none of a null or shorter text."""
+    low = f"lower({column})"
+    return f"array_distinct(if(length({low}) >= 3, transform(sequence(1, length({low}) - 2), i -> substring({low}, i, 3)), array()))"
+
+
 def genre_prefix(genre: str) -> str:
     """The pattern of a genre search: white space goes, and anything may follow."""
     return like_pattern("".join(genre.split()) + "%")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cinegraph.functions.text import comma_count
 from cinegraph.sources.files import forget, kept, new_folder
+from cinegraph.sources.layout import Table
 
 #: What stands for people and titles without a name.
 UNKNOWN, UNKNOWN_TITLE = "Unknown", "Unknown Movie"
@@ -76,15 +77,24 @@ def neighbours_of(members: DataFrame, by_title: DataFrame | None = None) -> Neig
         return near.where("parent <> node").distinct()
 
     def reach(frontier: DataFrame) -> DataFrame:
-        titles = members.join(frontier.select(F.col("node").alias("nconst")), "nconst", "left_semi").select("tconst").distinct()
-        return by_title.join(titles, "tconst", "left_semi").select(F.col("nconst").alias("node")).distinct()
+        return by_title.join(titles(frontier), "tconst", "left_semi").select(F.col("nconst").alias("node")).distinct()
 
     def extend(paths: DataFrame, to: DataFrame, limit: int) -> DataFrame:
-        titles = top(members.join(paths.withColumnRenamed("node", "nconst"), "nconst").select("tconst", "path"), "tconst", limit)
+        by = top(members.join(paths.withColumnRenamed("node", "nconst"), "nconst").select("tconst", "path"), "tconst", limit)
         nodes = by_title.join(to.select(F.col("node").alias("nconst")), "nconst", "left_semi")
-        return nodes.join(titles, "tconst").select(F.col("nconst").alias("node"), "path").distinct()
+        return nodes.join(by, "tconst").select(F.col("nconst").alias("node"), "path").distinct()
 
-    neighbours.reach, neighbours.extend = reach, extend
+    def titles(nodes: DataFrame) -> DataFrame:
+        return members.join(nodes.select(F.col("node").alias("nconst")), "nconst", "left_semi").select("tconst").distinct()
+
+    def nearer(of: DataFrame, known: DataFrame, max_depth: int) -> DataFrame:
+        """(node, distance) of people of some titles who get nearer by these than they are known to be."""
+        here = kept(by_title.join(of, "tconst", "left_semi").withColumnRenamed("nconst", "node").join(known, "node", "left"))
+        best = here.groupBy("tconst").agg((F.min("distance") + 1).alias("by"))
+        found = here.join(best, "tconst").where((F.col("by") <= max_depth) & (F.col("distance").isNull() | (F.col("by") < F.col("distance"))))
+        return found.groupBy("node").agg(F.min("by").alias("distance"))
+
+    neighbours.reach, neighbours.extend, neighbours.titles, neighbours.nearer = reach, extend, titles, nearer
     return neighbours
 
 
@@ -306,3 +316,50 @@ def separation_paths(spark: SparkSession, principals: DataFrame, names: DataFram
         return {"number": 1, "paths": [[{"actorName": source_name, "movieTitle": x}] for x in labels]}
     labelled = label_paths(found_paths(*found, near, limit), members, names, titles).orderBy("path").limit(limit).collect()
     return {"number": found[0], "paths": [[s.asDict() for s in r["steps"]] for r in labelled]}
+
+
+def source_distances(principals: DataFrame, source, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(node, distance) from one source, for all within max_depth: asked once, it answers for any target."""
+    return distances(root(principals.sparkSession, source), laid_out(principals), max_depth)
+
+
+def refreshed_distances(known: DataFrame, principals: DataFrame, added: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(node, distance) after memberships (tconst, nconst) were added, which principals has already.
+
+    Distances can only shrink. Each round looks at the titles of those who came nearer, at first at the titles that were
+    added to, and lets their people be one farther than the nearest of them; it ends when nobody comes nearer.
+    """
+    members = laid_out(principals)
+    titles = added.select("tconst").where("tconst is not null").distinct()
+    now = kept(known.select("node", "distance"))
+    while True:
+        nearer = kept(members.nearer(titles, now, max_depth))
+        if nearer.isEmpty():
+            return now
+        now = kept(now.join(nearer, "node", "left_anti").unionByName(nearer))
+        titles = members.titles(nearer)
+
+
+def paths_by_distance(known: DataFrame, node, neighbours: Neighbours, limit: int = 10) -> DataFrame:
+    """(path): the limit smallest shortest paths from a node to the source that known distances are from; none beyond them.
+
+    No search: what lies on a shortest path is told by its distance.
+    """
+    spark = known.sparkSession
+    start = root(spark, node)
+    row = known.where(F.col("node") == F.lit(node)).first()
+    if row is None:
+        return start.select(F.array("node").alias("path")).limit(0)
+    # On the way there each next node is one nearer, so every level on the way leads to the source.
+    paths, on = start.select("node", F.array("node").alias("path")), start
+    for left in range(row["distance"] - 1, -1, -1):
+        on = kept(known.where(F.col("distance") == left).select("node").join(reached(neighbours, on), "node", "left_semi"))
+        paths = kept(extended(neighbours, paths, on, limit))
+    return paths.select("path").orderBy("path").limit(limit)
+
+
+def known_separation(known: Table, names: Table, name: str) -> int:
+    """separation() from the source whose distances a table (by node) has: the name from its copy by_name, and one look-up."""
+    row = resolve_name(names.lookup([(name,)], "by_name"), name).first()
+    found = known.lookup([(row["nconst"],)]).first() if row else None
+    return -1 if found is None else found["distance"]

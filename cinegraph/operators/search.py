@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinegraph.functions.text import items, like_pattern
+from cinegraph.functions.text import items, like_pattern, literals, trigrams
+from cinegraph.sources.files import kept
+from cinegraph.sources.layout import Copy, Table
 
 #: Fields of a movie record and the columns they come from.
 MOVIE = {"movieId": "tconst", "titleType": "titleType", "primaryTitle": "primaryTitle", "originalTitle": "originalTitle", "ratedAdult": "isAdult", "yearReleased": "startYear", "yearEnded": "endYear", "runtimeInMinutes": "runtimeMinutes", "genres": "genres"}
 
 
+#: A trigram that many titles have is in as many buckets.
+SPREAD = 8
+#: The titles of each trigram of their names, spread by a hash of the title.
+POSTINGS = Copy(["gram", "_spread"], ["gram", "tconst"], ["tconst", f"cast(pmod(xxhash64(tconst), {SPREAD}) as int) as _spread"], each=("gram", f"array_distinct(concat({trigrams('primaryTitle')}, {trigrams('originalTitle')}))"))
+
+
 def movie_fields(titles: DataFrame) -> list[Column]:
     return [F.col(column).alias(field) for field, column in MOVIE.items() if column in titles.columns]
 
@@ -22,6 +30,34 @@ def find_by_title(titles: DataFrame, primary: str, original: str, kind: str = "m
     return hit.select(*movie_fields(titles)).orderBy("movieId").limit(1)
 
 
+def grams_of(spark: SparkSession, pattern: str) -> list[str]:
+    """What every text has that a pattern matches in any case: the trigrams of its plain runs, in small letters."""
+    low = spark.sql("select lower(:p)", args={"p": pattern}).first()[0]
+    return sorted({run[i : i + 3] for run in literals(low) for i in range(len(run) - 2)})
+
+
+def find_by_postings(titles: Table, primary: str, original: str, kind: str = "movie", most: int = 1000) -> DataFrame:
+    """find_by_title() over a laid-out table with a copy POSTINGS: only titles that have all trigrams of a pattern are read.
+
+    Of the postings only the buckets of the trigrams are read. Up to most titles are looked up in their buckets, more are joined; a pattern
+    without three plain characters in a row says nothing, and all titles are read.
+    """
+    spark = titles.layout.spark
+    p, o = like_pattern(primary), like_pattern(original)
+    wanted = [grams_of(spark, x) for x in dict.fromkeys((p, o))]
+    if not all(wanted):
+        return find_by_title(titles.read(), primary, original, kind)
+    found = None
+    for grams in wanted:
+        rows = titles.lookup([(g, s) for g in grams for s in range(SPREAD)], "postings")
+        one = rows.groupBy("tconst").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(grams)).select("tconst")
+        found = one if found is None else found.union(one).distinct()
+    near = kept(found)
+    few = near.limit(most + 1).collect()
+    rows = titles.lookup([(r["tconst"],) for r in few]) if len(few) <= most else titles.read().join(near, "tconst", "left_semi")
+    return find_by_title(rows, primary, original, kind)
+
+
 def find_by_id(titles: DataFrame, title_id) -> DataFrame:
     return titles.where(F.col("tconst") == F.lit(title_id)).select(*movie_fields(titles))
 

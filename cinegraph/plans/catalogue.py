@@ -7,36 +7,13 @@ from pyspark.sql import functions as F
 
 from cinegraph.functions import text
 from cinegraph.operators import graph, ratings, search
+from cinegraph.plans import storage  # noqa: F401  its queries are registered, too
 from cinegraph.plans.binding import Data
+from cinegraph.plans.registry import DISTANCES, ORACLE_SQL, QUERIES, ROLES, query  # noqa: F401
 from cinegraph.schemas import duplicate_keys, orphans
 from cinegraph.sources.load import upsert
 from cinegraph.streaming.refresh import drained
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-#: Roles of the driver's tables, for the SQL.
-ROLES = """titles as (select p_partkey as tconst, p_type as "titleType", p_name as "primaryTitle", p_brand as "originalTitle", p_size as "runtimeMinutes", replace(p_name, ' ', ',') as genres from part),
-ratings as (select l_partkey as tconst, avg(l_quantity) as r, count(*)::int as votes from lineitem group by 1),
-m as (select distinct l_orderkey as t, l_partkey as n from lineitem where l_returnflag = 'R'),
-crew as (select distinct l_orderkey as tconst, l_suppkey as n, l_returnflag as role from lineitem),
-lab as (select o_orderkey as t, o_orderpriority || '#' || o_orderkey as label from orders)"""
-FLAT = 'tconst as "movieId", "titleType", "primaryTitle", "originalTitle", "runtimeMinutes" as "runtimeInMinutes", genres'
-
-
-def query(sql: str | None = None, name: str | None = None):
-    """Registers a function of Data as a query, with the SQL of the same rows; {roles} begins a list of tables."""
-
-    def register(f):
-        key = name or f.__name__
-        QUERIES[key] = lambda spark, sf_dir: f(Data(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[key] = sql.replace("{roles}", ROLES).replace("{flat}", FLAT)
-        return f
-
-    return register
-
-
 def flat(df: DataFrame) -> DataFrame:
     return df.select("movie.*", "averageRating", "numOfVotes")
 
@@ -195,11 +172,8 @@ def shared_titles(d: Data) -> DataFrame:
     return graph.shared_titles(members(d), d.labels(), 0, near if near is not None else -1)
 
 
-#: Distances from part 0 up to depth 6, by recursion with the depth in the row.
-_DIST = """with recursive {roles}, e as (select distinct a.n as x, b.n as y from g a join g b on a.t = b.t and a.n <> b.n),
-walk as (select 0::bigint as node, 0 as d union select e.y, d + 1 from walk join e on e.x = node where d < 6), dist as (select node, min(d)::int as distance from walk group by node)"""
-_R = _DIST.replace("g a join g b", "m a join m b")
-_Q40 = _DIST.replace("{roles}", "{roles}, q as (select distinct l_orderkey as t, l_partkey as n from lineitem where l_quantity >= 40)").replace("g a join g b", "q a join q b")
+_R = DISTANCES.replace("g a join g b", "m a join m b")
+_Q40 = DISTANCES.replace("{roles}", "{roles}, q as (select distinct l_orderkey as t, l_partkey as n from lineitem where l_quantity >= 40)").replace("g a join g b", "q a join q b")
 
 
 def from_zero(d: Data, principals: DataFrame) -> DataFrame:
@@ -234,14 +208,17 @@ def distance_pair(d: Data) -> DataFrame:
     return pairs(d, [17, 33, 199], d.principals())
 
 
-@query("select 0::bigint as target, 0::int as distance")
+@query("with {roles} select max(n) as target, 0::int as distance from m")
 def distance_same_node(d: Data) -> DataFrame:
-    return pairs(d, [0], d.principals())
+    """From the last part of all to itself."""
+    last = members(d).agg(F.max("nconst")).first()[0]
+    return d.spark.createDataFrame([(last, graph.distance(d.spark, last, last, graph.laid_out(d.principals())))], "target long, distance int")
 
 
-@query("select -5::bigint as target, -1::int as distance")
+@query("with {roles} select max(n) + 1 as target, -1::int as distance from m")
 def distance_unknown(d: Data) -> DataFrame:
-    return pairs(d, [-5], d.principals())
+    """To a part that is in no order."""
+    return pairs(d, [members(d).agg(F.max("nconst")).first()[0] + 1], d.principals())
 
 
 @query(_Q40.replace("d < 6", "d < 2") + _PAIR % "17, 33")
@@ -393,9 +370,9 @@ def param_binding(d: Data) -> DataFrame:
     return d.spark.sql("select p_partkey, p_name from {t} where p_name ilike :p order by length(p_name) - length(replace(p_name, 'o', '')) desc, p_partkey limit 20", args={"p": "hot%"}, t=d.table("part"))
 
 
-@query("select k, v from (values (1, 'a'), (2, 'b')) as t(k, v)")
+@query("select k, v, p_name from (values (1, 'a'), (2, 'b'), (-1, 'c')) as t(k, v) join part on p_partkey = k")
 def values_source(d: Data) -> DataFrame:
-    return d.spark.sql("select k, v from values (1, 'a'), (2, 'b') as t(k, v)")
+    return d.spark.sql("select k, v, p_name from values (1, 'a'), (2, 'b'), (-1, 'c') as t(k, v) join {p} on p_partkey = k", p=d.table("part"))
 
 
 @query("with i as (select distinct l_partkey as k from lineitem where l_quantity > 49) select k from i order by k")

@@ -29,16 +29,22 @@ class DuplicateKeys(ValueError):
 
 @dataclass(frozen=True)
 class Copy:
-    """The columns (None: all) of the rows that a condition holds for, in buckets by the columns of by, sorted by order."""
+    """The columns (None: all; expressions, too) of the rows that a condition holds for, in buckets by the columns of by, sorted by order.
+
+    each: a column more and the expression of the array whose items it has, a row for each; then columns must be named.
+    """
 
     by: list[str]
     order: list[str]
     columns: list[str] | None = None
     where: str | None = None
+    each: tuple[str, str] | None = None
 
     def of(self, rows: DataFrame) -> DataFrame:
         rows = rows.where(self.where) if self.where else rows
-        return rows.select(*self.columns) if self.columns else rows
+        if self.each:
+            return rows.select(F.explode(F.expr(self.each[1])).alias(self.each[0]), *map(F.expr, self.columns))
+        return rows.selectExpr(*self.columns) if self.columns else rows
 
 
 def bucket_of(columns: list[Column], n: int) -> Column:
@@ -61,7 +67,7 @@ class Layout:
         return {MAIN: Copy(self.by, [*self.by, *(k for k in self.keys if k not in self.by)]), **self.others}
 
     def _columns(self, copy: Copy) -> T.StructType:
-        return T.StructType([f for f in self.schema if not copy.columns or f.name in copy.columns])
+        return copy.of(self.spark.createDataFrame([], self.schema)).schema
 
     def read(self, version: dict, name: str = MAIN, only: set[int] | None = None) -> DataFrame:
         """A copy as a version has it; of some buckets only, if these are named."""
@@ -70,13 +76,13 @@ class Layout:
         schema = self._columns(copy)
         if not places:
             return self.spark.createDataFrame([], schema)
-        columns = copy.columns or [f.name for f in schema]
-        return self.spark.read.schema(schema).parquet(*places).select(*columns)
+        return self.spark.read.schema(schema).parquet(*places)
 
     def lookup(self, version: dict, values: list[tuple], name: str = MAIN) -> DataFrame:
         """The rows of a copy whose key in by is one of values: only the buckets of these are read."""
         copy = self.copies()[name]
-        kinds = [self.schema[c].dataType for c in copy.by]
+        schema = self._columns(copy)
+        kinds = [schema[c].dataType for c in copy.by]
         literal = [[F.lit(x).cast(t) for x, t in zip(v, kinds, strict=True)] for v in values]
         if not values:
             return self.read(version, name, set())

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinegraph.operators.search import POSTINGS
 from cinegraph.schemas import KEYS, LOAD_STATE, PARENTS, TABLES, duplicate_keys
 from cinegraph.sources import files
 from cinegraph.sources.layout import BUCKETS, MAIN, Copy, DuplicateKeys, Layout, Log
@@ -20,6 +21,7 @@ MARK = ".loaded"
 ACTORS = "category in ('actor', 'actress')"
 #: Besides its key, how a table can be looked up. The columns of these, and which rows are in the partial ones.
 COPIES = {
+    "title_basics": {"postings": POSTINGS},
     "name_basics": {"by_name": Copy(["primaryName"], ["primaryName", "nconst"], ["nconst", "primaryName", "birthYear", "knownForTitles"])},
     "title_principals": {
         "by_person": Copy(["nconst"], ["nconst", "tconst"]),

@@ -29,6 +29,19 @@ def read_tsv(spark: SparkSession, path: str, table: str, parts: int | None = Non
     return cells.select(*(F.when(F.get("c", F.lit(i)) != NULL, F.get("c", F.lit(i))).cast(f.dataType).alias(f.name) for i, f in enumerate(schema)))
 
 
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The header of a dump: one task reads one line of its first file."""
+    row = spark.read.text(path).first()
+    return row[0] if row else None
+
+
+def last_line(spark: SparkSession, path: str) -> str | None:
+    """The last line of a dump, of the last file by name that has one. Each file gives its last line; the driver gets one."""
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    row = lines.agg(F.max_by("value", F.struct("file", "start", "at")).alias("value")).first()
+    return row[0]
+
+
 def read_quoted(spark: SparkSession, path: str, table: str, malformed: str = "DROPMALFORMED") -> DataFrame:
     """A dump in quoted form by Spark's CSV reader; rows that do not fit are dropped. Flags are read as text first."""
     schema = schema_of(table)

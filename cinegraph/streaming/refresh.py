@@ -46,3 +46,21 @@ def pages(df: DataFrame, size: int):
             page = []
     if page:
         yield page
+
+
+def appended(streams: list[DataFrame], folder: str) -> DataFrame:
+    """The rows of finite streams one after the other: each row with the number of its stream, from 0, in _stream.
+
+    A stream begins when the one before has ended; its checkpoint is in a folder of its number, so after a failure the
+    same call goes on with the stream that was broken off, and none is taken twice. Streams need the same columns.
+    """
+    spark, schema = streams[0].sparkSession, streams[0].schema
+    for i, stream in enumerate(streams):
+        rows = stream.select(*schema.names)
+        query = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoints/{i}").trigger(availableNow=True).start(f"{folder}/rows/_stream={i}")
+        query.awaitTermination()
+    parts = [spark.read.schema(schema).parquet(f"{folder}/rows/_stream={i}").withColumn("_stream", F.lit(i)) for i in range(len(streams))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

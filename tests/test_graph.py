@@ -4,6 +4,8 @@ from collections import deque
 import pytest
 
 from cinegraph.operators import graph
+from cinegraph.sources.layout import Layout, Table
+from cinegraph.sources.load import COPIES
 
 LINE4 = [("A", "B"), ("B", "C"), ("C", "D")]
 MULTI = [("A", "B"), ("A", "C"), ("B", "C"), ("B", "D"), ("C", "D"), ("C", "E"), ("D", "F")]
@@ -122,3 +124,98 @@ def test_a_hub_title(spark):
 
 def test_path_limits():
     assert [graph.clamp_paths(k) for k in (None, 0, -5, 3, 10, 99)] == [3, 1, 1, 3, 10, 10]
+
+
+def leaves(plan):
+    """(name, names above it) of the leaves of an executed plan."""
+    text, out, stack = plan.toString(), [], []
+    for line in text.split("\n"):
+        body = line.lstrip(" :+-*")
+        depth = len(line) - len(body)
+        while stack and stack[-1][0] >= depth:
+            stack.pop()
+        stack.append((depth, body))
+        if "Scan parquet" in body:
+            out.append((body, [b for _, b in stack[:-1]]))
+    return out
+
+
+def test_members_are_never_shuffled(spark):
+    """With joins that shuffle, what is shuffled is the frontier and what comes of it."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        near = graph.laid_out(spark.range(3000).selectExpr("id % 900 as tconst", "id % 700 as nconst"))
+        reach = near.reach(graph.kept(spark.range(5).selectExpr("id as node")))
+        assert reach.count() > 5
+        scans = leaves(reach._jdf.queryExecution().executedPlan())
+        members = [above for scan, above in scans if "Bucketed: true" in scan]
+        assert len(members) == 2 and len(scans) == 3
+        # Between a scan of members and the join that takes it there is no exchange.
+        for above in members:
+            to_join = above[max(i for i, b in enumerate(above) if "Join" in b) :]
+            assert not any(b.startswith("Exchange") for b in to_join), to_join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def outputs(plan, found):
+    """The most rows that an operator of an executed plan gave, in all its parts."""
+    name, metrics = plan.nodeName(), plan.metrics()
+    if "AdaptiveSparkPlan" in name:
+        return outputs(plan.executedPlan(), found)
+    if "QueryStage" in name:
+        return outputs(plan.plan(), found)
+    if metrics.contains("numOutputRows"):
+        found.append(metrics.apply("numOutputRows").value())
+    children = plan.children()
+    for i in range(children.size()):
+        outputs(children.apply(i), found)
+    return max(found)
+
+
+def test_a_title_of_many_people(spark):
+    """Paths through titles of 5,000 people take rows in proportion to these, not to their squares."""
+    crowd = 5000
+    rows = [("t1", f"a{i:04d}") for i in range(crowd)] + [("t2", f"a{i:04d}") for i in range(crowd)] + [("t2", "z"), ("t0", "s"), *(("t0", f"a{i:04d}") for i in range(crowd))]
+    principals = spark.createDataFrame(rows, "tconst string, nconst string")
+    near = graph.laid_out(principals)
+    paths = [r.path for r in graph.shortest_paths(spark, "s", "z", near, limit=4).collect()]
+    assert paths == [["s", f"a{i:04d}", "z"] for i in range(4)]
+    start = spark.createDataFrame([("s", ["s"])], "node string, path array<string>")
+    one = graph.kept(graph.extended(near, start, principals.where("nconst <> 's'").select(graph.F.col("nconst").alias("node")).distinct(), 3))
+    two = graph.extended(near, one, spark.createDataFrame([("z",)], "node string"), 3)
+    assert [r.path for r in two.orderBy("path").collect()] == paths[:3]
+    assert outputs(two._jdf.queryExecution().executedPlan(), [0]) <= 6 * crowd
+
+
+def test_a_hook_without_reach(spark):
+    """Neighbours of one's own need pairs only."""
+    pairs = spark.createDataFrame([(a, b) for x in DIAMOND for a, b in (x, x[::-1])], "parent string, node string")
+    near = lambda frontier: pairs.join(frontier.select(graph.F.col("node").alias("parent")), "parent", "left_semi")
+    assert ["".join(r.path) for r in graph.shortest_paths(spark, "A", "D", near).collect()] == ["ABD", "ACD"]
+    assert graph.distances_to(spark, "A", ["D", "B", "Q", None, "A"], near) == [2, 1, -1, -1, 0]
+
+
+def test_distances_from_a_known_source(spark, tmp_path):
+    """Refreshed distances are those of a search over all, and paths by them those that a search finds."""
+    rng = random.Random(12)
+    nodes = [f"{i:02d}" for i in range(40)]
+    edges = sorted({tuple(sorted(rng.sample(nodes, 2))) for _ in range(70)})
+    old, new = members(spark, edges[::2]), members(spark, edges[1::2])
+    both = old.union(new).union(spark.createDataFrame([(None, "00"), ("lone", "41")], "tconst string, nconst string"))
+    known = graph.refreshed_distances(graph.source_distances(old, "00"), both, new)
+    want = {r.node: r.distance for r in graph.source_distances(both, "00").collect()}
+    assert {r.node: r.distance for r in known.collect()} == want
+    assert graph.refreshed_distances(known, both, new.limit(0)).count() == len(want)
+    near, far = graph.laid_out(both), max(want, key=lambda n: (want[n], n))
+    for node in (far, "00", "41"):
+        assert [r.path for r in graph.paths_by_distance(known, node, near, 4).collect()] == ([] if node not in want else [r.path for r in graph.shortest_paths(spark, node, "00", near, 14, 4).collect()])
+    table = Table(Layout(spark, f"{tmp_path}/d", known.schema, ["node"], ["node"], buckets=4))
+    table.upsert(known)
+    people = spark.createDataFrame([("00", "Source", 1, "t"), (far, "Far", 1, "t"), ("41", "Lone", 1, "t")], "nconst string, primaryName string, birthYear int, knownForTitles string")
+    names = Table(Layout(spark, f"{tmp_path}/n", people.schema, ["nconst"], ["nconst"], {"by_name": COPIES["name_basics"]["by_name"]}, 4))
+    names.upsert(people)
+    assert [graph.known_separation(table, names, n) for n in ("Source", "Far", "Lone", "Nobody")] == [0, want[far], -1, -1]

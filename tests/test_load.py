@@ -11,8 +11,8 @@ from cinegraph.__main__ import main
 from cinegraph.schemas import duplicate_keys, orphans
 from cinegraph.sources.layout import Copy, DuplicateKeys, Layout, Table
 from cinegraph.sources.load import MissingParents, Store, changed_at, judged, sha256_of, upsert, utc_text, version
-from cinegraph.sources.tsv import clean, cut_crew, read_keys, read_quoted, read_tsv, retain, write_tsv
-from cinegraph.streaming.refresh import drained, pages, refresh
+from cinegraph.sources.tsv import clean, cut_crew, first_line, last_line, read_keys, read_quoted, read_tsv, retain, write_tsv
+from cinegraph.streaming.refresh import appended, drained, pages, refresh
 
 HEADERS = {
     "name.basics": "nconst\tprimaryName\tbirthYear\tdeathYear\tprimaryProfession\tknownForTitles",
@@ -278,3 +278,26 @@ def test_a_stream_is_drained(spark, tmp_path):
     assert drained(stream().where("k > 9"), f"{tmp_path}/b").collect() == []
     (tmp_path / "none").mkdir()
     assert drained(spark.readStream.schema("k int").parquet(f"{tmp_path}/none"), f"{tmp_path}/c").collect() == []
+
+
+def test_streams_are_appended(spark, tmp_path):
+    """(a + b) + c is a + (b + c), none is the neutral one, and a call that is made again takes nothing twice."""
+    for name, ks in (("a", [1, 2]), ("b", [2, 3]), ("c", [9]), ("none", [])):
+        spark.createDataFrame([(k,) for k in ks], "k int").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    stream = lambda n: spark.readStream.schema("k int").parquet(f"{tmp_path}/{n}")
+    rows = lambda df: sorted((r._stream, r.k) for r in df.collect())
+    both = appended([stream("a"), stream("b")], f"{tmp_path}/1")
+    assert rows(both) == [(0, 1), (0, 2), (1, 2), (1, 3)]
+    assert rows(appended([stream("a"), stream("b")], f"{tmp_path}/1")) == rows(both)
+    order = lambda *names: [k for _, k in rows(appended([stream(n) for n in names], f"{tmp_path}/out/{'-'.join(names)}"))]
+    assert order("a", "b", "c") == [k for _, k in rows(both)] + order("c") == order("a") + order("b", "c")
+    assert order("none", "a") == order("a", "none") == order("a") and order("none") == []
+
+
+def test_first_and_last_lines(spark, dumps, tmp_path):
+    path = f"{dumps}/title.ratings.tsv.gz"
+    assert (first_line(spark, path), last_line(spark, path)) == (HEADERS["title.ratings"], "t9\t1.0\t1")
+    (tmp_path / "none").write_text("")
+    assert first_line(spark, f"{tmp_path}/none") is None and last_line(spark, f"{tmp_path}/none") is None
+    spark.range(2000).select(F.col("id").cast("string")).coalesce(1).write.text(f"{tmp_path}/long")
+    assert last_line(spark, f"{tmp_path}/long") == "1999"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cinegraph.functions import text
 from cinegraph.operators import ratings, search
+from cinegraph.sources.layout import Layout, Table
 
 COLUMNS = "tconst string, titleType string, primaryTitle string, originalTitle string, isAdult boolean, startYear int, endYear int, runtimeMinutes int, genres string"
 
@@ -21,6 +22,33 @@ def test_titles_match_patterns(titles, pattern, ids):
     assert [r.movieId for r in search.find_by_title(titles, pattern, pattern).collect()] == ids
 
 
+@pytest.mark.parametrize(("most", "parts"), [(1000, 8), (1, 2)])
+def test_postings_find_what_a_scan_finds(spark, titles, tmp_path, most, parts):
+    """Names of all alphabets and lengths, patterns with and without trigrams; candidates looked up or joined."""
+    more = [(f"m{i:03d}", "movie", n, o, False, 2000, None, 90, "Drama") for i, (n, o) in enumerate([("The Red House", "La maison rouge"), ("Red", None), ("re", "rE"), ("Žižkov İstanbul", "ΟΔΟΣ Α"), ("日本語の題", "x"), ("100% red_hot", "hot"), ("redred", "deredd")] * 3)]
+    rows = titles.unionByName(spark.createDataFrame(more, COLUMNS))
+    table = Table(Layout(spark, f"{tmp_path}/t", rows.schema, ["tconst"], ["tconst"], {"postings": search.POSTINGS}, parts))
+    table.upsert(rows)
+    for p in ("%red%", "RED", "the%house", "%maison%", "re", "%", "žižkov%", "%istanbul", "οδοσ%", "%本語の%", "100\\% red\\_hot", "%red_red%", "r_d", "nothing at all", "100x"):
+        want = search.find_by_title(table.read(), p, p).collect()
+        assert search.find_by_postings(table, p, p, most=most).collect() == want, p
+    assert search.find_by_postings(table, "%house", "%rouge%").first().movieId == "m000"
+    table.upsert(spark.createDataFrame([("m000", "movie", "Blue", "Bleu", False, 2000, None, 90, "Drama")], COLUMNS))
+    assert search.find_by_postings(table, "%house", "%rouge%").first().movieId == "m007" and search.find_by_postings(table, "blue", "-").first().movieId == "m000"
+
+
+def test_postings_read_candidates_only(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("format_string('t%05d', id) tconst", "'movie' titleType", "format_string('word%d %s', id, if(id % 2000 = 7, 'zebra', 'horse')) primaryTitle", "'' originalTitle")
+    table = Table(Layout(spark, f"{tmp_path}/t", rows.schema, ["tconst"], ["tconst"], {"postings": search.POSTINGS}, 16))
+    table.upsert(rows)
+    found = search.find_by_postings(table, "%zebra", "%zebra")
+    assert found.first().movieId == "t00007" and len(found.inputFiles()) == 2
+
+
+def test_plain_runs_of_a_pattern():
+    assert [text.literals(p) for p in ("", "%", "abc", "a%b_c", "a\\%b\\\\%c")] == [[], [], ["abc"], ["a", "b", "c"], ["a%b\\", "c"]]
+
+
 def test_a_pattern_must_not_end_in_an_escape():
     with pytest.raises(ValueError):
         text.like_pattern("abc\\")

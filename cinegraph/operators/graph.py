@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cinegraph.functions.text import comma_count
 from cinegraph.sources.files import forget, kept, new_folder
-from cinegraph.sources.layout import Table
+from cinegraph.sources.layout import Table, View
 
 #: What stands for people and titles without a name.
 UNKNOWN, UNKNOWN_TITLE = "Unknown", "Unknown Movie"
@@ -64,32 +64,45 @@ def top(paths: DataFrame, by: str, limit: int) -> DataFrame:
 
 
 def neighbours_of(members: DataFrame, by_title: DataFrame | None = None) -> Neighbours:
-    """Neighbours by two equi-joins; titles are made distinct between them. by_title: the same members, for the second.
+    """Neighbours by a membership; by_title: the same one, for joins on titles."""
+    return _neighbours(lambda people: members, lambda titles: members if by_title is None else by_title)
 
-    Besides the pairs, which are as many as the squares of titles, reach gives nodes only, and extend carries paths from people to
-    titles and on to people: both are as many rows as titles have people.
+
+def looked_up(principals: View) -> Neighbours:
+    """Neighbours by a laid-out table with a copy by_person: of small frontiers only the buckets of their people and titles are read."""
+    rows = lambda df: df.where("tconst is not null and nconst is not null").select("tconst", "nconst").distinct()
+    return _neighbours(lambda people: rows(principals.among(people, "by_person")), lambda titles: rows(principals.among(titles)))
+
+
+def _neighbours(of_people: Callable[[DataFrame], DataFrame], of_titles: Callable[[DataFrame], DataFrame]) -> Neighbours:
+    """Neighbours by two equi-joins; titles are made distinct between them.
+
+    of_people and of_titles give memberships that have all rows of some people or titles, and maybe others. Besides the pairs, which are as many
+    as the squares of titles, reach gives nodes only, and extend carries paths from people to titles and on to people: both
+    are as many rows as titles have people.
     """
-    by_title = members if by_title is None else by_title
+    person = lambda nodes: nodes.select(F.col("node").alias("nconst"))
 
     def neighbours(frontier: DataFrame) -> DataFrame:
-        titles = members.join(frontier.select(F.col("node").alias("nconst")), "nconst").select(F.col("nconst").alias("parent"), "tconst").distinct()
-        near = titles.join(by_title, "tconst").select("parent", F.col("nconst").alias("node"))
+        on = of_people(person(frontier)).join(person(frontier), "nconst").select(F.col("nconst").alias("parent"), "tconst").distinct()
+        near = on.join(of_titles(on.select("tconst")), "tconst").select("parent", F.col("nconst").alias("node"))
         return near.where("parent <> node").distinct()
 
+    def titles(nodes: DataFrame) -> DataFrame:
+        return of_people(person(nodes)).join(person(nodes), "nconst", "left_semi").select("tconst").distinct()
+
     def reach(frontier: DataFrame) -> DataFrame:
-        return by_title.join(titles(frontier), "tconst", "left_semi").select(F.col("nconst").alias("node")).distinct()
+        on = titles(frontier)
+        return of_titles(on).join(on, "tconst", "left_semi").select(F.col("nconst").alias("node")).distinct()
 
     def extend(paths: DataFrame, to: DataFrame, limit: int) -> DataFrame:
-        by = top(members.join(paths.withColumnRenamed("node", "nconst"), "nconst").select("tconst", "path"), "tconst", limit)
-        nodes = by_title.join(to.select(F.col("node").alias("nconst")), "nconst", "left_semi")
+        by = top(of_people(person(paths)).join(paths.withColumnRenamed("node", "nconst"), "nconst").select("tconst", "path"), "tconst", limit)
+        nodes = of_people(person(to)).join(person(to), "nconst", "left_semi")
         return nodes.join(by, "tconst").select(F.col("nconst").alias("node"), "path").distinct()
 
-    def titles(nodes: DataFrame) -> DataFrame:
-        return members.join(nodes.select(F.col("node").alias("nconst")), "nconst", "left_semi").select("tconst").distinct()
-
     def nearer(of: DataFrame, known: DataFrame, max_depth: int) -> DataFrame:
         """(node, distance) of people of some titles who get nearer by these than they are known to be."""
-        here = kept(by_title.join(of, "tconst", "left_semi").withColumnRenamed("nconst", "node").join(known, "node", "left"))
+        here = kept(of_titles(of).join(of, "tconst", "left_semi").withColumnRenamed("nconst", "node").join(known, "node", "left"))
         best = here.groupBy("tconst").agg((F.min("distance") + 1).alias("by"))
         found = here.join(best, "tconst").where((F.col("by") <= max_depth) & (F.col("distance").isNull() | (F.col("by") < F.col("distance"))))
         return found.groupBy("node").agg(F.min("by").alias("distance"))
@@ -323,20 +336,20 @@ def source_distances(principals: DataFrame, source, max_depth: int = MAX_DEPTH)
     return distances(root(principals.sparkSession, source), laid_out(principals), max_depth)
 
 
-def refreshed_distances(known: DataFrame, principals: DataFrame, added: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(node, distance) after memberships (tconst, nconst) were added, which principals has already.
+def refreshed_distances(known: DataFrame, members: Neighbours, added: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(node, distance) of those who came nearer once memberships (tconst, nconst) were added, which members have already.
 
     Distances can only shrink. Each round looks at the titles of those who came nearer, at first at the titles that were
     added to, and lets their people be one farther than the nearest of them; it ends when nobody comes nearer.
     """
-    members = laid_out(principals)
     titles = added.select("tconst").where("tconst is not null").distinct()
-    now = kept(known.select("node", "distance"))
+    now, changed = kept(known.select("node", "distance")), None
     while True:
         nearer = kept(members.nearer(titles, now, max_depth))
         if nearer.isEmpty():
-            return now
-        now = kept(now.join(nearer, "node", "left_anti").unionByName(nearer))
+            return nearer if changed is None else changed
+        replaced = lambda df: kept(df.join(nearer, "node", "left_anti").unionByName(nearer))  # noqa: B023,E731
+        now, changed = replaced(now), nearer if changed is None else replaced(changed)
         titles = members.titles(nearer)
 
 

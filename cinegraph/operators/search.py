@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinegraph.functions.text import items, like_pattern, literals, trigrams
 from cinegraph.sources.files import kept
-from cinegraph.sources.layout import Copy, Table
+from cinegraph.sources.layout import Copy, View
 
 #: Fields of a movie record and the columns they come from.
 MOVIE = {"movieId": "tconst", "titleType": "titleType", "primaryTitle": "primaryTitle", "originalTitle": "originalTitle", "ratedAdult": "isAdult", "yearReleased": "startYear", "yearEnded": "endYear", "runtimeInMinutes": "runtimeMinutes", "genres": "genres"}
@@ -36,26 +36,27 @@ def grams_of(spark: SparkSession, pattern: str) -> list[str]:
     return sorted({run[i : i + 3] for run in literals(low) for i in range(len(run) - 2)})
 
 
-def find_by_postings(titles: Table, primary: str, original: str, kind: str = "movie", most: int = 1000) -> DataFrame:
-    """find_by_title() over a laid-out table with a copy POSTINGS: only titles that have all trigrams of a pattern are read.
+def candidates(titles: View, primary: str, original: str, most: int = 1000) -> DataFrame:
+    """The titles of a laid-out table that may match a pattern of find_by_title(): all that have its trigrams, by the copy postings.
 
     Of the postings only the buckets of the trigrams are read. Up to most titles are looked up in their buckets, more are joined; a pattern
-    without three plain characters in a row says nothing, and all titles are read.
+    without three plain characters in a row says nothing, and all titles may match.
     """
     spark = titles.layout.spark
-    p, o = like_pattern(primary), like_pattern(original)
-    wanted = [grams_of(spark, x) for x in dict.fromkeys((p, o))]
+    wanted = [grams_of(spark, x) for x in dict.fromkeys((like_pattern(primary), like_pattern(original)))]
     if not all(wanted):
-        return find_by_title(titles.read(), primary, original, kind)
+        return titles.read()
     found = None
     for grams in wanted:
         rows = titles.lookup([(g, s) for g in grams for s in range(SPREAD)], "postings")
         one = rows.groupBy("tconst").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(grams)).select("tconst")
-        found = one if found is None else found.union(one).distinct()
-    near = kept(found)
-    few = near.limit(most + 1).collect()
-    rows = titles.lookup([(r["tconst"],) for r in few]) if len(few) <= most else titles.read().join(near, "tconst", "left_semi")
-    return find_by_title(rows, primary, original, kind)
+        found = one if found is None else found.union(one)
+    return titles.among(kept(found), most=most)
+
+
+def find_by_postings(titles: View, primary: str, original: str, kind: str = "movie", most: int = 1000) -> DataFrame:
+    """find_by_title() over a laid-out table: only candidates() are read."""
+    return find_by_title(candidates(titles, primary, original, most), primary, original, kind)
 
 
 def find_by_id(titles: DataFrame, title_id) -> DataFrame:

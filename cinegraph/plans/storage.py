@@ -43,7 +43,7 @@ def indexed_name(d: Data) -> DataFrame:
 @query("""with {roles} select {flat} from titles where ("primaryTitle" ilike 'RED %' or "originalTitle" ilike 'RED %') and "titleType" = 'PROMO' order by tconst limit 1""")
 def title_by_postings(d: Data) -> DataFrame:
     """title_lookup_ilike() by the titles of the pattern's trigrams only."""
-    return search.find_by_postings(laid(d.titles(), ["tconst"], {"postings": search.POSTINGS}), "RED %", "RED %", "PROMO")
+    return search.find_by_postings(laid(d.titles(), ["tconst"], {"postings": search.POSTINGS}).view(), "RED %", "RED %", "PROMO")
 
 
 @query("""select l_partkey as nconst, l_orderkey as tconst, l_linenumber as ordering, count(*) as n from lineitem where l_partkey in (3, 5, 8) and l_returnflag = 'R' group by all""")
@@ -156,7 +156,9 @@ _M = DISTANCES.replace("g a join g b", "m a join m b")
 def fixed_source_refresh(d: Data) -> DataFrame:
     """Distances from part 0 over some of the memberships, and then over all, by what was added."""
     old, new = (d.principals(f"l_returnflag = 'R' and l_linenumber {x}") for x in ("<= 3", "> 3"))
-    return graph.refreshed_distances(graph.source_distances(old, 0), d.principals(), new)
+    known = graph.source_distances(old, 0)
+    nearer = graph.refreshed_distances(known, graph.laid_out(d.principals()), new)
+    return known.join(nearer, "node", "left_anti").unionByName(nearer)
 
 
 @query(_M + """, asked as (select unnest(['hot ring', 'red plate', 'no such name']) as name), who as (select name, (select p_partkey from part left join (select l_partkey, count(*) as c from lineitem group by 1) on l_partkey = p_partkey where p_name = name and c > 0 order by c desc, 1 limit 1) as k from asked)

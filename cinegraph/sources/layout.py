@@ -122,16 +122,14 @@ class Layout:
             same = one if same is None else same & one
         touched = lambda rows, copy: {r[0] for r in rows.select(bucket_of([F.col(c) for c in copy.by], self.buckets)).distinct().collect()}
         copies = self.copies()
-        first = touched(stage, copies[MAIN])
-        old = self.read(version, MAIN, first)
-        replaced = old.join(keys, same, "left_semi") if version.get(MAIN) else old
-        new = {}
+        if not version.get(MAIN):
+            return {name: self._write(copy.of(stage), name, copy) for name, copy in copies.items()}
+        first, new = touched(stage, copies[MAIN]), {}
+        replaced = self.read(version, MAIN, first).join(keys, same, "left_semi")
         for name, copy in copies.items():
             now = version.get(name, {})
-            buckets = first if name == MAIN else touched(copy.of(stage), copy)
-            if name != MAIN and now:
-                # A row that changes may have been in another bucket of this copy.
-                buckets = buckets | touched(copy.of(replaced), copy)
+            # A row that changes may have been in another bucket of this copy.
+            buckets = first if name == MAIN else touched(copy.of(stage).select(*copy.by).unionByName(copy.of(replaced).select(*copy.by)), copy)
             rest = self.read(version, name, buckets).join(keys, same, "left_anti")
             written = self._write(rest.unionByName(copy.of(stage)), name, copy)
             new[name] = {b: f for b, f in now.items() if int(b) not in buckets} | written
@@ -151,6 +149,32 @@ class Layout:
         return gone
 
 
+class View:
+    """A laid-out table as one version has it."""
+
+    def __init__(self, layout: Layout, version: dict) -> None:
+        self.layout, self.version = layout, version
+
+    def read(self, name: str = MAIN) -> DataFrame:
+        return self.layout.read(self.version, name)
+
+    def lookup(self, values: list[tuple], name: str = MAIN) -> DataFrame:
+        return self.layout.lookup(self.version, values, name)
+
+    def among(self, keys: DataFrame, name: str = MAIN, most: int = 1000) -> DataFrame:
+        """The rows of a copy whose first column of by is in a table of one column: up to most keys are looked up, more are joined."""
+        column = self.layout.copies()[name].by[0]
+        keys = keys.toDF(column).where(F.col(column).isNotNull()).distinct()
+        few = keys.limit(most + 1).collect()
+        return self.lookup([tuple(r) for r in few], name) if len(few) <= most else self.read(name).join(keys, column, "left_semi")
+
+    def since(self, before: dict, name: str = MAIN) -> DataFrame:
+        """The rows of a copy that an earlier version does not have: only buckets that have changed are read."""
+        now, was = self.version.get(name, {}), before.get(name, {})
+        changed = {int(b) for b, folder in now.items() if was.get(b) != folder}
+        return self.layout.read(self.version, name, changed).exceptAll(self.layout.read(before, name, changed))
+
+
 class Log:
     """Numbered versions below a folder, each a small file that whoever creates it first has written.
 
@@ -190,7 +214,7 @@ class Table:
         self.layout, self.log = layout, Log(layout.spark, f"{layout.root}/_versions")
 
     def upsert(self, stage: DataFrame, batch: int | None = None) -> bool:
-        """Adds a version; False, and nothing done, if that of this or a later batch is there."""
+        """Adds a version; False, and nothing done, if that of this or a later batch is there. Batches are numbered by the caller."""
         while True:
             number, now = self.log.latest()
             if batch is not None and now.get("batch", -1) >= batch:
@@ -199,9 +223,12 @@ class Table:
             if self.log.commit(number + 1, new):
                 return True
 
-    def read(self, name: str = MAIN, number: int | None = None) -> DataFrame:
+    def view(self, number: int | None = None) -> View:
         version = self.log.latest()[1] if number is None else self.log.read(number)
-        return self.layout.read(version.get("copies", {}), name)
+        return View(self.layout, version.get("copies", {}))
+
+    def read(self, name: str = MAIN, number: int | None = None) -> DataFrame:
+        return self.view(number).read(name)
 
     def lookup(self, values: list[tuple], name: str = MAIN) -> DataFrame:
-        return self.layout.lookup(self.log.latest()[1].get("copies", {}), values, name)
+        return self.view().lookup(values, name)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from cinegraph.operators.search import POSTINGS
 from cinegraph.schemas import KEYS, LOAD_STATE, PARENTS, TABLES, duplicate_keys
 from cinegraph.sources import files
-from cinegraph.sources.layout import BUCKETS, MAIN, Copy, DuplicateKeys, Layout, Log
+from cinegraph.sources.layout import BUCKETS, MAIN, Copy, DuplicateKeys, Layout, Log, View
 from cinegraph.sources.tsv import read_tsv
 
 #: The file that says that all tables were loaded once.
@@ -118,13 +118,17 @@ class Store:
         """The hash of the latest load of a table."""
         return self._now().get("state", {}).get(table, {}).get("sha256")
 
-    def read(self, table: str, copy: str = MAIN, number: int | None = None) -> DataFrame:
+    def view(self, table: str, number: int | None = None) -> View:
+        """A table as the latest version has it, or one of the others."""
         now = self._now() if number is None else self.log.read(number)
-        return self.layouts[table].read(now.get("tables", {}).get(table, {}), copy)
+        return View(self.layouts[table], now.get("tables", {}).get(table, {}))
+
+    def read(self, table: str, copy: str = MAIN, number: int | None = None) -> DataFrame:
+        return self.view(table, number).read(copy)
 
     def lookup(self, table: str, values: list, copy: str = MAIN) -> DataFrame:
         """The rows whose key (the first column of it, or that of the copy) is one of values."""
-        return self.layouts[table].lookup(self._now().get("tables", {}).get(table, {}), [(v,) for v in values], copy)
+        return self.view(table).lookup([(v,) for v in values], copy)
 
     def rejected(self, table: str) -> DataFrame:
         """The rows that the latest load of a table set aside, with the reason in _wrong."""

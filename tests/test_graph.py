@@ -206,11 +206,13 @@ def test_distances_from_a_known_source(spark, tmp_path):
     edges = sorted({tuple(sorted(rng.sample(nodes, 2))) for _ in range(70)})
     old, new = members(spark, edges[::2]), members(spark, edges[1::2])
     both = old.union(new).union(spark.createDataFrame([(None, "00"), ("lone", "41")], "tconst string, nconst string"))
-    known = graph.refreshed_distances(graph.source_distances(old, "00"), both, new)
+    before, near = graph.source_distances(old, "00"), graph.laid_out(both)
+    nearer = graph.refreshed_distances(before, near, new)
+    known = before.join(nearer, "node", "left_anti").unionByName(nearer)
     want = {r.node: r.distance for r in graph.source_distances(both, "00").collect()}
     assert {r.node: r.distance for r in known.collect()} == want
-    assert graph.refreshed_distances(known, both, new.limit(0)).count() == len(want)
-    near, far = graph.laid_out(both), max(want, key=lambda n: (want[n], n))
+    assert graph.refreshed_distances(known, near, new.limit(0)).isEmpty() and graph.refreshed_distances(known, near, both).isEmpty()
+    far = max(want, key=lambda n: (want[n], n))
     for node in (far, "00", "41"):
         assert [r.path for r in graph.paths_by_distance(known, node, near, 4).collect()] == ([] if node not in want else [r.path for r in graph.shortest_paths(spark, node, "00", near, 14, 4).collect()])
     table = Table(Layout(spark, f"{tmp_path}/d", known.schema, ["node"], ["node"], buckets=4))

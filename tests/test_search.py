@@ -31,17 +31,17 @@ def test_postings_find_what_a_scan_finds(spark, titles, tmp_path, most, parts):
     table.upsert(rows)
     for p in ("%red%", "RED", "the%house", "%maison%", "re", "%", "žižkov%", "%istanbul", "οδοσ%", "%本語の%", "100\\% red\\_hot", "%red_red%", "r_d", "nothing at all", "100x"):
         want = search.find_by_title(table.read(), p, p).collect()
-        assert search.find_by_postings(table, p, p, most=most).collect() == want, p
-    assert search.find_by_postings(table, "%house", "%rouge%").first().movieId == "m000"
+        assert search.find_by_postings(table.view(), p, p, most=most).collect() == want, p
+    assert search.find_by_postings(table.view(), "%house", "%rouge%").first().movieId == "m000"
     table.upsert(spark.createDataFrame([("m000", "movie", "Blue", "Bleu", False, 2000, None, 90, "Drama")], COLUMNS))
-    assert search.find_by_postings(table, "%house", "%rouge%").first().movieId == "m007" and search.find_by_postings(table, "blue", "-").first().movieId == "m000"
+    assert search.find_by_postings(table.view(), "%house", "%rouge%").first().movieId == "m007" and search.find_by_postings(table.view(), "blue", "-").first().movieId == "m000"
 
 
 def test_postings_read_candidates_only(spark, tmp_path):
     rows = spark.range(4000).selectExpr("format_string('t%05d', id) tconst", "'movie' titleType", "format_string('word%d %s', id, if(id % 2000 = 7, 'zebra', 'horse')) primaryTitle", "'' originalTitle")
     table = Table(Layout(spark, f"{tmp_path}/t", rows.schema, ["tconst"], ["tconst"], {"postings": search.POSTINGS}, 16))
     table.upsert(rows)
-    found = search.find_by_postings(table, "%zebra", "%zebra")
+    found = search.find_by_postings(table.view(), "%zebra", "%zebra")
     assert found.first().movieId == "t00007" and len(found.inputFiles()) == 2
 
 

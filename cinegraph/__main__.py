@@ -7,6 +7,8 @@ import argparse
 from pyspark.sql import SparkSession
 
 from cinegraph.schemas import TABLES
+from cinegraph.sources.fetch import fetch_all
+from cinegraph.sources.layout import BUCKETS
 from cinegraph.sources.load import ASIDE, REFUSE, Store
 from cinegraph.sources.tsv import clean, read_tsv, write_tsv
 
@@ -17,6 +19,8 @@ def parser() -> argparse.ArgumentParser:
     load = commands.add_parser("load", help="load or refresh the tables below ROOT from the dumps in FOLDER")
     load.add_argument("root")
     load.add_argument("folder")
+    load.add_argument("--from", dest="url", help="where the dumps are published: those that are newer there are fetched to FOLDER first")
+    load.add_argument("--buckets", type=int, default=BUCKETS, help="of each table of a new store: a bucket should fit one task")
     load.add_argument("--mode", choices=("init", "update"), default="update")
     load.add_argument("--minimal", action="store_true", help="the dumps that clean --minimal made")
     load.add_argument("--orphans", choices=(REFUSE, ASIDE), default=REFUSE, help="rows without their parents: fail, or set them aside")
@@ -32,7 +36,9 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("cinegraph").getOrCreate()
     if a.command == "load":
-        store = Store(spark, a.root)
+        if a.url:
+            fetch_all(spark, a.url, a.folder, a.minimal)
+        store = Store(spark, a.root, a.buckets)
         done = store.load_all(a.folder, a.mode, a.minimal, a.orphans)
         for row in store.counts().collect():
             print(row["table"], row["n"], "loaded" if done[row["table"]] else "unchanged")

@@ -266,7 +266,7 @@ def found_paths(total: int, a: Side, b: Side, meeting: DataFrame, neighbours: Ne
     steps = [left["a", d] for d in range(1, a.depth + 1)] + [left["b", d] for d in range(b.depth - 1, 0, -1)] + [b.levels[0]] * (b.depth > 0)
     paths = a.levels[0].select("node", F.array("node").alias("path"))
     for to in steps:
-        paths = kept(extended(neighbours, paths, to, limit))
+        paths = extended(neighbours, paths, to, limit)
     return paths.select("path").orderBy("path").limit(limit)
 
 

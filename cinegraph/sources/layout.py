@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,10 +208,11 @@ class Log:
 
 
 class Table:
-    """One laid-out table with a log of its own."""
+    """One laid-out table with a log of its own. It keeps to the number of buckets that it was begun with."""
 
     def __init__(self, layout: Layout) -> None:
-        self.layout, self.log = layout, Log(layout.spark, f"{layout.root}/_versions")
+        self.log = Log(layout.spark, f"{layout.root}/_versions")
+        self.layout = replace(layout, buckets=self.log.latest()[1].get("buckets", layout.buckets))
 
     def upsert(self, stage: DataFrame, batch: int | None = None) -> bool:
         """Adds a version; False, and nothing done, if that of this or a later batch is there. Batches are numbered by the caller."""
@@ -219,7 +220,7 @@ class Table:
             number, now = self.log.latest()
             if batch is not None and now.get("batch", -1) >= batch:
                 return False
-            new = {"copies": self.layout.upserted(now.get("copies", {}), stage), "batch": now.get("batch", -1) if batch is None else batch}
+            new = {"copies": self.layout.upserted(now.get("copies", {}), stage), "batch": now.get("batch", -1) if batch is None else batch, "buckets": self.layout.buckets}
             if self.log.commit(number + 1, new):
                 return True
 

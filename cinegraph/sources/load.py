@@ -104,6 +104,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.log = Log(spark, f"{self.root}/_versions")
+        # A store keeps to the number of buckets that it was begun with.
+        self.buckets = buckets = self._now().get("buckets", buckets)
         self.layouts = {t: Layout(spark, f"{self.root}/{t}", T.StructType.fromDDL(TABLES[t]), KEYS[t], KEYS[t][:1], COPIES.get(t, {}), buckets) for t in TABLES}
 
     def _now(self) -> dict:
@@ -154,6 +156,8 @@ class Store:
         try:
             while True:
                 number, now = self.log.latest()
+                if now.get("buckets", self.buckets) != self.buckets:
+                    raise ValueError(f"another loader began this store with {now['buckets']} buckets, not {self.buckets}")
                 if now.get("state", {}).get(table, {}).get("sha256") == digest:
                     return False
                 staged = staged or self._staged(table, path)
@@ -180,7 +184,7 @@ class Store:
             state[table] = {"rejected": aside}
             stage = told.where("_wrong is null").drop("_wrong")
         tables[table] = layout.upserted(tables.get(table, {}), stage)
-        return {"tables": tables, "state": state}
+        return {"tables": tables, "state": state, "buckets": self.buckets}
 
     def load_all(self, folder: str, mode: str = "update", minimal: bool = False, orphans: str = REFUSE) -> dict[str, bool]:
         """Loads every table in an order that has parents first; mode init leaves a mark with the time.

@@ -1,7 +1,11 @@
 import datetime as dt
 import gzip
 import hashlib
+import http.server
+import os
+import threading
 import time
+import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from pyspark.sql import types as T
 
 from cinegraph.__main__ import main
 from cinegraph.schemas import duplicate_keys, orphans
+from cinegraph.sources.fetch import fetch, fetch_all
 from cinegraph.sources.layout import Copy, DuplicateKeys, Layout, Table
 from cinegraph.sources.load import MissingParents, Store, changed_at, judged, sha256_of, upsert, utc_text, version
 from cinegraph.sources.tsv import clean, cut_crew, first_line, last_line, read_keys, read_quoted, read_tsv, retain, write_tsv
@@ -190,6 +195,8 @@ def test_a_lookup_reads_little(spark, tmp_path):
         assert len(df.inputFiles()) == 1 and scanned(df) < 20_000 / 8 * 1.2
     assert sorted(r.v for r in table.lookup([("k00003",), ("k19999",), ("none",)]).collect()) == [3, 19999] and table.lookup([]).isEmpty()
     assert table.read("even").count() == 10_000
+    other = Table(Layout(spark, f"{tmp_path}/t", table.layout.schema, ["k"], ["k"], table.layout.others, 3))
+    assert other.layout.buckets == 8 and [r.v for r in other.lookup([("k00077",)]).collect()] == [77]
 
 
 def test_a_load_rewrites_what_it_touches(spark, tmp_path):
@@ -253,12 +260,12 @@ def test_commands(spark, dumps, tmp_path, capsys):
     main(["clean", str(dumps), f"{tmp_path}/tidy", "--minimal"], spark)
     main(["load", f"{tmp_path}/few", f"{tmp_path}/tidy", "--minimal"], spark)
     assert "title_basics 1 loaded" in capsys.readouterr().out
-    main(["load", f"{tmp_path}/db", str(dumps), "--mode", "init", "--orphans", "aside"], spark)
+    main(["load", f"{tmp_path}/db", str(dumps), "--mode", "init", "--orphans", "aside", "--buckets", "3"], spark)
     assert "title_basics 3 loaded" in capsys.readouterr().out
     main(["load", f"{tmp_path}/db", str(dumps), "--mode", "init"], spark)
     assert "title_basics 3 unchanged" in capsys.readouterr().out
-    store = Store(spark, f"{tmp_path}/db")
-    assert store.marked()
+    store = Store(spark, f"{tmp_path}/db", 5)
+    assert store.marked() and store.buckets == 3 and [r.primaryTitle for r in store.lookup("title_basics", ["t3"]).collect()] == ["S"]
     with pytest.raises(ValueError):
         store.load_all(str(dumps), "again")
 
@@ -301,3 +308,42 @@ def test_first_and_last_lines(spark, dumps, tmp_path):
     assert first_line(spark, f"{tmp_path}/none") is None and last_line(spark, f"{tmp_path}/none") is None
     spark.range(2000).select(F.col("id").cast("string")).coalesce(1).write.text(f"{tmp_path}/long")
     assert last_line(spark, f"{tmp_path}/long") == "1999"
+
+
+@pytest.fixture()
+def published(dumps):
+    """The dumps as a server has them, and what it was asked for."""
+    asked = []
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def __init__(self, *a):
+            super().__init__(*a, directory=str(dumps))
+
+        def log_message(self, form, *a):
+            asked.append((self.command, a[1]))
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", asked
+    server.shutdown()
+
+
+def test_dumps_are_fetched_if_newer(spark, dumps, tmp_path, published, capsys):
+    url, asked = published
+    whole(dumps)
+    old = 1_600_000_000
+    for f in dumps.glob("*.gz"):
+        os.utime(f, (old, old))
+    assert all(fetch_all(spark, url, f"{tmp_path}/here").values()) and not any(fetch_all(spark, url, f"{tmp_path}/here").values())
+    assert {code for _, code in asked[-5:]} == {"304"}
+    assert (tmp_path / "here" / "title.basics.tsv.gz").read_bytes() == (dumps / "title.basics.tsv.gz").read_bytes() and (tmp_path / "here" / "title.basics.tsv.gz").stat().st_mtime == old
+    dump(dumps, "title.ratings", ["t1\t9.0\t200"])
+    assert [t for t, new in fetch_all(spark, url, f"{tmp_path}/here").items() if new] == ["title_ratings"]
+    (dumps / "title.crew.tsv.gz.minimal").write_bytes(b"few")
+    assert fetch(spark, f"{url}/title.crew.tsv.gz.minimal", f"{tmp_path}/here/title.crew.minimal.tsv.gz")
+    before = (tmp_path / "here" / "title.crew.tsv.gz").read_bytes()
+    with pytest.raises(urllib.error.HTTPError):
+        fetch(spark, f"{url}/nothing", f"{tmp_path}/here/title.crew.tsv.gz")
+    assert (tmp_path / "here" / "title.crew.tsv.gz").read_bytes() == before and not [f for f in os.listdir(tmp_path / "here") if len(f) > 40]
+    main(["load", f"{tmp_path}/db", f"{tmp_path}/here", "--from", url], spark)
+    assert "title_ratings 1 loaded" in capsys.readouterr().out

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinegraph.functions.text import comma_count
-from cinegraph.sources.files import forget, kept, new_folder
+from cinegraph.sources.files import delete, forget, kept, new_folder
 from cinegraph.sources.layout import Table, View
 
 #: What stands for people and titles without a name.
@@ -43,18 +43,30 @@ def membership(principals: DataFrame) -> DataFrame:
     return principals.select("tconst", "nconst").where("tconst is not null and nconst is not null").distinct()
 
 
-def bucketed(df: DataFrame, by: str) -> DataFrame:
-    """df in the shared folder in as many buckets by a column as there are shuffle partitions: joins on it do not shuffle it."""
-    spark, name = df.sparkSession, f"graph_{uuid.uuid4().hex}"
+def bucketed(df: DataFrame, by: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df in the shared folder in as many buckets by a column as there are shuffle partitions, so that joins on it do not shuffle
+    it, and what deletes it again."""
+    spark, name, path = df.sparkSession, f"graph_{uuid.uuid4().hex}", new_folder(df.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, by).sortBy(by).format("parquet").option("path", new_folder(spark)).saveAsTable(name)
-    return spark.table(name)
+    df.write.bucketBy(n, by).sortBy(by).format("parquet").option("path", path).saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"drop table {name}")
+        delete(spark, path)
+
+    return spark.table(name), drop
 
 
 def laid_out(principals: DataFrame) -> Neighbours:
-    """Neighbours by a membership kept twice, in buckets by person and by title: what a search shuffles is its frontier."""
-    by_person = bucketed(principals.select("tconst", "nconst").where("tconst is not null and nconst is not null").repartition("nconst").distinct(), "nconst")
-    return neighbours_of(by_person, bucketed(by_person.repartition("tconst"), "tconst"))
+    """Neighbours by a membership kept twice, in buckets by person and by title: what a search shuffles is its frontier.
+
+    An attribute forget deletes both, once nothing is to be computed from them any more.
+    """
+    by_person, one = bucketed(principals.select("tconst", "nconst").where("tconst is not null and nconst is not null").repartition("nconst").distinct(), "nconst")
+    by_title, two = bucketed(by_person.repartition("tconst"), "tconst")
+    neighbours = neighbours_of(by_person, by_title)
+    neighbours.forget = lambda: (one(), two())
+    return neighbours
 
 
 def top(paths: DataFrame, by: str, limit: int) -> DataFrame:
@@ -309,7 +321,12 @@ def ids_from_csv(spark: SparkSession, csv: str) -> DataFrame:
 def separation(spark: SparkSession, principals: DataFrame, names: DataFrame, name: str, source_id: str, max_depth: int = MAX_DEPTH) -> int:
     """Degrees between the person of that name and the source person; -1 for unknown people and beyond max_depth."""
     row = resolve_name(names, name).first()
-    return -1 if row is None else distance(spark, source_id, row["nconst"], laid_out(principals), max_depth)
+    if row is None:
+        return -1
+    near = laid_out(principals)
+    found = distance(spark, source_id, row["nconst"], near, max_depth)
+    near.forget()
+    return found
 
 
 def separation_paths(spark: SparkSession, principals: DataFrame, names: DataFrame, titles: DataFrame, name: str, source_id: str, source_name: str, max_paths: int | None = None, config: SearchConfig = SearchConfig()) -> dict:
@@ -333,7 +350,10 @@ def separation_paths(spark: SparkSession, principals: DataFrame, names: DataFram
 
 def source_distances(principals: DataFrame, source, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(node, distance) from one source, for all within max_depth: asked once, it answers for any target."""
-    return distances(root(principals.sparkSession, source), laid_out(principals), max_depth)
+    near = laid_out(principals)
+    found = distances(root(principals.sparkSession, source), near, max_depth)
+    near.forget()
+    return found
 
 
 def refreshed_distances(known: DataFrame, members: Neighbours, added: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -348,9 +368,12 @@ def refreshed_distances(known: DataFrame, members: Neighbours, added: DataFrame,
         nearer = kept(members.nearer(titles, now, max_depth))
         if nearer.isEmpty():
             return nearer if changed is None else changed
+        before = [now] if changed is None else [now, changed]
         replaced = lambda df: kept(df.join(nearer, "node", "left_anti").unionByName(nearer))  # noqa: B023,E731
         now, changed = replaced(now), nearer if changed is None else replaced(changed)
-        titles = members.titles(nearer)
+        titles = kept(members.titles(nearer))
+        for table in before:
+            forget(table)
 
 
 def paths_by_distance(known: DataFrame, node, neighbours: Neighbours, limit: int = 10) -> DataFrame:

@@ -177,7 +177,7 @@ _Q40 = DISTANCES.replace("{roles}", "{roles}, q as (select distinct l_orderkey a
 
 
 def from_zero(d: Data, principals: DataFrame) -> DataFrame:
-    return graph.distances(d.spark.range(1).select(F.col("id").alias("node")), graph.laid_out(principals))
+    return graph.source_distances(principals, 0)
 
 
 @query(_R + " select node, distance from dist")
@@ -196,7 +196,9 @@ def distance_histogram_capped(d: Data) -> DataFrame:
 
 
 def pairs(d: Data, targets: list, principals: DataFrame, depth: int = 6) -> DataFrame:
-    found = graph.distances_to(d.spark, 0, targets, graph.laid_out(principals), depth)
+    near = graph.laid_out(principals)
+    found = graph.distances_to(d.spark, 0, targets, near, depth)
+    near.forget()
     return d.spark.createDataFrame(list(zip(targets, found, strict=True)), "target long, distance int")
 
 

@@ -157,7 +157,9 @@ def fixed_source_refresh(d: Data) -> DataFrame:
     """Distances from part 0 over some of the memberships, and then over all, by what was added."""
     old, new = (d.principals(f"l_returnflag = 'R' and l_linenumber {x}") for x in ("<= 3", "> 3"))
     known = graph.source_distances(old, 0)
-    nearer = graph.refreshed_distances(known, graph.laid_out(d.principals()), new)
+    near = graph.laid_out(d.principals())
+    nearer = graph.refreshed_distances(known, near, new)
+    near.forget()
     return known.join(nearer, "node", "left_anti").unionByName(nearer)
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import deque
 
@@ -152,10 +153,14 @@ def test_members_are_never_shuffled(spark):
         scans = leaves(reach._jdf.queryExecution().executedPlan())
         members = [above for scan, above in scans if "Bucketed: true" in scan]
         assert len(members) == 2 and len(scans) == 3
+        assert spark.catalog.listTables() and len({f.rsplit("/", 1)[0] for f in reach.inputFiles()}) == 3
         # Between a scan of members and the join that takes it there is no exchange.
         for above in members:
             to_join = above[max(i for i, b in enumerate(above) if "Join" in b) :]
             assert not any(b.startswith("Exchange") for b in to_join), to_join
+        folders = {f.rsplit("/", 1)[0].removeprefix("file:") for f in reach.inputFiles()}
+        near.forget()
+        assert sum(os.path.exists(f) for f in folders) == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
         spark.conf.set("spark.sql.adaptive.enabled", "true")

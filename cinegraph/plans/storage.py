@@ -256,3 +256,16 @@ def decoded_segments(d: Data) -> DataFrame:
     """Segments of URL paths, decoded: a plus is a plus there."""
     s = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("%20")), F.lit("%2F+%25"), F.replace(F.col("p_brand"), F.lit("#"), F.lit("%23")))
     return d.table("part").select("p_partkey", path_segment(s).alias("segment"))
+
+
+@query("""with recursive p as (select distinct l_partkey as x, -1 - l_suppkey as y from lineitem where l_returnflag = 'R' and l_quantity >= 45), e as (select x, y from p union select y, x from p),
+walk as (select 0::bigint as node, 0 as d union select e.y, d + 1 from walk join e on e.x = node where d < 5) select node, min(d)::int as distance from walk group by node""")
+def neighbours_of_ones_own(d: Data) -> DataFrame:
+    """Distances in another graph, by a hook that gives pairs: parts and their suppliers, who have negative numbers."""
+    p = d.table("lineitem").where("l_returnflag = 'R' and l_quantity >= 45").select(F.col("l_partkey").alias("parent"), (-1 - F.col("l_suppkey")).alias("node")).distinct()
+    both = kept(p.unionByName(p.select(F.col("node").alias("parent"), F.col("parent").alias("node"))))
+
+    def neighbours(frontier: DataFrame) -> DataFrame:
+        return both.join(frontier.select(F.col("node").alias("parent")), "parent", "left_semi")
+
+    return graph.distances(graph.root(d.spark, 0), neighbours, 5)

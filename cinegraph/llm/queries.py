@@ -110,11 +110,13 @@ m as (select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))
   (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, len(lines) as n_lines,
   length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) as n_capitals, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) as n_latin,
   len(list_filter(w, lambda x: lower(x) in ({_STOP}))) as n_stop,
-  coalesce(list_max(list_transform(w, lambda x: length(x))), 0) as longest
+  length(regexp_replace(text, '[^{quality.UNSPACED}]+', '', 'g')) as n_unspaced,
+  coalesce(list_max(list_transform(w, lambda x: length(regexp_replace(x, '[{quality.UNSPACED}]+', '', 'g')))), 0) as longest
   from d left join rep on d.doc_id = rep.doc_id),
 f as (select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and word_chars::double / n_words between 1.5 and 25 and longest <= 20000 and n_symbols::double / n_words <= 0.1
+  not base_failed and word_chars::double / n_words >= 1.5 and (word_chars - n_unspaced)::double / n_words <= 25 and longest <= 20000
+  and n_symbols / (n_words + n_unspaced::double / {quality.UNSPACED_WORD}) <= 0.1
   and n_capitals::double / (word_chars + {quality.SMALL_CHARS}) <= 0.5 and ((n_stop + {quality.FREE_STOPS}) * word_chars)::double / greatest(n_words * n_latin, 1) >= 0.005
   and n_dup_lines::double / n_lines <= 0.6 as kept from f
 """
@@ -162,7 +164,7 @@ d as (select conv_id, turn, case when k20 = 4 then 'user' else role end as role,
   unnest(range(case when k20 = 3 then 2 else 1 end)) as time from x where k20 <> 0),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), time) as i from d),
 f as (select conv_id, turn, role, text, i, left(role, 1) as kind, lead(left(role, 1)) over (partition by conv_id order by i) as follows,
-  case when not regexp_matches(text, '[^ 	-]') then 3 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when not regexp_matches(text, '[.!?][ 	-]*$') then 1 else 0 end as fault from o),
+  case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 3 when row_number() over (partition by conv_id, role, text order by i) > 1 then 2 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 1 else 0 end as fault from o),
 g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 3) as blank, count(*) filter (fault = 2) as duplicate, count(*) filter (fault = 1) as truncated,
   count(*) filter (kind || follows not in ('su', 'ua', 'au')) as illegal, max(i) as n from f group by conv_id),
 walk as (select conv_id, n + 1 as i, {{'c': 0, 'a': '', 'r': null::varchar}} as z, {{'c': 6, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}} as s,
@@ -180,8 +182,7 @@ _UNION, _OWN = "len(list_distinct(list_concat(a, b)))", "len(a)"
 _OP12 = rf"""
 with d as (select doc_id, coalesce(text, '') as t, row_number() over (order by doc_id desc nulls last) as i, count(*) over () as n from documents),
 e as (select d.doc_id, d.i, d.i % d.n + 1 as j, d.t, left(d.t, length(d.t) - length(d.t) // 2) || left(x.t, length(d.t) // 2) as ed from d join d x on x.i = d.i % d.n + 1),
-w as (select i, kind, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+'), lambda x: x <> '') as w
+w as (select i, kind, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
   from (select i, 'own' as kind, t from e union all select i, 'ed', ed from e)),
 g as (select i, kind, array_to_string(w[k:k + 4], ' ') as g from (select i, kind, w, unnest(range(1, len(w) - 3)) as k from w) union all select i, kind, array_to_string(w, ' ') from w where len(w) between 1 and 4),
 h as (select distinct i, kind, left(md5(g), {fingerprint.HEX}) as h from g),

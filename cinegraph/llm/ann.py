@@ -21,6 +21,8 @@ from cinegraph.llm.common import one_thread, written
 SHARD_ROWS, DEGREE, ROOM, ALPHA = 8192, 28, 44, 1.2
 #: Beam widths while building and searching; beam entries that one round expands; nodes and queries taken together.
 BUILD_BEAM, SEARCH_BEAM, EXPAND, BATCH, QUERIES = 56, 160, 4, 256, 512
+#: Blocks of queries that one task asks of its shard: a shard goes to as many tasks as it takes.
+BLOCKS = 64
 
 
 def beam(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,17 +145,27 @@ def index(vectors: DataFrame, shards: int) -> DataFrame:
 
 
 def _search(k: int, width: int, kind: str):
+    """Rows of shards, each before the blocks of queries that are asked of it, to what is found in it for each query."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        at = None
         for b in batches:
             for r in range(b.num_rows):
-                dim, nodes, entry, ids, owner, vectors, graph, edges, q_ids, q_rows, q = (b.column(c)[r].as_py() for c in ("dim", "n_nodes", "entry", "ids", "owner", "vectors", "graph", "edges", "q_ids", "q_rows", "q"))
-                v, x = np.frombuffer(vectors, kind).reshape(nodes, dim), np.frombuffer(graph, "<f4").reshape(nodes, dim + 1)
-                e = np.frombuffer(edges, "<i4").reshape(nodes, ROOM).astype(np.int64)
-                id_, own = np.frombuffer(ids, "<i8"), np.frombuffer(owner, "<i4")
-                turn = np.argsort(own, kind="stable")
-                cuts = np.searchsorted(own[turn], np.arange(nodes + 1))
-                q_id, q = np.array(q_ids, np.int64), np.frombuffer(q, kind).reshape(-1, dim).astype(float)
+                dim, shard, q = (b.column(c)[r].as_py() for c in ("dim", "shard", "q"))
+                if q is None:
+                    nodes, entry, ids, owner, vectors, graph, edges = (b.column(c)[r].as_py() for c in ("n_nodes", "entry", "ids", "owner", "vectors", "graph", "edges"))
+                    v, x = np.frombuffer(vectors, kind).reshape(nodes, dim), np.frombuffer(graph, "<f4").reshape(nodes, dim + 1)
+                    e = np.frombuffer(edges, "<i4").reshape(nodes, ROOM).astype(np.int64)
+                    id_, own = np.frombuffer(ids, "<i8"), np.frombuffer(owner, "<i4")
+                    turn = np.argsort(own, kind="stable")
+                    cuts = np.searchsorted(own[turn], np.arange(nodes + 1))
+                    at = (dim, shard)
+                    continue
+                # Queries of a length that no candidate of this shard has.
+                if at != (dim, shard):
+                    continue
+                q_id, q_rows, q = np.array(b.column("q_ids")[r].as_py(), np.int64), b.column("q_rows")[r].as_py(), np.frombuffer(q, kind).reshape(-1, dim).astype(float)
                 unit = np.concatenate([scaled(one[None]) for one in q])
                 found = beam(x, e, entry, np.concatenate((unit, np.zeros((len(q), 1))), 1).astype(np.float32), width)[0]
                 score = (v[found].astype(float) * q[:, None]).sum(2)
@@ -177,7 +189,7 @@ def _search(k: int, width: int, kind: str):
 def _blocks(kind: str):
     def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         q = np.stack(pdf["v"].to_numpy()).astype(kind)
-        return pd.DataFrame([(int(pdf["dim"].iloc[0]), pdf["id"].tolist(), pdf["row"].tolist(), q.tobytes())], columns=["dim", "q_ids", "q_rows", "q"])
+        return pd.DataFrame([(int(pdf["dim"].iloc[0]), int(pdf["block"].iloc[0]), pdf["id"].tolist(), pdf["row"].tolist(), q.tobytes())], columns=["dim", "block", "q_ids", "q_rows", "q"])
 
     return blocks
 
@@ -197,8 +209,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     Candidates are all usable rows of as many components, but the query's own id; ties go to the smaller id. Scores are
     exact, in double precision on the vectors as given. Rows with a null id or vector, null or non-finite components or
     zeros only take no part; rows of equal id and vector are one, of an equal id or an equal vector candidates, and
-    queries, each; no usable row gives no rows. Products must not overflow a double. Queries go to every shard in blocks of bounded size, and every shard
-    answers with k rows a query, so no task holds more than a shard and a block. Other columns are not read.
+    queries, each; no usable row gives no rows. Products must not overflow a double. Queries go to every shard in blocks
+    of bounded size, and every shard answers with k rows a query. A task gets its shard once, first, and then up to
+    BLOCKS blocks one after the other, so it holds no more than a shard and a block. Other columns are not read.
     """
     v = usable(vectors, key, vector)
     kind = kind_of(v)
@@ -206,9 +219,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     graphs = index(v, shards)
     q = usable(queries, key, vector).withColumn("row", F.xxhash64("id", "v"))
     groups = max(1, -(-q.count() // QUERIES))
-    blocks = written(q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))).groupBy("dim", "block").applyInPandas(_blocks(kind), "dim int, q_ids array<long>, q_rows array<long>, q binary"))
-    tasks = graphs.join(blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), ["dim", "shard"])
-    found = tasks.select("dim", "n_nodes", "entry", "ids", "owner", "vectors", "graph", "edges", "q_ids", "q_rows", "q").mapInArrow(_search(k, width, kind), "query_id long, query_row long, found array<struct<score:double,vec_id:long>>")
+    blocks = written(q.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups))).groupBy("dim", "block").applyInPandas(_blocks(kind), "dim int, block long, q_ids array<long>, q_rows array<long>, q binary"))
+    copies = -(-groups // BLOCKS)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = blocks.withColumn("copy", (F.col("block") % copies).cast("int")).drop("block").withColumn("shard", each(shards))
+    tasks = graphs.withColumn("copy", each(copies)).unionByName(asked, allowMissingColumns=True)
+    place = ("dim", "shard", "copy")
+    tasks = tasks.repartition(shards * copies, *place).sortWithinPartitions(*place, F.col("q").isNotNull())
+    found = tasks.select("dim", "shard", "n_nodes", "entry", "ids", "owner", "vectors", "graph", "edges", "q_ids", "q_rows", "q").mapInArrow(_search(k, width, kind), "query_id long, query_row long, found array<struct<score:double,vec_id:long>>")
     rows = found.select("query_id", "query_row", F.inline("found"))
     rank = F.row_number().over(Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

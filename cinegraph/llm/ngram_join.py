@@ -41,11 +41,11 @@ GROWTH = 1.5
 CHANCE = 2.0
 #: Cells of the largest sketch; longer sets have this one too, and are refuted less often.
 CELLS = 1 << 15
-#: Bytes of sketches in a block: two blocks of a hub's nodes are what a worker compares at once.
-BLOCK = 1 << 20
+#: Bytes of sketches in a block, and most nodes: two blocks of a hub's nodes are what a worker compares at once.
+BLOCK, BLOCK_NODES = 1 << 23, 1 << 13
 #: Parts that a hub's nodes are dealt to before they are in blocks.
 SALTS = 16
-#: Bits an id in the sieve of ids, and most bits of one; beyond, texts are shuffled without a sieve.
+#: Bits an id in the sieve of ids, and most bits of one: of more ids the sieve lets more others pass.
 SIEVE, SIEVE_BITS = 16, 1 << 30
 #: Words whose hashes a worker keeps.
 KEPT = 250_000
@@ -270,16 +270,14 @@ def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return written(sized.select("a", "b", "s_a", "s_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(_alike, "a long, b long").distinct(), narrow=True)
 
 
-def sieve(ids: DataFrame) -> tuple[DataFrame, int] | None:
+def sieve(ids: DataFrame) -> tuple[DataFrame, int]:
     """(bitmaps, number of bits) that every id of ids (_id) has a bit in, and one other id in sixteen or fewer.
 
-    Bits grow with the ids, so the sieve is as fine at every size. Bitmaps are broadcast, 128 MB at most; for more ids
-    than these have bits for there is none.
+    Bits grow with the ids up to SIEVE_BITS, as the bitmaps are broadcast: 128 MB at most. Of more ids they let more
+    others pass, a share of 1 - exp(-ids / bits) (a tenth at 113 million, six tenths at a billion), and never lose one.
     """
     n = ids.count()
-    bits = 1 << max(15, (SIEVE * n - 1).bit_length() if n else 0)
-    if bits > SIEVE_BITS:
-        return None
+    bits = min(SIEVE_BITS, 1 << max(15, (SIEVE * n - 1).bit_length() if n else 0))
     at = F.pmod(F.xxhash64("_id"), F.lit(bits))
     return ids.groupBy(F.bitmap_bucket_number(at).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits")), bits
 
@@ -292,10 +290,7 @@ def _passes(key: Column, bits: int) -> Column:
 
 def _sieved(d: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of d whose _id is one of ids, and few others."""
-    made = sieve(ids)
-    if made is None:
-        return d
-    bitmaps, bits = made
+    bitmaps, bits = sieve(ids)
     bucket = F.bitmap_bucket_number(F.pmod(F.xxhash64("_id"), F.lit(bits)))
     return d.join(F.broadcast(bitmaps), (bucket == F.col("_bucket")) & _passes(F.col("_id"), bits), "left_semi")
 
@@ -406,7 +401,7 @@ def _between(star: DataFrame, known: DataFrame, whole: bool) -> DataFrame:
     salted = lambda t: t.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     hubs = star.select("a").distinct().join(known.select(F.col("rep").alias("a"), F.col("c").alias("c_a")).distinct(), "a")
     m = star.join(known.select(F.col("rep").alias("b"), "n", "c", "sketch"), "b").withColumn("s", salt).join(salted(hubs), ["a", "s"]).withColumn("open", F.col("c") != F.col("c_a"))
-    size = F.octet_length("sketch") + 64
+    size = F.greatest(F.octet_length("sketch") + 64, F.lit(BLOCK // BLOCK_NODES))
     blocks = lambda rows: F.ceil(F.coalesce(F.sum(F.when(rows, size)), F.lit(0)) / BLOCK).cast("int")
     counts = m.groupBy("a").agg(blocks(F.col("open")).alias("us"), blocks(~F.col("open")).alias("vs"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("us > 0 and lo <> hi").select("a", "us", "vs")
     m = m.join(salted(counts), ["a", "s"]).withColumn("u", F.when(F.col("open"), F.pmod(F.xxhash64("b"), F.col("us"))).otherwise(-1 - F.pmod(F.xxhash64("b"), F.greatest("vs", F.lit(1)))).cast("int"))
@@ -433,7 +428,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
        its hub. _between compares the sketches of a hub's nodes, across components only, block by block. First only pairs
        that suffice to join the components that seem joined are verified; then whatever still passes, if anything does.
        What is compared grows with the square of the nodes of a hub that it is not linked to, some tens of nanoseconds a
-       pair; what is written, shuffled and verified does not.
+       pair, and so does, a node for each block of its hub, what is shuffled; what is written and verified does not.
 
     A signature's rows are brought together by a window, which spills. A text has one row of a signature and dozens of
     signatures, so none holds more than a small share of the rows.
@@ -483,10 +478,8 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     found = near_duplicates(docs, key, text)
     gone = written(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_id")).distinct(), narrow=True)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{key}`").cast("long").alias("_key"))
-    made, stays = sieve(gone), None
-    if made:
-        bucket = F.bitmap_bucket_number(F.pmod(F.xxhash64("_key"), F.lit(made[1])))
-        row = row.join(F.broadcast(made[0]), bucket == F.col("_bucket"), "left").withColumn("_may", F.coalesce(_passes(F.col("_key"), made[1]), F.lit(False)))
-        stays, row = row.where("not _may").select("_row"), row.where("_may")
-    row = row.join(gone, F.col("_key") == F.col("_id"), "left_anti").select("_row")
-    return (row if stays is None else stays.union(row)).select("_row.*")
+    bitmaps, bits = sieve(gone)
+    bucket = F.bitmap_bucket_number(F.pmod(F.xxhash64("_key"), F.lit(bits)))
+    row = row.join(F.broadcast(bitmaps), bucket == F.col("_bucket"), "left").withColumn("_may", F.coalesce(_passes(F.col("_key"), bits), F.lit(False)))
+    stays = row.where("_may").join(gone, F.col("_key") == F.col("_id"), "left_anti").select("_row")
+    return row.where("not _may").select("_row").union(stays).select("_row.*")

@@ -20,6 +20,9 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: a span must have all of them; different grams that a span of any other must have; how far diagonals lie that merge.
 K, COVER, SHORT, GRAMS, REACH = 3, 0.6, 16, 6, 4
 
+#: Most grams of all templates that stand in the plan as literals and are broadcast.
+LITERALS = 20_000
+
 #: Everything but ASCII letters, digits and what lies outside ASCII separates words.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,13 +59,23 @@ def template_grams(spark: SparkSession, templates: Mapping[str, str], k: int) ->
 
 def votes(docs: DataFrame, templates: Mapping[str, str], k: int) -> DataFrame:
     """(_id, template, t_words, t_at, at, diagonal) for each place where a template's gram stands in a document: rolling
-    hashes are joined, and of those that are equal the words are compared."""
+    hashes are joined, and of those that are equal the words are compared.
+
+    Hashes of up to LITERALS grams stand in the plan as a set, so that only places that join leave their array; with more
+    templates all places do. The grams are broadcast if they are that few, else left to a shuffle.
+    """
     words = ", ".join(f"get(_w, i + {j})" for j in range(k))
     last = f"greatest(size(_w) - {k - 1}, 0)"
-    grams = docs.select("_id", F.expr(f"posexplode(transform(slice(_w, 1, {last}), (w, i) -> struct(xxhash64({words}) as gram, array({words}) as w)))").alias("at", "g"))
-    known = F.broadcast(template_grams(docs.sparkSession, templates, k))
+    known = template_grams(docs.sparkSession, templates, k)
+    hashes = sorted({r.gram for r in known.select("gram").distinct().limit(LITERALS + 1).collect()})
+    few = len(hashes) <= LITERALS
+    place = f"named_struct('at', i, 'gram', xxhash64({words}), 'w', array({words}))"
+    if few:
+        # Without templates, or with none of k words, no place is looked for.
+        place = f"if({f'xxhash64({words}) in ({", ".join(f"{h}L" for h in hashes)})' if hashes else 'i < 0'}, {place}, null)"
+    grams = docs.select("_id", F.expr(f"explode(filter(transform(slice(_w, 1, {last}), (w, i) -> {place}), p -> p is not null))").alias("g"))
     same = (F.col("g.gram") == F.col("gram")) & (F.col("g.w") == F.col("w"))
-    return grams.join(known, same).select("_id", "template", "t_words", "t_at", "at", (F.col("at") - F.col("t_at")).alias("diagonal")).distinct()
+    return grams.join(F.broadcast(known) if few else known, same).select("_id", "template", "t_words", "t_at", F.col("g.at").alias("at"), (F.col("g.at") - F.col("t_at")).alias("diagonal")).distinct()
 
 
 def spans(found: DataFrame, k: int, cover: float, reach: int, short: int, grams: int) -> DataFrame:

@@ -285,6 +285,18 @@ def test_sieve_lets_every_id_pass_and_few_others(spark):
     assert ngram_join._sieved(d, some.where("false")).isEmpty()
 
 
+def test_sieve_of_more_ids_than_it_has_bits_for(spark, monkeypatch):
+    """Bits stay at the most there are, ids too, and so does what is kept of copies."""
+    monkeypatch.setattr(ngram_join, "SIEVE_BITS", 1 << 16)
+    d = spark.range(0, 200_000).select((F.col("id") * 7 - 1000).alias("_id"))
+    some = d.where("_id % 4 = 0")
+    assert ngram_join.sieve(some)[1] == 1 << 16
+    got = ngram_join._sieved(d, some)
+    assert some.join(got, "_id", "left_anti").isEmpty() and got.count() < 0.8 * 200_000
+    copies = spark.range(0, 90_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.md5((F.floor(F.col("id") / 3) * 8 + k).cast("string")) for k in range(6))).alias("text"))
+    assert ngram_join.keep_first(copies).agg(F.count("*"), F.sum("doc_id")).first()[:] == (30_000, 3 * sum(range(30_000)))
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     import public_tokenizers
@@ -441,6 +453,18 @@ def test_a_very_long_text_of_notices(spark):
     assert len(r.found) == 400 and all(f.share == 1 for f in r.found)
 
 
+def test_licenses_with_more_grams_than_stand_in_the_plan(spark, docs, monkeypatch):
+    """The same spans with and without the set of hashes; none where no template has a gram."""
+    texts = [(i, f"before {t} after") for i, t in enumerate(license_scan.TEMPLATES.values())]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(license_scan.scan(df).collect())
+    monkeypatch.setattr(license_scan, "LITERALS", 10)
+    assert sorted(license_scan.scan(df).collect()) == want and all(r.found for r in want)
+    monkeypatch.undo()
+    for none in ({}, {"short": "two words"}):
+        assert all(r.found == [] for r in license_scan.scan(df, templates=none).collect())
+
+
 def test_rows_of_one_key_or_none_keep_their_own_licenses(spark):
     notice, clean = license_scan.TEMPLATES["bsd-text"], "a clean text of a few words"
     df = spark.createDataFrame([(1, notice), (1, clean), (1, notice), (None, notice), (None, clean), (2, clean)], "doc_id long, text string")
@@ -527,7 +551,7 @@ def test_every_training_document_is_learned_from_long_ones_too(spark):
     assert lm.learn_all(docs, model, words) == sum(3001 for i, _ in rows if not brute.held_out(i))
 
 
-def test_nearest_neighbours(spark):
+def test_nearest_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(1500, 12)).astype("f4") * rng.uniform(0.5, 2, (1500, 1)).astype("f4")
     v[100:400] = v[100]
@@ -553,6 +577,10 @@ def test_nearest_neighbours(spark):
         r = ann.nearest(doubles, doubles.where("vec_id = 40"), k=3).orderBy("rank").collect()
         s = np.delete(v[:300].astype(float) @ v[40].astype(float), 40)
         assert [a.score / x / x for a in r] == pytest.approx(np.sort(s)[::-1][:3].tolist(), rel=1e-12)
+    whole = sorted(got)
+    monkeypatch.setattr(ann, "QUERIES", 10)
+    monkeypatch.setattr(ann, "BLOCKS", 2)
+    assert sorted(ann.nearest(df, df.where("vec_id % 20 = 0"), shard_rows=600).collect()) == whole
     few = ann.nearest(df.where("vec_id < 5"), df.where("vec_id = 0")).collect()
     assert len(few) == 4
     assert ann.nearest(df.where("vec_id < 0"), df.where("vec_id < 0")).isEmpty()
@@ -641,6 +669,16 @@ def test_rules_are_alike_at_every_size_and_fair_to_languages(spark):
     assert {r["_row"].doc_id: r.kept for r in quality.judge(df).collect()} == dict.fromkeys(clean, True) | dict.fromkeys(poor, False)
 
 
+def test_texts_without_blanks_are_kept(spark):
+    """Sentences without blanks between words, one on a line, as they are written; long words of other letters still fail."""
+    ja, zh, th = "今日は駅の前で友人に会い、一緒に昼食を食べてから図書館へ行きました{}。", "昨天下午我和朋友一起去了城北的公园，在湖边散步聊天，直到天黑才回家{}。", "เมื่อวานนี้ฉันไปตลาดกับเพื่อนแล้วเราก็กินข้าวด้วยกันที่ร้านใกล้แม่น้ำ{}"
+    lines = lambda t, n: "\n".join(t.replace("{}", chr(ord(t[0]) + 7 + i)) for i in range(n))
+    clean = {"ja": lines(ja, 15), "zh": lines(zh, 15), "th": lines(th, 15), "long": lines(ja * 40, 15), "per cent": lines(zh + zh.replace("{}", "5%{}"), 15), "longer than a word may be": lines(ja * 700, 12)}
+    poor = {"glued": " ".join(f"{'thedogreadsabookinthegarden'}{i}" for i in range(60)), "glued with a few": lines(ja, 2) + " ".join("abcdefghij" * 4 + str(i) for i in range(60)), "signs": lines(zh.replace("{}", "#%&*{}" * 6), 15)}
+    df = spark.createDataFrame([(k, t) for k, t in (clean | poor).items()], "doc_id string, text string")
+    assert {r["_row"].doc_id: r.kept for r in quality.judge(df).collect()} == dict.fromkeys(clean, True) | dict.fromkeys(poor, False)
+
+
 def test_tokens_of_a_column_are_those_of_its_texts(monkeypatch):
     import pyarrow as pa
 

@@ -9,6 +9,7 @@ from cinegraph.functions.text import path_segment
 from cinegraph.operators import graph, search
 from cinegraph.plans.binding import Data
 from cinegraph.plans.registry import DISTANCES, query
+from cinegraph.schemas import parts_of
 from cinegraph.sources import tsv
 from cinegraph.sources.files import kept, new_folder
 from cinegraph.sources.layout import Copy, Layout, Table
@@ -76,14 +77,16 @@ def rows_set_aside(d: Data) -> DataFrame:
 def dumps(d: Data) -> dict[str, DataFrame]:
     """The driver's tables as base tables."""
     line, null = d.table("lineitem"), F.lit(None).cast("string")
+    # Few rows of an order are near each other, so they are dealt out as they are, to as many tasks as they need, and grouped there.
+    line = line.repartition(parts_of(line.count()), "l_orderkey")
     t, n = F.concat(F.lit("tt"), "l_orderkey").alias("tconst"), F.concat(F.lit("nm"), "l_partkey").alias("nconst")
     year = F.lit(None).cast("int")
     return {
         "name_basics": d.table("part").select(F.concat(F.lit("nm"), "p_partkey").alias("nconst"), F.col("p_name").alias("primaryName"), F.col("p_size").alias("birthYear"), year.alias("deathYear"), F.col("p_type").alias("primaryProfession"), F.when(F.col("p_size") % 2 == 0, "").alias("knownForTitles")),
         "title_basics": d.table("orders").select(F.concat(F.lit("tt"), "o_orderkey").alias("tconst"), F.lit("movie").alias("titleType"), F.col("o_orderpriority").alias("primaryTitle"), F.when(F.col("o_orderstatus") == "F", "").when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")).alias("originalTitle"), (F.col("o_orderkey") % 2 == 0).alias("isAdult"), (1900 + F.col("o_orderkey") % 100).cast("int").alias("startYear"), year.alias("endYear"), F.lit(90).alias("runtimeMinutes"), null.alias("genres")),
-        "title_ratings": line.groupBy(t).agg(F.avg("l_quantity").alias("averageRating"), F.count("*").cast("int").alias("numVotes")),
-        "title_crew": line.groupBy(t).agg(F.concat(F.lit("nm"), F.min("l_partkey")).alias("directors")).withColumn("writers", null),
-        "title_principals": line.groupBy(t, F.col("l_linenumber").alias("ordering"), n).agg(F.when(F.max("l_returnflag") == "R", "actor").otherwise("director").alias("category")).withColumns({"job": null, "characters": null}),
+        "title_ratings": line.groupBy("l_orderkey").agg(F.avg("l_quantity").alias("averageRating"), F.count("*").cast("int").alias("numVotes")).select(t, "averageRating", "numVotes"),
+        "title_crew": line.groupBy("l_orderkey").agg(F.concat(F.lit("nm"), F.min("l_partkey")).alias("directors")).select(t, "directors", null.alias("writers")),
+        "title_principals": line.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.when(F.max("l_returnflag") == "R", "actor").otherwise("director").alias("category")).select(t, F.col("l_linenumber").alias("ordering"), n, "category", null.alias("job"), null.alias("characters")),
     }
 
 
@@ -107,7 +110,8 @@ def loader_refresh(d: Data) -> DataFrame:
     folder, tables = new_folder(d.spark), dumps(d)
     store = Store(d.spark, f"{folder}/store", BUCKETS)
     finished = d.table("orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("tt"), "o_orderkey").alias("tconst"))
-    again = tables["title_ratings"].join(finished, "tconst", "left_semi").withColumn("numVotes", F.col("numVotes") + 1)
+    parts = parts_of(d.table("orders").count())
+    again = tables["title_ratings"].repartition(parts, "tconst").join(finished.repartition(parts, "tconst").hint("shuffle_hash"), "tconst", "left_semi").withColumn("numVotes", F.col("numVotes") + 1)
     done = []
     for i, (t, df) in enumerate((("title_basics", tables["title_basics"]), ("title_ratings", tables["title_ratings"]), ("title_ratings", again))):
         tsv.write_tsv(df, f"{folder}/{i}.tsv.gz")

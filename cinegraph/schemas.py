@@ -20,9 +20,16 @@ PARENTS = {
     "title_principals": [("tconst", "title_basics", "tconst"), ("nconst", "name_basics", "nconst")],
     "title_crew": [("tconst", "title_basics", "tconst")],
 }
+#: Rows that one task sorts or holds, about, whatever the size of the table.
+ROWS = 500_000
 LOAD_STATE = "dataset_key string, source_url string, local_file string, sha256 string, downloaded_at timestamp, imported_at timestamp"
 
 
+def parts_of(rows: int) -> int:
+    """Into how many parts a table of so many rows goes, for a task to have ROWS at most on average."""
+    return 1 + rows // ROWS
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """The key values that more than one row has, with their number of rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

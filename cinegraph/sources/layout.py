@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.schemas import duplicate_keys
+from cinegraph.schemas import ROWS, duplicate_keys
 from cinegraph.sources import files
 
 BUCKETS = 64
 MAIN = "main"
+#: A task that writes has fewer rows than these only if a bucket has.
+LEAST = ROWS // 10
 
 
 class DuplicateKeys(ValueError):
@@ -46,6 +48,12 @@ class Copy:
             return rows.select(F.explode(F.expr(self.each[1])).alias(self.each[0]), *map(F.expr, self.columns))
         return rows.selectExpr(*self.columns) if self.columns else rows
 
+    def size(self, rows: DataFrame) -> int:
+        """How many rows of() gives."""
+        rows = rows.where(self.where) if self.where else rows
+        # An explode leaves out nulls and empty arrays, whose size is -1 and 0.
+        return rows.agg(F.sum(F.greatest(F.size(F.expr(self.each[1])), F.lit(0)).cast("long"))).first()[0] or 0 if self.each else rows.count()
+
 
 def bucket_of(columns: list[Column], n: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
@@ -95,12 +103,20 @@ class Layout:
             same = same | here
         return self.read(version, name, set(found)).where(same)
 
-    def _write(self, rows: DataFrame, name: str, copy: Copy) -> dict[str, str]:
-        """Writes rows to a folder of their own; (bucket, folder) of the buckets that have rows."""
+    def _write(self, rows: DataFrame, size: int, name: str, copy: Copy) -> dict[str, str]:
+        """Writes rows, size or fewer, to a folder of their own; (bucket, folder) of the buckets that have rows.
+
+        A bucket of many rows is cut by a hash of what it is sorted by, into files that are sorted each, so no task sorts it whole.
+        Small buckets share a task.
+        """
         folder = uuid.uuid4().hex
         path = f"{self.root}/{name}/{folder}"
         bucketed = rows.withColumn("_bucket", bucket_of([F.col(c) for c in copy.by], self.buckets))
-        writer = bucketed.repartition("_bucket").sortWithinPartitions("_bucket", *copy.order).write.partitionBy("_bucket")
+        slices = 1 + size // (self.buckets * ROWS)
+        tasks = min(self.buckets * slices, 1 + size // LEAST)
+        piece = F.col("_bucket") * slices + F.pmod(F.xxhash64(F.lit("slice"), *map(F.col, copy.order)), F.lit(slices))
+        dealt = bucketed.repartitionById(tasks, F.floor(piece * tasks / (self.buckets * slices)).cast("int"))
+        writer = dealt.sortWithinPartitions("_bucket", *copy.order).write.partitionBy("_bucket")
         for c in copy.by:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(path)
@@ -123,15 +139,18 @@ class Layout:
         touched = lambda rows, copy: {r[0] for r in rows.select(bucket_of([F.col(c) for c in copy.by], self.buckets)).distinct().collect()}
         copies = self.copies()
         if not version.get(MAIN):
-            return {name: self._write(copy.of(stage), name, copy) for name, copy in copies.items()}
+            return {name: self._write(copy.of(stage), copy.size(stage), name, copy) for name, copy in copies.items()}
         first, new = touched(stage, copies[MAIN]), {}
+        # The keys are held and the rows pass by: neither side is sorted.
+        keys = keys.hint("shuffle_hash")
         replaced = self.read(version, MAIN, first).join(keys, same, "left_semi")
         for name, copy in copies.items():
             now = version.get(name, {})
             # A row that changes may have been in another bucket of this copy.
             buckets = first if name == MAIN else touched(copy.of(stage).select(*copy.by).unionByName(copy.of(replaced).select(*copy.by)), copy)
-            rest = self.read(version, name, buckets).join(keys, same, "left_anti")
-            written = self._write(rest.unionByName(copy.of(stage)), name, copy)
+            before = self.read(version, name, buckets)
+            rest = before.join(keys, same, "left_anti")
+            written = self._write(rest.unionByName(copy.of(stage)), before.count() + copy.size(stage), name, copy)
             new[name] = {b: f for b, f in now.items() if int(b) not in buckets} | written
         return new
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinegraph.operators.search import POSTINGS
-from cinegraph.schemas import KEYS, LOAD_STATE, PARENTS, TABLES, duplicate_keys
+from cinegraph.schemas import KEYS, LOAD_STATE, PARENTS, TABLES, duplicate_keys, parts_of
 from cinegraph.sources import files
 from cinegraph.sources.layout import BUCKETS, MAIN, Copy, DuplicateKeys, Layout, Log, View
 from cinegraph.sources.tsv import read_tsv
@@ -31,6 +31,8 @@ COPIES = {
 }
 #: What becomes of rows without a parent or with a null key: the load fails, or they are set aside and the rest is loaded.
 REFUSE, ASIDE = "refuse", "aside"
+#: Up to so many parents are sent to all workers, and their children stay where they are.
+FEW = 250_000
 
 
 class MissingParents(ValueError):
@@ -79,18 +81,27 @@ def version(spark: SparkSession) -> str:
 def judged(stage: DataFrame, keys: list[str], parents: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """stage with a column _wrong: why a row must not be loaded (a null key, or the first parent it lacks), else null.
 
-    parents has (table, column of stage, column of the table). A null reference lacks nothing. One left join a parent.
+    parents has (table, column of stage, column of the table). A null reference lacks nothing. One left join a parent:
+    a task holds its share of the parents, in as many parts as they and their children need, and children pass by unsorted.
     """
     wrong = None
     for k in keys:
         here = F.when(F.col(k).isNull(), F.lit(f"null {k}"))
         wrong = here if wrong is None else F.coalesce(wrong, here)
-    out = stage.withColumn("_wrong", wrong)
-    for i, (table, column, of) in enumerate(parents):
-        known = table.select(F.col(of).alias("_of")).distinct().withColumn("_there", F.lit(True))
-        joined = out.join(known, F.col(column) == F.col("_of"), "left")
+    out, rows = stage.withColumn("_wrong", wrong), stage.count() if parents else 0
+    for table, column, of in parents:
+        known, size = table.select(F.col(of).alias("_of"), F.when(F.col(of).isNull(), 1).otherwise(0).alias("_to")), table.count()
+        if size <= FEW:
+            known = known.distinct().hint("broadcast")
+        else:
+            parts = parts_of(max(rows, size))
+            known = known.repartition(parts, "_to", "_of").distinct().hint("shuffle_hash")
+        # Null references match nothing and would all go to one task, so each goes where its keys say.
+        out = out.withColumn("_at", F.when(F.col(column).isNull(), F.hash(*keys)).otherwise(0))
+        out = out if size <= FEW else out.repartition(parts, "_at", column)
+        joined = out.join(known.withColumn("_there", F.lit(True)), (F.col("_at") == F.col("_to")) & (F.col(column) == F.col("_of")), "left")
         lacks = F.when(F.col(column).isNotNull() & F.col("_there").isNull(), F.lit(f"no parent of {column}"))
-        out = joined.withColumn("_wrong", F.coalesce("_wrong", lacks)).drop("_of", "_there")
+        out = joined.withColumn("_wrong", F.coalesce("_wrong", lacks)).drop("_of", "_there", "_at", "_to")
     return out
 
 

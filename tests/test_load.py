@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 
 from cinegraph.__main__ import main
 from cinegraph.schemas import duplicate_keys, orphans
+from cinegraph.sources import layout, load
 from cinegraph.sources.fetch import fetch, fetch_all
+from cinegraph.sources.files import kept
 from cinegraph.sources.layout import Copy, DuplicateKeys, Layout, Table
 from cinegraph.sources.load import MissingParents, Store, changed_at, judged, sha256_of, upsert, utc_text, version
 from cinegraph.sources.tsv import clean, cut_crew, first_line, last_line, read_keys, read_quoted, read_tsv, retain, write_tsv
@@ -347,3 +349,22 @@ def test_dumps_are_fetched_if_newer(spark, dumps, tmp_path, published, capsys):
     assert (tmp_path / "here" / "title.crew.tsv.gz").read_bytes() == before and not [f for f in os.listdir(tmp_path / "here") if len(f) > 40]
     main(["load", f"{tmp_path}/db", f"{tmp_path}/here", "--from", url], spark)
     assert "title_ratings 1 loaded" in capsys.readouterr().out
+
+
+def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Rows of few keys, too: with 50 rows a task, a bucket of 500 goes into about ten files, and a load over it keeps all."""
+    monkeypatch.setattr(layout, "ROWS", 50, raising=False)
+    monkeypatch.setattr(layout, "LEAST", 50, raising=False)
+    rows = spark.range(1000).select("id", (F.col("id") % 3).alias("kind"), F.array((F.col("id") % 2), F.lit(7)).alias("many"))
+    rows = rows.withColumn("many", F.when(F.col("id") >= 10, F.col("many")))
+    others = {"by_kind": Copy(["kind"], ["kind", "id"], ["kind", "id"], "kind < 2"), "each": Copy(["one"], ["one", "id"], ["id"], each=("one", "many"))}
+    table = Table(Layout(spark, f"{tmp_path}/t", rows.schema, ["id"], ["id"], others, 2))
+    table.upsert(kept(rows))
+    for name, copy in table.layout.copies().items():
+        sizes = [r["count"] for r in table.read(name).groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == copy.of(rows).count() == copy.size(rows) and max(sizes) <= 120
+    table.upsert(kept(rows.where("id % 10 = 0").withColumn("kind", F.lit(1).cast("long"))))
+    want = {(i, 1 if i % 10 == 0 else i % 3) for i in range(1000)}
+    assert {(r.id, r.kind) for r in table.read().collect()} == want and table.read().count() == 1000
+    assert sorted(r.id for r in table.lookup([(1,)], "by_kind").collect()) == sorted(i for i, k in want if k == 1)
+    assert table.lookup([(7,)], "each").count() == 990 and [r.kind for r in table.lookup([(20,)]).collect()] == [1]

@@ -71,7 +71,8 @@ def rows_set_aside(d: Data) -> DataFrame:
     """Of a load whose parents are not all there: what is set aside, and why."""
     parents = [(d.table("orders").where("o_orderstatus <> 'P'"), "tconst", "o_orderkey"), (d.table("part").where("p_type <> 'PROMO'"), "nconst", "p_partkey")]
     told = judged(d.principals("true"), ["tconst", "ordering", "nconst"], parents)
-    return told.where("_wrong is not null").groupBy("tconst", "ordering", "nconst", F.col("_wrong").alias("wrong")).agg(F.count("*").alias("n"))
+    wrong = told.where("_wrong is not null").repartition(parts_of(d.table("lineitem").count()), "tconst", "ordering", "nconst")
+    return wrong.groupBy("tconst", "ordering", "nconst", F.col("_wrong").alias("wrong")).agg(F.count("*").alias("n"))
 
 
 def dumps(d: Data) -> dict[str, DataFrame]:

@@ -368,3 +368,17 @@ def test_a_large_bucket_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert {(r.id, r.kind) for r in table.read().collect()} == want and table.read().count() == 1000
     assert sorted(r.id for r in table.lookup([(1,)], "by_kind").collect()) == sorted(i for i, k in want if k == 1)
     assert table.lookup([(7,)], "each").count() == 990 and [r.kind for r in table.lookup([(20,)]).collect()] == [1]
+
+
+def test_judging_sorts_no_rows(spark, monkeypatch):
+    """Many parents are held by their parts; null references of any number are dealt over all tasks."""
+    monkeypatch.setattr(load, "FEW", 0, raising=False)
+    monkeypatch.setattr(load, "parts_of", lambda rows: 5, raising=False)
+    rows = spark.range(200).select("id", F.when(F.col("id") >= 100, F.col("id") % 50).alias("ref"))
+    parents = spark.range(40).union(spark.range(20)).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    told = judged(rows, ["id"], [(parents, "ref", "k")])
+    got = {r.id: r._wrong for r in told.collect()}
+    assert got == {i: "no parent of ref" if i >= 100 and (i % 50 == 0 or i % 50 >= 40) else None for i in range(200)} and told.count() == 200
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert len({r[0] for r in told.where("ref is null").select(F.spark_partition_id()).collect()}) == 5

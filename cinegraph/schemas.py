@@ -35,6 +35,18 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def has_twins(df: DataFrame, keys: list[str]) -> bool:
+    """Whether two rows share a key. Hashes alone are shuffled; only keys whose hash comes twice are compared themselves.
+
+    df is read several times, so it should be a table.
+    """
+    marked = df.select(*keys, F.xxhash64(*keys).alias("_hash"))
+    twice = duplicate_keys(marked.select("_hash").repartition(parts_of(df.count()), "_hash"), ["_hash"]).select("_hash")
+    if twice.isEmpty():
+        return False
+    return not duplicate_keys(marked.join(twice.hint("shuffle_hash"), "_hash", "left_semi"), keys).isEmpty()
+
+
 def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """Child rows whose key is set but not in the parent; a null key refers to nothing and is no orphan."""
     p = parent.select(F.col(parent_key).alias("_parent"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinegraph.schemas import ROWS, duplicate_keys
+from cinegraph.schemas import ROWS, has_twins
 from cinegraph.sources import files
 
 BUCKETS = 64
@@ -116,7 +116,7 @@ class Layout:
         tasks = min(self.buckets * slices, 1 + size // LEAST)
         piece = F.col("_bucket") * slices + F.pmod(F.xxhash64(F.lit("slice"), *map(F.col, copy.order)), F.lit(slices))
         dealt = bucketed.repartitionById(tasks, F.floor(piece * tasks / (self.buckets * slices)).cast("int"))
-        writer = dealt.sortWithinPartitions("_bucket", *copy.order).write.partitionBy("_bucket")
+        writer = dealt.sortWithinPartitions("_bucket", *copy.order).write.partitionBy("_bucket").option("compression", "zstd")
         for c in copy.by:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(path)
@@ -128,7 +128,7 @@ class Layout:
         Only buckets that have a row of stage, or had one before, are read and written. Raises DuplicateKeys if stage has a
         key twice: two rows cannot both take the place of one. stage is read several times, so it should be a table.
         """
-        if not duplicate_keys(stage, self.keys).isEmpty():
+        if has_twins(stage, self.keys):
             raise DuplicateKeys(f"rows of one load share {', '.join(self.keys)}")
         stage = stage.select(*self.schema.names)
         keys = stage.select(*(F.col(k).alias(f"_{k}") for k in self.keys))

@@ -105,6 +105,13 @@ def judged(stage: DataFrame, keys: list[str], parents: list[tuple[DataFrame, str
     return out
 
 
+def faultless(stage: DataFrame, keys: list[str], parents: list[tuple[DataFrame, str, str]]) -> bool:
+    """Whether judged() finds nothing wrong. Each reference is held against its parent alone, so whole rows stay where they are."""
+    if not stage.where(" or ".join(f"`{k}` is null" for k in keys)).isEmpty():
+        return False
+    return all(judged(stage.select(p[1]), [p[1]], [p]).where(F.col(p[1]).isNotNull() & F.col("_wrong").isNotNull()).isEmpty() for p in parents)
+
+
 class Store:
     """Base tables and load state below one folder.
 
@@ -152,7 +159,7 @@ class Store:
     def _staged(self, table: str, path: str) -> str:
         """The staging table of a dump: read once, for all that a load asks of it."""
         staged = f"{self.root}/_stage/{uuid.uuid4().hex}"
-        read_tsv(self.spark, path, table).write.parquet(staged)
+        read_tsv(self.spark, path, table).write.parquet(staged, compression="zstd")
         return staged
 
     def load(self, table: str, path: str, url: str = "", orphans: str = REFUSE) -> bool:
@@ -184,17 +191,24 @@ class Store:
         """The version after now, with the rows of stage upserted, as far as it can be told before it is numbered."""
         tables, state, layout = dict(now.get("tables", {})), dict(now.get("state", {})), self.layouts[table]
         parents = [(self.layouts[p].read(tables.get(p, {})), c, k) for c, p, k in PARENTS.get(table, [])]
-        told = judged(stage, layout.keys, parents)
-        reasons = told.where("_wrong is not null").groupBy("_wrong").count().orderBy("_wrong").collect()
-        state[table] = {"rejected": None}
-        if reasons:
-            if orphans == REFUSE:
-                raise MissingParents(f"{table}: " + ", ".join(f"{r['count']} with {r['_wrong']}" for r in reasons))
-            aside = f"{self.root}/{table}/_rejected/{uuid.uuid4().hex}"
-            told.where("_wrong is not null").write.parquet(aside)
-            state[table] = {"rejected": aside}
-            stage = told.where("_wrong is null").drop("_wrong")
-        tables[table] = layout.upserted(tables.get(table, {}), stage)
+        state[table], good = {"rejected": None}, None
+        try:
+            if not faultless(stage, layout.keys, parents):
+                told = judged(stage, layout.keys, parents)
+                if orphans == REFUSE:
+                    reasons = told.where("_wrong is not null").groupBy("_wrong").count().orderBy("_wrong").collect()
+                    raise MissingParents(f"{table}: " + ", ".join(f"{r['count']} with {r['_wrong']}" for r in reasons))
+                # Judged once and written, for every copy asks for the rows again.
+                good, aside = f"{self.root}/_stage/{uuid.uuid4().hex}", f"{self.root}/{table}/_rejected/{uuid.uuid4().hex}"
+                told.write.parquet(good, compression="zstd")
+                told = self.spark.read.schema(told.schema).parquet(good)
+                told.where("_wrong is not null").write.parquet(aside, compression="zstd")
+                state[table] = {"rejected": aside}
+                stage = told.where("_wrong is null").drop("_wrong")
+            tables[table] = layout.upserted(tables.get(table, {}), stage)
+        finally:
+            if good:
+                files.delete(self.spark, good)
         return {"tables": tables, "state": state, "buckets": self.buckets}
 
     def load_all(self, folder: str, mode: str = "update", minimal: bool = False, orphans: str = REFUSE) -> dict[str, bool]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cinegraph.__main__ import main
-from cinegraph.schemas import duplicate_keys, orphans
+from cinegraph.schemas import duplicate_keys, has_twins, orphans
 from cinegraph.sources import layout, load
 from cinegraph.sources.fetch import fetch, fetch_all
 from cinegraph.sources.files import kept
@@ -382,3 +382,26 @@ def test_judging_sorts_no_rows(spark, monkeypatch):
     plan = told._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
     assert len({r[0] for r in told.where("ref is null").select(F.spark_partition_id()).collect()}) == 5
+
+
+def test_rows_move_only_if_a_parent_is_missing(spark, dumps, tmp_path, monkeypatch):
+    """A load without faults judges single columns; one with faults judges whole rows once, whatever copies are made of them."""
+    whole, seen = load.judged, []
+    monkeypatch.setattr(load, "judged", lambda stage, keys, parents: (seen.append(len(stage.columns)), whole(stage, keys, parents))[1])
+    store = Store(spark, f"{tmp_path}/store", 2)
+    for t in ("name_basics", "title_basics"):
+        store.load(t, f"{dumps}/{t.replace('_', '.')}.tsv.gz")
+    dump(dumps, "title.principals", ["t1\t1\tn1\tactor\t\\N\t\\N", "t2\t1\tn2\tactor\t\\N\t\\N"])
+    assert store.load("title_principals", f"{dumps}/title.principals.tsv.gz") and seen == [1, 1]
+    dump(dumps, "title.principals", ["t3\t1\tn1\tactor\t\\N\t\\N", "t3\t2\tn9\tactor\t\\N\t\\N", "\\N\t1\tn2\tself\t\\N\t\\N"])
+    seen.clear()
+    assert store.load("title_principals", f"{dumps}/title.principals.tsv.gz", orphans="aside") and seen.count(6) == 1
+    assert sorted((r.tconst, r.nconst) for r in store.read("title_principals", "by_person").collect()) == [("t1", "n1"), ("t2", "n2"), ("t3", "n1")]
+    assert sorted((str(r.tconst), r.nconst, r._wrong) for r in store.rejected("title_principals").collect()) == [("None", "n2", "null tconst"), ("t3", "n9", "no parent of nconst")]
+    assert not os.listdir(f"{tmp_path}/store/_stage")
+
+
+def test_twins_are_told_from_hashes_and_keys(spark):
+    rows = spark.createDataFrame([("a", None), (None, "a"), ("b", "c"), ("a", "c")], "x string, y string")
+    assert spark.range(1).select(F.xxhash64(F.lit("a"), F.lit(None)) == F.xxhash64(F.lit(None), F.lit("a"))).first()[0]
+    assert not has_twins(rows, ["x", "y"]) and has_twins(rows.union(rows.limit(1)), ["x", "y"]) and has_twins(rows, ["x"])
